@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import exact_dedup, fingerprint, sharding
+from textwarden.llm import bpe_automaton, exact_dedup, fingerprint, id_files, lang_id, packing, sharding
+from textwarden.llm.token_ids import small_batches
+from textwarden.runtime import materialise
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,31 @@ def op1_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    folder, manifest, bounds = id_files.write_ids(docs, tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return id_files.read_ids(docs.select("doc_id"), folder, manifest, bounds)
+
+
+def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    path = tokenizer_file("byte_bpe_50k.json")
+    coded = documents(spark, sf_dir).select("doc_id", bpe_automaton.encode(F.col("text"), path).alias("ids"))
+    decoded = coded.withColumn("decoded", bpe_automaton.decode(F.col("ids"), path))
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(documents(spark, sf_dir))
 
@@ -33,7 +60,24 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).withColumnRenamed("text_digest", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_external_shuffle, op5_winnowing, op9_exact_dedup)}
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    cut = materialise(cut, "pieces")
+    return packing.pack(cut, capacity=2048)
+
+
+def held_out(key: Column) -> Column:
+    return F.crc32(key.cast("string").cast("binary")) % 3 == 1
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = lang_id.fit(docs.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
+    guessed = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), lang_id.predict(F.col("text"), model).alias("guess"))
+    return guessed.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op1_external_shuffle, op2_id_files, op4_bpe_automaton, op5_winnowing, op7_best_fit_packing, op9_exact_dedup, op10_language_id)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
