@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import bpe_automaton, exact_dedup, fingerprint, id_files, lang_id, packing, sharding
+from textwarden.llm import bpe_automaton, exact_dedup, fingerprint, id_files, lang_id, packing, sharding, simhash
 from textwarden.llm.token_ids import small_batches
 from textwarden.runtime import materialise
 
@@ -56,6 +56,11 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(documents(spark, sf_dir))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.two_bit_components(documents(spark, sf_dir), words=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).withColumnRenamed("text_digest", "text_sha256")
 
@@ -77,7 +82,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guessed.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_external_shuffle, op2_id_files, op4_bpe_automaton, op5_winnowing, op7_best_fit_packing, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_external_shuffle, op2_id_files, op4_bpe_automaton, op5_winnowing, op7_best_fit_packing, op8_simhash, op9_exact_dedup, op10_language_id)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
