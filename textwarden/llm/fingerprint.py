@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing.
 
-A text is cut into words (runs of non-blanks, in pieces of at most 16 characters, so that texts
-without blanks have words too); every run of ``K`` words has a hash, and of every ``W``
+A text is cut into words (runs of non-blanks, in pieces of at most three characters, so that short texts and texts
+without blanks have several too); every run of ``K`` words has a hash, and of every ``W``
 consecutive hashes the smallest is selected, the rightmost where several are equal. Whatever
 two texts share over ``K + W - 1`` words thus selects a common hash. A selected hash is kept
 with its position.
@@ -22,7 +22,7 @@ _LAST = 2**24 - 1
 
 def gram_hashes(text: Column) -> Column:
     """Hashes of all words, in order."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,16}"), F.lit(0)), lambda word: F.xxhash64(word))
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,3}"), F.lit(0)), lambda word: F.xxhash64(word))
 
 
 def with_selection(df: DataFrame, text: Column, out: str) -> DataFrame:
