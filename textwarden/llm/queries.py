@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import bpe_automaton, exact_dedup, fingerprint, id_files, lang_id, packing, sharding, simhash
+from textwarden.llm import bpe_automaton, exact_dedup, fingerprint, id_files, lang_id, packing, sharding, simhash, suffix_dedup
 from textwarden.llm.token_ids import small_batches
 from textwarden.runtime import materialise
 
@@ -39,6 +39,11 @@ def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(docs.select("doc_id"), folder, manifest, bounds)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(documents(spark, sf_dir), width=200)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     path = tokenizer_file("byte_bpe_50k.json")
@@ -82,7 +87,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guessed.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_external_shuffle, op2_id_files, op4_bpe_automaton, op5_winnowing, op7_best_fit_packing, op8_simhash, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_external_shuffle, op2_id_files, op3_suffix_dedup, op4_bpe_automaton, op5_winnowing, op7_best_fit_packing, op8_simhash, op9_exact_dedup, op10_language_id)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
