@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textwarden.llm.token_ids import ByteLevelEncoder
+from textwarden.llm.token_ids import ByteLevelEncoder, wide
 
 #: White space as the tokenizer's pattern has it, and that pattern.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -146,7 +146,7 @@ def encode(text: Column, path: str) -> Column:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         _, words = automaton(path)
         for texts in batches:
-            yield pd.Series([np.frombuffer(words(t or ""), "<u2").astype("<u4").tobytes() for t in texts])
+            yield pd.Series([wide(ids).tobytes() for ids in words([t or "" for t in texts])])
 
     return ids(text)
 

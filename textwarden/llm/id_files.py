@@ -11,6 +11,7 @@ not there. Files are written beside their place and moved into it, so a repeated
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -111,15 +112,15 @@ class Shard:
         self.shift, self.prints, self.firsts, self.starts = arrays
         self.payload = fs.open_input_file(f"{base}/shard-{shard}.ids")
 
-    def find(self, key: int | None) -> int | None:
-        """The position of the key's first document, or None."""
-        if key is None:
-            return 0 if self.nulls else None
+    def find(self, keys: list[int | None]) -> list[int]:
+        """The position of each key's first document, or -1."""
+        null = [k is None for k in keys]
+        given = np.array([0 if k is None else k for k in keys], "i8")
         if not self.keys:
-            return None
-        one = np.array([key], "i8")
-        slot = int(slots_of(one, self.shift, self.keys)[0])
-        return int(self.firsts[slot]) if self.prints[slot] == fingerprint(one)[0] else None
+            return [0 if n and self.nulls else -1 for n in null]
+        slots = slots_of(given, self.shift, self.keys)
+        found = np.where(self.prints[slots] == fingerprint(given), self.firsts[slots], -1)
+        return np.where(null, 0 if self.nulls else -1, found).tolist()
 
     def ids(self, position: int) -> np.ndarray:
         start, end = int(self.starts[position]), int(self.starts[position + 1])
@@ -144,7 +145,7 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", t
     the shard) and the keys at which a new shard begins. Null keys come first and are kept
     without an index entry; of equal keys the index has the first, the others follow it.
     """
-    small_batches(df.sparkSession, 500)
+    small_batches(df.sparkSession)
     folder = folder or scratch(df.sparkSession, "ids")
     folder = folder if "://" in folder else f"file://{folder}"
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
@@ -195,18 +196,20 @@ def read_ids(keys: DataFrame, folder: str, manifest: DataFrame, bounds: list[int
         opened, shard, last, seen = None, None, object(), 0
         for batch in batches:
             out = []
-            for s, k, start in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for s, own in itertools.groupby(rows, lambda row: row[0]):
+                own = list(own)
                 if s != shard:
-                    shard, opened = s, Shard(folder, s) if start is not None else None
-                    last = object()
-                seen = seen + 1 if k == last else 0
-                last = k
-                at = opened.find(k) if opened else None
-                if at is None or at + seen >= len(opened.starts) - 1:
-                    out.append((k,) + (None,) * (len(fields) - 1))
-                    continue
-                ids = opened.ids(at + seen)
-                out.append((k, start + int(opened.starts[at + seen]), len(ids), crc32(ids)) + ((ids.tolist(),) if with_ids else ()))
+                    shard, opened, last = s, Shard(folder, s) if own[0][2] is not None else None, object()
+                places = opened.find([k for _, k, _ in own]) if opened else [-1] * len(own)
+                for (_, k, start), at in zip(own, places, strict=True):
+                    seen = seen + 1 if k == last else 0
+                    last = k
+                    if at < 0 or at + seen >= len(opened.starts) - 1:
+                        out.append((k,) + (None,) * (len(fields) - 1))
+                        continue
+                    ids = opened.ids(at + seen)
+                    out.append((k, start + int(opened.starts[at + seen]), len(ids), crc32(ids)) + ((ids.tolist(),) if with_ids else ()))
             columns = list(zip(*out, strict=True)) or [[] for _ in fields]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -39,8 +39,8 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, key
         end = np.array([end_id], "<u2").tobytes()
         for texts in batches:
             out = []
-            for value in texts:
-                ids = wide(encode(value or "") + end)
+            for coded in encode([t or "" for t in texts]):
+                ids = wide(coded + end)
                 out.append([{"piece": i, "start": at, "length": n, "ids_crc32": crc32(ids[at : at + n])} for i, (at, n) in enumerate(cuts(len(ids), capacity))])
             yield pd.Series(out)
 

@@ -12,54 +12,107 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Parts of at most so many characters are cached, so many of them in a worker.
-PART_CHARS, PARTS = 48, 600_000
+PART_CHARS, PARTS = 48, 1_000_000
 #: A space before white space or at the end, where a byte-level pre-tokenizer may join runs.
 _LOOSE = re.compile(r" (?=\s|\Z)")
-#: Separators for Python's ``split`` but not for the tokenizer.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_BLANKS = re.compile("[ \t-\r]+")
 
 
 class _Parts(dict):
-    def __init__(self, encode, prefix: str = ""):
-        super().__init__()
-        self.encode, self.prefix = encode, prefix
+    """The ids of the parts that this worker has met; ``encode_new`` encodes a list of others."""
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.encode(self.prefix + part)
-        if len(part) <= PART_CHARS:
-            if len(self) >= PARTS:
-                self.clear()
-            self[part] = ids
-        return ids
+    def __init__(self, encode_new):
+        super().__init__()
+        self.encode_new = encode_new
+
+    def of(self, parts: list[str]) -> list[bytes]:
+        new = [p for p in parts if p not in self]
+        if len(self) + len(new) > PARTS:
+            self.clear()
+            new = parts
+        self.update(zip(new, self.encode_new(new), strict=True))
+        found = list(map(self.__getitem__, parts))
+        for part in new:
+            if len(part) > PART_CHARS:
+                del self[part]
+        return found
+
+
+def in_one_call(encode, parts: list[str], between: str, start: np.ndarray, keep: int) -> list[bytes] | None:
+    """The ids of each part from one encoding of all, cut before the ids that ``start`` marks and without the first ``1 - keep`` of each; None if the cuts don't match the parts."""
+    ids = np.frombuffer(encode("".join(between + p for p in parts)), "<u2")
+    cuts = np.flatnonzero(start[ids])
+    if not parts:
+        return []
+    if len(cuts) != len(parts) or cuts[0]:
+        return None
+    data, ends = ids.tobytes(), [*cuts[1:].tolist(), len(ids)]
+    return [data[2 * (s + 1 - keep) : 2 * e] for s, e in zip(cuts.tolist(), ends, strict=True)]
+
+
+def _assemble(lists: pa.ListArray, words: _Parts, firsts: list[bytes] | None = None) -> list[bytes]:
+    """The ids of each list of parts, one after another. Each distinct part is looked up once; ``firsts`` replace the first part of each list."""
+    offsets = lists.offsets.to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    known = words.of(coded.dictionary.to_pylist()) + (firsts or [])
+    part = coded.indices.to_numpy().astype("i8")
+    if firsts:
+        part[offsets[:-1]] = len(coded.dictionary) + np.arange(len(firsts))
+    lengths = np.fromiter(map(len, known), "i8", len(known)) // 2
+    starts = np.cumsum(lengths) - lengths
+    size = lengths[part]
+    ends = np.cumsum(size)
+    flat = np.frombuffer(b"".join(known), "<u2")
+    ids = flat[np.repeat(starts[part] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+    at = 2 * np.concatenate([[0], ends])[offsets]
+    return [ids[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 class ByteLevelEncoder:
     """Encodes texts to little-endian 16-bit ids, given a function that encodes one text exactly. A single space before a non-blank always starts a part."""
 
-    def __init__(self, encode, special: list[str]):
-        self.encode, self.special, self.words = encode, special, _Parts(encode, " ")
+    def __init__(self, encode, special: list[str], spaced: np.ndarray | None = None):
+        """``spaced`` marks the ids of tokens that begin with a space, if many parts are to be encoded in one call."""
+        self.encode, self.special, self.spaced = encode, special, spaced
+        self.words = _Parts(self.new)
+
+    def new(self, parts: list[str]) -> list[bytes]:
+        found = in_one_call(self.encode, parts, " ", self.spaced, keep=1) if self.spaced is not None and "" not in parts else None
+        return found if found is not None else [self.encode(" " + p) for p in parts]
+
+    def loose(self, text: str) -> bool:
+        return bool(_LOOSE.search(text)) or any(s in text for s in self.special)
 
-    def __call__(self, text: str) -> bytes:
-        if _LOOSE.search(text) or any(s in text for s in self.special):
-            return self.encode(text)
-        first, *rest = text.split(" ")
-        return self.encode(first) + b"".join(map(self.words.__getitem__, rest))
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        whole = {i: self.encode(t) for i, t in enumerate(texts) if self.loose(t)}
+        lists = pc.split_pattern(pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.string()), " ")
+        firsts = [self.encode(t.partition(" ")[0]) if i not in whole else b"" for i, t in enumerate(texts)]
+        return [whole.get(i, ids) for i, ids in enumerate(_assemble(lists, self.words, firsts))]
 
 
 class WordEncoder:
     """The same for a tokenizer that drops white space."""
 
-    def __init__(self, encode, special: list[str]):
-        self.words = _Parts(encode)
+    #: A word that other words hardly contain, to tell them apart in one call.
+    MARK = "\x01"
 
-    def __call__(self, text: str) -> bytes:
-        parts = _BLANKS.split(text) if _SEPARATORS.search(text) else text.split()
-        return b"".join(map(self.words.__getitem__, parts))
+    def __init__(self, encode, size: int):
+        self.encode, self.words = encode, _Parts(self.new)
+        mark = np.frombuffer(encode(self.MARK), "<u2")
+        self.mark = np.zeros(size, bool)
+        self.mark[mark] = len(mark) == 1
+
+    def new(self, parts: list[str]) -> list[bytes]:
+        found = in_one_call(self.encode, parts, f" {self.MARK} ", self.mark, keep=0)
+        return found if found is not None else [self.encode(p) for p in parts]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return _assemble(pc.ascii_split_whitespace(pa.array(texts, pa.string())), self.words)
 
 
 _encoders: dict[str, object] = {}
@@ -77,9 +130,16 @@ def encoder(path: str):
         tokenizer.no_padding()
         if tokenizer.get_vocab_size() > 65_536:
             raise ValueError(f"{path} has more ids than 16 bits hold")
-        kind = WordEncoder if (json.loads(tokenizer.to_str())["pre_tokenizer"] or {}).get("type") == "Sequence" else ByteLevelEncoder
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        _encoders[path] = kind(lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes(), special)
+
+        def encode(text: str) -> bytes:
+            return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2").tobytes()
+
+        if (json.loads(tokenizer.to_str())["pre_tokenizer"] or {}).get("type") == "Sequence":
+            _encoders[path] = WordEncoder(encode, 65_536)
+        else:
+            spaced = np.zeros(65_536, bool)
+            spaced[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+            _encoders[path] = ByteLevelEncoder(encode, [t.content for t in tokenizer.get_added_tokens_decoder().values()], spaced)
     return _encoders[path]
 
 
@@ -96,7 +156,7 @@ def ids_column(text: Column, path: str, end_id: int | None = None) -> Column:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder(path)
         for texts in batches:
-            yield pd.Series([encode(t or "") + end for t in texts])
+            yield pd.Series([ids + end for ids in encode([t or "" for t in texts])])
 
     return ids(text)
 
