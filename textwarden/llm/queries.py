@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import bpe_automaton, exact_dedup, fingerprint, id_files, lang_id, packing, sharding, simhash, suffix_dedup
+from textwarden.llm import bpe_automaton, exact_dedup, fingerprint, id_files, lang_id, license_scan, packing, sharding, simhash, suffix_dedup
 from textwarden.llm.token_ids import small_batches
 from textwarden.runtime import materialise
 
@@ -70,6 +70,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).withColumnRenamed("text_digest", "text_sha256")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = documents(spark, sf_dir).select("doc_id", license_scan.matches(F.col("text")).alias("matches"))
+    return found.select("doc_id", F.size("matches").alias("n_matches"), "matches")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048)
     cut = materialise(cut, "pieces")
@@ -87,7 +93,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guessed.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_external_shuffle, op2_id_files, op3_suffix_dedup, op4_bpe_automaton, op5_winnowing, op7_best_fit_packing, op8_simhash, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_external_shuffle, op2_id_files, op3_suffix_dedup, op4_bpe_automaton, op5_winnowing, op6_license_scan, op7_best_fit_packing, op8_simhash, op9_exact_dedup, op10_language_id)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """

@@ -34,12 +34,15 @@ K = 40
 HOT, MOST_HOT = 100_000, 1_000_000
 
 
+def _name(key: Column, text: Column) -> Column:
+    hashed = F.xxhash64(key.cast("long"), F.coalesce(text, F.lit("")))
+    return hashed.bitwiseAND(F.lit(-2)).bitwiseOR(key.isNull().cast("long"))
+
+
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows named by their key and a hash of key and text, which is odd for null keys; repeated rows have one name and one result."""
-    data = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    number = F.col(f"`{key}`").cast("long")
-    name = F.xxhash64(number, data).bitwiseAND(F.lit(-2)).bitwiseOR(number.isNull().cast("long"))
-    return df.select(F.coalesce(number, F.lit(0)).alias("id"), name.alias("hash"), data.alias("text"))
+    name = _name(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    return df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0)).alias("id"), name.alias("hash"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
 def _grams(docs: DataFrame, width: int, k: int) -> DataFrame:
@@ -131,6 +134,13 @@ def repeated_spans(docs: DataFrame, grams: DataFrame, width: int, k: int) -> Dat
     return spans.unionByName(met.select("id", "hash", "start", (F.col("start") + width).alias("end")))
 
 
+def _covered(data: bytes, spans) -> np.ndarray:
+    steps = np.zeros(len(data) + 1, "i8")
+    np.add.at(steps, np.array([s["start"] for s in spans], "i8"), 1)
+    np.add.at(steps, np.array([s["end"] for s in spans], "i8"), -1)
+    return np.cumsum(steps)[:-1] > 0
+
+
 def kept(text: Column, spans: Column) -> Column:
     """``struct<n_bytes, n_removed, n_spans, kept>``: ``text`` without the bytes of ``spans`` (null: none), an array of ``struct<start, end>``."""
 
@@ -142,10 +152,7 @@ def kept(text: Column, spans: Column) -> Column:
             if found is None or not len(found):
                 out.append((len(data), 0, 0, data))
                 continue
-            steps = np.zeros(len(data) + 1, "i8")
-            np.add.at(steps, [s["start"] for s in found], 1)
-            np.add.at(steps, [s["end"] for s in found], -1)
-            gone = np.cumsum(steps)[:-1] > 0
+            gone = _covered(data, found)
             runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
             out.append((len(data), int(gone.sum()), runs, np.frombuffer(data, "u1")[~gone].tobytes()))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
@@ -169,3 +176,35 @@ def remove_repeats(df: DataFrame, width: int = 200, k: int = K, key: str = "doc_
     by_row = spans.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     cut = docs.join(by_row, ["id", "hash"], "left").select(F.when(F.col("hash") % 2 == 0, F.col("id")).alias("doc_id"), kept(F.col("text"), F.col("spans")).alias("cut"))
     return cut.select("doc_id", "cut.*")
+
+
+def cut_texts(df: DataFrame, width: int = 200, k: int = K, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with its texts cut as by ``remove_repeats``, and ``n_chars``, if there, counted anew.
+
+    Of a passage that repeats everywhere nothing stays, as all its places are judged alike. Bytes
+    of a character that was cut in two go too. Rows of which a repeat takes everything leave;
+    other rows, empty ones too, stay.
+    """
+    docs = _rows(df, key, text).repartition("id", "hash")
+    spans = repeated_spans(docs, _rows(df, key, text), width, k)
+    by_row = spans.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    by_row = materialise(by_row, "repeated-spans")
+    named = df.withColumn("__id", F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0))).withColumn("__hash", _name(F.col(f"`{key}`"), F.col(f"`{text}`")))
+    found = named.join(by_row.withColumnsRenamed({"id": "__id", "hash": "__hash"}), ["__id", "__hash"], "left")
+
+    @F.pandas_udf("string")
+    def shorten(texts: pd.Series, all_spans: pd.Series) -> pd.Series:
+        out = []
+        for t, spans in zip(texts, all_spans, strict=True):
+            if t is None:
+                out.append(None)
+                continue
+            gone = _covered(t.encode(), spans)
+            out.append(np.frombuffer(t.encode(), "u1")[~gone].tobytes().decode("utf-8", "ignore"))
+        return pd.Series(out, dtype="object")
+
+    cut = F.when(F.col("__spans").isNull(), F.col(f"`{text}`")).otherwise(shorten(F.col(f"`{text}`"), F.coalesce("__spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))))
+    found = found.withColumn(text, cut).filter(F.col("__spans").isNull() | (F.col(f"`{text}`") != ""))
+    if "n_chars" in df.columns:
+        found = found.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length(F.col(f"`{text}`"))).cast(df.schema["n_chars"].dataType))
+    return found.select(*df.columns)
