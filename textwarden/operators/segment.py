@@ -90,6 +90,23 @@ def cheapest(text: str, costs: dict[str, float], max_len: int, oov: float) -> li
     return out[::-1]
 
 
+def likeliest(text: str, costs: dict[str, float], max_len: int) -> list[str]:
+    """The path of least cost over the dictionary's words, and single characters that are dearer than any of them."""
+    rare = max(costs.values(), default=0.0) + 1.0
+    best, size = [0.0] * (len(text) + 1), [1] * (len(text) + 1)
+    for i in range(len(text) - 1, -1, -1):
+        best[i], size[i] = best[i + 1] + costs.get(text[i], rare), 1
+        for n in range(2, min(max_len, len(text) - i) + 1):
+            cost = costs.get(text[i : i + n])
+            if cost is not None and best[i + n] + cost < best[i]:
+                best[i], size[i] = best[i + n] + cost, n
+    out, i = [], 0
+    while i < len(text):
+        out.append(text[i : i + size[i]])
+        i += size[i]
+    return out
+
+
 def graph(text: str, costs: dict[str, float], max_len: int, mode: str) -> list[str]:
     """``accurate``: the most probable path over the dictionary's words (single characters where there is none); ``full``: every word found; ``search``: the accurate words, each after the shorter words in it."""
     if mode == "full":
@@ -97,9 +114,7 @@ def graph(text: str, costs: dict[str, float], max_len: int, mode: str) -> list[s
         inside = {k for i, n in found for k in range(i, i + n)}
         found += [(i, 1) for i in range(len(text)) if i not in inside]
         return [text[i : i + n] for i, n in sorted(found)]
-    rare = max(costs.values(), default=0.0) + 1.0
-    single = {c: rare for c in set(text)} | costs
-    words = cheapest(text, single, max_len, 1e6)
+    words = likeliest(text, costs, max_len)
     if mode != "search":
         return words
     out = []
