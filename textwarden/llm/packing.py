@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from textwarden.llm.token_ids import crc32, encoder, small_batches, wide
 
@@ -98,15 +99,17 @@ def pack(
     limits = np.array([capacity, max_documents or 2**31, max_attention or float(capacity) ** 2])
     weight = np.array(weights)
     kept = [c for c in rows.columns if c not in ("sequence_id", "offset")]
-    dealt = rows.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("rec"), F.coalesce(F.col(f"`{length}`"), F.lit(0)).cast("long").alias("n"))
-    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("rec", F.monotonically_increasing_id()), F.lit(groups)))
+    names = [f"c{i}" for i in range(len(kept))]  # so that no name of the input clashes with ours
+    dealt = rows.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)), F.coalesce(F.col(f"`{length}`"), F.lit(0)).cast("long").alias("n"))
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("n", F.monotonically_increasing_id()), F.lit(groups)))
 
     def place(table):
         import pyarrow as pa
 
         bins, offsets = best_fit(table["n"].to_numpy(), limits, weight, measure)
         group = table["group"].to_numpy().astype("i8")
-        return pa.table({"rec": table["rec"], "sequence_id": (group << 32) + bins, "offset": offsets})
+        return table.select(names).append_column("sequence_id", pa.array((group << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    placed = dealt.groupBy("group").applyInArrow(place, f"rec {dealt.schema['rec'].dataType.simpleString()}, sequence_id bigint, offset bigint")
-    return placed.select("rec.*", "sequence_id", "offset")
+    schema = StructType([StructField(n, rows.schema[c].dataType) for c, n in zip(kept, names, strict=True)]).add("sequence_id", "bigint").add("offset", "bigint")
+    placed = dealt.groupBy("group").applyInArrow(place, schema)
+    return placed.select(*(F.col(n).alias(c) for c, n in zip(kept, names, strict=True)), "sequence_id", "offset")
