@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from textwarden.llm.token_ids import crc32, encoder, small_batches, wide
 
@@ -110,6 +110,6 @@ def pack(
         group = table["group"].to_numpy().astype("i8")
         return table.select(names).append_column("sequence_id", pa.array((group << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    schema = StructType([StructField(n, rows.schema[c].dataType) for c, n in zip(kept, names, strict=True)]).add("sequence_id", "bigint").add("offset", "bigint")
+    schema = StructType([StructField(n, rows.schema[c].dataType) for c, n in zip(kept, names, strict=True)]).add("sequence_id", LongType()).add("offset", LongType())
     placed = dealt.groupBy("group").applyInArrow(place, schema)
     return placed.select(*(F.col(n).alias(c) for c, n in zip(kept, names, strict=True)), "sequence_id", "offset")
