@@ -71,7 +71,7 @@ class Automaton:
         """Whether ``y`` may follow ``x``."""
         known = self.arcs.get((x, y))
         if known is None:
-            if len(self.arcs) > 4_000_000:
+            if len(self.arcs) > 1_000_000:
                 self.arcs.clear()
             known = self.arcs[x, y] = self._compiled(x, y)
         return known
