@@ -16,7 +16,7 @@ from textwarden.sources import dictionaries, pages
 from textwarden.streaming import jobs
 
 WORDS = {"研究": 50, "研究生": 5, "生命": 40, "命": 2, "起源": 10, "生": 8}
-COSTS = {w: math.log(sum(WORDS.values())) - math.log(n) for w, n in WORDS.items()}
+COSTS = segment.Words({w: math.log(sum(WORDS.values())) - math.log(n) for w, n in WORDS.items()})
 LEXICON = {"优秀": "0.85", "一流": "0.85", "了不起": "0.80", "享受": "0.65", "差": "-0.60", "失望": "-0.60"}
 
 
@@ -77,13 +77,16 @@ def test_segmentation_golden():
     assert segment.cheapest("研究生命x起源", COSTS, 5, 15.0) == ["研究", "生命", "x", "起源"]
     assert segment.graph(text, COSTS, 5, "accurate") == ["研究", "生命", "起源"]
     assert "研究生" in segment.graph(text, COSTS, 5, "full")
-    assert segment.graph("研究生", {"研究生": 1.0, "研究": 1.0}, 5, "search") == ["研究", "研究生"]
+    assert segment.graph("研究生", segment.Words({"研究生": 1.0, "研究": 1.0}), 5, "search") == ["研究", "研究生"]
     assert segment.cheapest("", COSTS, 5, 15.0) == []
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab研究生命", max_size=9), st.dictionaries(st.text(alphabet="ab研究生命", min_size=1, max_size=3), st.floats(0.1, 9), max_size=8))
 def test_segmentation_properties(text, costs):
+    costs = segment.Words(costs)
+    greedy = lambda t: [] if not t else (lambda n: [t[:n], *greedy(t[n:])])(next((n for n in range(min(5, len(t)), 1, -1) if t[:n] in costs), 1))
+    assert segment.forward(text, costs, 5) == greedy(text)
     for split in (segment.forward, segment.backward, segment.bidirectional):
         assert "".join(split(text, costs, 5)) == text
     both = segment.bidirectional(text, costs, 5)

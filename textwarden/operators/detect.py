@@ -2,7 +2,8 @@
 
 Sums are exact decimals until the last division or ``tanh``, so they don't depend on the order
 of rows; weights have two decimals at most. Every operator gives a row for each document of
-``docs`` (``doc_id``, ``tokens``), with the defaults where nothing is found. Lists are ordered by
+``docs`` (``doc_id``, ``tokens``, or what ``hits.with_known`` makes of them), with the defaults
+where nothing is found. Lists are ordered by
 first position, then word.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.functions.values import CATEGORY_WEIGHTS, HARM_RULES
-from textwarden.operators.hits import explode_tokens, keyword_hits, lexicon_lookup, with_context
+from textwarden.operators.hits import explode_tokens, keyword_hits, lexicon_lookup, token_count, with_context
 
 
 def _decimal(text: str) -> Column:
@@ -70,7 +71,7 @@ def sentiment(docs: DataFrame, lexicon: DataFrame, negations: DataFrame, intensi
         F.count("*").alias("n"), F.sum("adjusted").alias("sum"), F.count_if("is_positive").alias("n_positive"),
         F.slice(F.sort_array(F.collect_list(F.struct("pos", "word", "original", "adjusted", "negation_applied", "intensifier_applied"))), 1, most).alias("hits"),
     )
-    found = docs.select("doc_id", (F.size("tokens") >= 2).alias("enough")).join(folded, "doc_id", "left")
+    found = docs.select("doc_id", (token_count(docs) >= 2).alias("enough")).join(folded, "doc_id", "left")
     has = F.col("enough") & F.col("n").isNotNull()
     total = F.col("sum").cast("double")
     score = F.tanh(total / F.sqrt(F.col("n") + 1))
@@ -94,16 +95,24 @@ def sentiment_fallback(docs: DataFrame, raw: str = "raw", margin: float = 0.15)
     )
 
 
-def harm_regex(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Layer 1: ``doc_id``, ``l1_score`` and ``l1``, an array of the rules met with count, contribution and three samples."""
+def with_harm_regex(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with layer 1: ``l1``, an array of the rules met with count, contribution and three samples, and ``l1_score``. An empty text is taken from its tokens."""
+    read = F.col(text)
+    if "tokens" in docs.columns:
+        read = F.when(F.coalesce(read, F.lit("")) == "", F.concat_ws("", "tokens")).otherwise(read)
     parts = []
     for name, (pattern, weight, group) in HARM_RULES.items():
-        n = F.regexp_count(text, F.lit(pattern))
-        samples = F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), 1, 3)
+        n = F.regexp_count(read, F.lit(pattern))
+        samples = F.slice(F.regexp_extract_all(read, F.lit(pattern), F.lit(group)), 1, 3)
         parts.append(F.struct(F.lit(name).alias("rule"), n.alias("n"), (_decimal(weight) * F.least(n, F.lit(5))).cast("decimal(6,2)").alias("part"), F.when(n > 0, samples).alias("samples")))
     met = F.filter(F.array(*parts), lambda r: r["n"] > 0)
     total = F.aggregate("l1", F.lit(0).cast("decimal(8,2)"), lambda a, r: (a + r["part"]).cast("decimal(8,2)"))
-    return docs.select("doc_id", F.coalesce(met, F.filter(F.array(*parts), lambda r: F.lit(False))).alias("l1")).withColumn("l1_score", F.least(F.lit(1.0), total.cast("double") / 3))
+    return docs.withColumn("l1", F.coalesce(met, F.filter(F.array(*parts), lambda r: F.lit(False)))).withColumn("l1_score", F.least(F.lit(1.0), total.cast("double") / 3))
+
+
+def harm_regex(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Layer 1: ``doc_id``, ``l1``, ``l1_score``."""
+    return with_harm_regex(docs, text).select("doc_id", "l1", "l1_score")
 
 
 def harm_keywords(docs: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -137,9 +146,9 @@ def harm_rules(rules: Column, categories: Column) -> Column:
 
 def harmful(docs: DataFrame, keywords: DataFrame, text: str = "text", threshold: str = "0.3") -> DataFrame:
     """All three layers: ``doc_id``, ``score``, ``is_harmful``, ``flags``, ``details``, ``l1``, ``l2``. Fewer than three tokens give the default. An empty text is taken from its tokens."""
-    read = F.when(F.coalesce(F.col(text), F.lit("")) == "", F.concat_ws("", "tokens")).otherwise(F.col(text))
-    first = harm_regex(docs.withColumn("__text", read).withColumn("doc_id", F.struct("doc_id", (F.size("tokens") >= 3).alias("enough"))), "__text")
-    first = first.select("doc_id.doc_id", "doc_id.enough", "l1", "l1_score")
+    if "l1" not in docs.columns:
+        docs = with_harm_regex(docs, text)
+    first = docs.select("doc_id", (token_count(docs) >= 3).alias("enough"), "l1", "l1_score")
     found = first.join(harm_keywords(docs, keywords), "doc_id", "left")
     none = F.array().cast("array<string>")
     found = found.withColumn("third", harm_rules(F.col("l1.rule"), F.coalesce("l2_categories", none)))

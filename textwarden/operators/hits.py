@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def explode_tokens(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """``doc_id``, ``pos``, ``token``."""
+    """``doc_id``, ``pos``, ``token``; of documents that have gone through ``with_known`` the known tokens only."""
+    if "known" in docs.columns:
+        return docs.select("doc_id", F.explode("known").alias("k")).select("doc_id", "k.pos", "k.token")
     return docs.select("doc_id", F.posexplode(tokens).alias("pos", "token"))
 
 
+def with_known(docs: DataFrame, words: list[str], tokens: str = "tokens") -> DataFrame:
+    """``tokens`` replaced by ``n_tokens`` and ``known``, the tokens among ``words`` with their positions: all that dictionaries can tell of a document, without a shuffle."""
+    placed = F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
+    return docs.withColumns({"n_tokens": F.size(tokens), "known": F.filter(placed, lambda x: x["token"].isin(words))}).drop(tokens)
+
+
+def token_count(docs: DataFrame) -> Column:
+    return F.col("n_tokens") if "n_tokens" in docs.columns else F.size("tokens")
+
+
 def lexicon_lookup(tokens: DataFrame, lexicon: DataFrame, negations: DataFrame, intensifiers: DataFrame) -> DataFrame:
     """Adds ``polarity`` (0), ``intensity`` (1), ``category`` (''), ``multiplier`` (1) and ``is_negation`` to each token."""
     found = tokens.join(F.broadcast(lexicon), tokens["token"] == lexicon["word"], "left").drop("word")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,33 +42,53 @@ def add_words(dictionary: DataFrame, words: list[str]) -> DataFrame:
     return found.select("word", *(F.col("v")[c].alias(c) for c in kept))
 
 
-def _words(dictionary: DataFrame) -> dict[str, float]:
+def _words(dictionary: DataFrame) -> Words:
     value = "cost" if "cost" in dictionary.columns else None
     rows = dictionary.select("word", F.col(value) if value else F.lit(0.0)).limit(MAX_WORDS + 1).collect()
     if len(rows) > MAX_WORDS:
         raise ValueError(f"the dictionary has more than {MAX_WORDS} words; cut it by frequency")
-    return {w: float(c or 0.0) for w, c in rows if w}
+    return Words({w: float(c or 0.0) for w, c in rows if w})
 
 
-def forward(text: str, words, max_len: int) -> list[str]:
-    out, i = [], 0
+class Words(dict):
+    """A dictionary's costs, with the length of the longest word that begins or ends with two given characters."""
+
+    @cached_property
+    def ahead(self) -> dict[str, int]:
+        return self._longest(lambda w: w[:2])
+
+    @cached_property
+    def behind(self) -> dict[str, int]:
+        return self._longest(lambda w: w[-2:])
+
+    def _longest(self, part) -> dict[str, int]:
+        found: dict[str, int] = {}
+        for w in self:
+            found[part(w)] = max(len(w), found.get(part(w), 0))
+        return found
+
+
+def forward(text: str, words: Words, max_len: int) -> list[str]:
+    out, i, reach = [], 0, words.ahead
     while i < len(text):
-        n = next((n for n in range(min(max_len, len(text) - i), 1, -1) if text[i : i + n] in words), 1)
+        most = min(max_len, len(text) - i, reach.get(text[i : i + 2], 1))
+        n = next((n for n in range(most, 1, -1) if text[i : i + n] in words), 1)
         out.append(text[i : i + n])
         i += n
     return out
 
 
-def backward(text: str, words, max_len: int) -> list[str]:
-    out, i = [], len(text)
+def backward(text: str, words: Words, max_len: int) -> list[str]:
+    out, i, reach = [], len(text), words.behind
     while i > 0:
-        n = next((n for n in range(min(max_len, i), 1, -1) if text[i - n : i] in words), 1)
+        most = min(max_len, i, reach.get(text[max(0, i - 2) : i], 1))
+        n = next((n for n in range(most, 1, -1) if text[i - n : i] in words), 1)
         out.append(text[i - n : i])
         i -= n
     return out[::-1]
 
 
-def bidirectional(text: str, words, max_len: int) -> list[str]:
+def bidirectional(text: str, words: Words, max_len: int) -> list[str]:
     """Of both directions the one with fewer words, then with fewer single characters, then the backward one."""
     f, b = forward(text, words, max_len), backward(text, words, max_len)
     rank = lambda s: (len(s), sum(len(w) == 1 for w in s))
@@ -90,13 +111,13 @@ def cheapest(text: str, costs: dict[str, float], max_len: int, oov: float) -> li
     return out[::-1]
 
 
-def likeliest(text: str, costs: dict[str, float], max_len: int) -> list[str]:
+def likeliest(text: str, costs: Words, max_len: int) -> list[str]:
     """The path of least cost over the dictionary's words, and single characters that are dearer than any of them."""
-    rare = max(costs.values(), default=0.0) + 1.0
+    rare, reach = max(costs.values(), default=0.0) + 1.0, costs.ahead
     best, size = [0.0] * (len(text) + 1), [1] * (len(text) + 1)
     for i in range(len(text) - 1, -1, -1):
         best[i], size[i] = best[i + 1] + costs.get(text[i], rare), 1
-        for n in range(2, min(max_len, len(text) - i) + 1):
+        for n in range(2, min(max_len, len(text) - i, reach.get(text[i : i + 2], 1)) + 1):
             cost = costs.get(text[i : i + n])
             if cost is not None and best[i + n] + cost < best[i]:
                 best[i], size[i] = best[i + n] + cost, n
@@ -107,7 +128,7 @@ def likeliest(text: str, costs: dict[str, float], max_len: int) -> list[str]:
     return out
 
 
-def graph(text: str, costs: dict[str, float], max_len: int, mode: str) -> list[str]:
+def graph(text: str, costs: Words, max_len: int, mode: str) -> list[str]:
     """``accurate``: the most probable path over the dictionary's words (single characters where there is none); ``full``: every word found; ``search``: the accurate words, each after the shorter words in it."""
     if mode == "full":
         found = [(i, n) for i in range(len(text)) for n in range(1, min(max_len, len(text) - i) + 1) if text[i : i + n] in costs]
@@ -124,7 +145,7 @@ def graph(text: str, costs: dict[str, float], max_len: int, mode: str) -> list[s
     return out
 
 
-def _segmenter(text: Column, dictionary: DataFrame, stopwords: list[str], split: Callable[[str, dict[str, float], int], list[str]], max_len: int | None) -> Column:
+def _segmenter(text: Column, dictionary: DataFrame, stopwords: list[str], split: Callable[[str, Words, int], list[str]], max_len: int | None) -> Column:
     words = _words(dictionary)
     longest = max(map(len, words), default=1) if max_len is None else max_len
 

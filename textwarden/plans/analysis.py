@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarden.functions.text import pending
-from textwarden.operators.detect import harmful, sensitivity, sentiment
-from textwarden.operators.hits import explode_tokens
+from textwarden.operators.detect import harmful, sensitivity, sentiment, with_harm_regex
+from textwarden.operators.hits import explode_tokens, with_known
+from textwarden.runtime import materialise
+from textwarden.sources.dictionaries import words_in
 
 RESULTS = ["sensitivity_score", "sensitivity_flags", "sentiment_score", "sentiment_label", "harmful_score", "harmful_flags", "harmful_is_harmful", "sensitivity_details", "sentiment_details", "harmful_details"]
 
@@ -16,10 +18,13 @@ def analyze(pages: DataFrame, tokens: str, dictionaries: dict[str, DataFrame], s
     """Pending pages (``id``, ``clean_text``, the array column ``tokens``) with all detectors' results, ``processed`` 2 and the source of the tokens.
 
     ``dictionaries``: ``sensitive``, ``lexicon``, ``negations``, ``intensifiers``, ``keywords``.
-    Only id, text and tokens go through the detectors; the wide rows are joined once, at the end.
+    One narrow pass over the texts leaves of each document its known tokens and the rules it meets,
+    a small table that is written once; the detectors read that, and the wide rows are joined at the end.
     """
     rows = pending(pages)
     docs = rows.select(F.col("id").alias("doc_id"), F.col("clean_text").alias("text"), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("tokens"))
+    known = sorted(set().union(*(words_in(dictionaries[d], "word") for d in ("sensitive", "lexicon", "negations", "intensifiers", "keywords"))))
+    docs = materialise(with_known(with_harm_regex(docs), known).drop("text"), "known-tokens")
     one = sensitivity(docs, dictionaries["sensitive"]).select("doc_id", F.col("score").alias("sensitivity_score"), F.col("flags").alias("sensitivity_flags"), F.struct("matched", "is_sensitive").alias("sensitivity_details"))
     two = sentiment(docs, dictionaries["lexicon"], dictionaries["negations"], dictionaries["intensifiers"])
     two = two.select("doc_id", F.col("score").alias("sentiment_score"), F.col("label").alias("sentiment_label"), F.struct("confidence", "n_words", "n_positive", "n_negative", "hits", "method").alias("sentiment_details"))
