@@ -18,7 +18,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Parts of at most so many characters are cached, so many of them in a worker.
-PART_CHARS, PARTS = 48, 250_000
+PART_CHARS, PARTS = 48, 500_000
 #: A space before white space or at the end, where a byte-level pre-tokenizer may join runs.
 _LOOSE = re.compile(r" (?=\s|\Z)")
 
