@@ -111,9 +111,11 @@ def repeated_spans(docs: DataFrame, grams: DataFrame, width: int, k: int) -> Dat
     total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     hot = max(HOT, total // MOST_HOT)
     found = _ranges(docs, width, k)
+    hottest = F.broadcast(counts.filter(F.col("n") > hot).select("gram"))  # MOST_HOT of them at most
 
-    # A merge join leaves the ranges of a K-gram together, as the windows want them.
-    cold = found.join(counts.filter(F.col("n") <= hot).select("gram").hint("merge"), "gram")
+    # Ranges of the most frequent K-grams leave before the exchange. A merge join leaves the ranges of a K-gram together, as the windows want them.
+    cold = found if most <= hot else found.join(hottest, "gram", "left_anti")
+    cold = cold.join(counts.filter(F.col("n") <= hot).select("gram").hint("merge"), "gram")
     kind, gram = Window.partitionBy("gram", "span"), Window.partitionBy("gram")
     cold = cold.withColumn("same", F.count("*").over(kind)).withColumn("nth", F.row_number().over(kind.orderBy("id", "hash", "first")))
     cold = cold.withColumn("mixed", F.min("same").over(gram) == 1)
@@ -124,7 +126,7 @@ def repeated_spans(docs: DataFrame, grams: DataFrame, width: int, k: int) -> Dat
     if most <= hot:
         return spans
 
-    many = found.join(F.broadcast(counts.filter(F.col("n") > hot).select("gram")), "gram")
+    many = found.join(hottest, "gram")
     each = many.groupBy("gram", "span").agg(F.count("*").alias("same"), *(F.first(c).alias(c) for c in ("id", "hash", "first", "last")))
     repeated = each.filter("same > 1").select("gram", "span")
     spans = spans.unionByName(many.join(repeated, ["gram", "span"]).select("id", "hash", F.col("first").alias("start"), (F.col("last") + width).alias("end")))
@@ -171,7 +173,6 @@ def remove_repeats(df: DataFrame, width: int = 200, k: int = K, key: str = "doc_
     """
     rows = _rows(df, key, text)
     docs = rows.repartition("id", "hash")  # the one exchange of the texts: all that follows reads it
-    docs = rows.repartition("id", "hash")
     spans = repeated_spans(docs, rows, width, k)
     by_row = spans.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     cut = docs.join(by_row, ["id", "hash"], "left").select(F.when(F.col("hash") % 2 == 0, F.col("id")).alias("doc_id"), kept(F.col("text"), F.col("spans")).alias("cut"))
