@@ -282,6 +282,38 @@ def test_near_groups(spark, docs, none):
     assert simhash.drop_near_copies(none).count() == 0
 
 
+def shingle_set(text, words):
+    parts = text.split()
+    return {tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}
+
+
+def similar_pairs(rows, words=5, similarity=0.8):
+    sets = [(i, shingle_set(t, words)) for i, t in rows]
+    return {(i, j) for k, (i, x) in enumerate(sets) for j, y in sets[k + 1 :] if len(x & y) >= similarity * len(x | y)}
+
+
+def grouped(spark, rows):
+    return {r.doc_id: r.group_id for r in simhash.near_groups(frame(spark, rows)).collect()}
+
+
+def test_near_groups_of_a_source_with_boilerplate(spark):
+    """Documents that are 0.7 alike by a passage they share, each with a copy of 0.8 or more: all of them meet in the cells of the passage."""
+    rnd = random.Random(4)
+    word = lambda: f"v{rnd.randrange(10**6)}"
+    common, rows = [word() for _ in range(170)], []
+    for g in range(150):
+        own = [word() for _ in range(34)]
+        copy = list(own)
+        copy[rnd.randrange(10, 24)] = word()
+        copy[rnd.randrange(10, 24)] = word()
+        rows += [(2 * g, " ".join(common + own)), (2 * g + 1, " ".join(common + copy))]
+    pairs, found = similar_pairs(rows), grouped(spark, rows)
+    assert len(pairs) >= 150
+    together = [p for p in pairs if p[0] in found and found[p[0]] == found.get(p[1])]
+    assert len(together) >= 0.99 * len(pairs)
+    assert len(set(found.values())) == 150  # the passage alone links nothing
+
+
 def brute_exact(rows):
     groups = collections.defaultdict(list)
     for i, t in rows:

@@ -8,19 +8,21 @@ distance drops most others, and the exact distance decides.
 For a small radius the grid is exact: the segments form ``radius + 4`` groups, of which two
 fingerprints within the radius agree in at least four, so they meet in a cell of some four
 groups. For the similarity of whole texts (``near_groups``) longer fingerprints and a wide
-radius are needed, where such a grid would meet almost everything; there a fixed number of
-random choices of one-bit segments makes the cells, and the pairs are verified by their shingles.
-Cells with many members never give all their pairs.
+radius are needed, where such a grid would meet almost everything, and texts with a common
+passage everything of their kind; there a text's rarest shingles make the cells, fingerprints drop
+most pairs, and the others are verified by their shingles.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ SEED = 42
 SEGMENT_BITS = 2
 #: Members up to which a cell's pairs are looked at one by one.
 SMALL_CELL = 16
+#: Classes of shingles that are counted, to tell rare from frequent ones, and distinct shingles from which fingerprints can rule out a pair.
+SLOTS, SMALL_SET = 2**20, 32
 _EVEN = 0x5555555555555555
 
 
@@ -65,18 +69,6 @@ def again(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def fingerprints(text: Column, words: int) -> Column:
-    """``struct<a, b>``: the fingerprint and a second one from other hashes."""
-
-    @F.pandas_udf("a bigint, b bigint")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            found = [shingle_hashes(t, words) for t in texts]
-            yield pd.DataFrame({"a": pd.Series([majority(h) for h in found], dtype="int64"), "b": pd.Series([majority(again(h)) for h in found], dtype="int64")})
-
-    return prints(text)
-
-
 def fingerprint(text: Column, words: int) -> Column:
     """The 64-bit fingerprint as a signed long; zero for null and for texts without words."""
 
@@ -116,21 +108,58 @@ def exact_cells(prints: DataFrame, radius: int) -> DataFrame:
     return prints.select(F.explode(keys).alias("key"), "a", "b")
 
 
-def sampled_cells(prints: DataFrame, tables: int, bits: int) -> DataFrame:
-    """``key``, ``a``, ``b``: each fingerprint in ``tables`` cells of ``bits`` one-bit segments each, chosen at random once and for all."""
-    rng = np.random.default_rng(SEED)
-    chosen = np.array([rng.choice(128, bits, replace=False) for _ in range(tables)])
+def order_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """In how many texts the shingles of each of ``SLOTS`` classes of hashes stand, so that a frequent shingle makes its class stand out."""
+    blocks = SLOTS >> 16
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(SLOTS, "i8")
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(found, slot(np.unique(shingle_hashes(text, words))), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([part.tobytes() for part in np.split(found, blocks)], pa.binary())], ["block", "counts"])
+
+    def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sum(np.frombuffer(part, "i8") for batch in batches for part in batch.column("counts").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([found.tobytes()], pa.binary())], ["block", "counts"])
+
+    parts = texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(total, "block int, counts binary").collect()
+    found = np.zeros((blocks, 1 << 16), "i8")
+    for block, counts in parts:
+        found[block] = np.frombuffer(counts, "i8")
+    return found.ravel()
+
+
+def slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype("i8")
+
+
+def rarest(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """Of a text's distinct shingles, the rarest first, as many as a pair of the similarity can't have all on one side; and how many of them do if the text is the one with fewer shingles.
+
+    Two sets of the similarity share a shingle that is among the latter of the smaller and among
+    the former of the larger set, whichever order all sets follow (prefix filtering).
+    """
+    n = len(hashes)
+    wide, narrow = (n - math.ceil(part * n - 1e-9) + 1 for part in (similarity, 2 * similarity / (1 + similarity)))
+    return hashes[np.lexsort((hashes, counts[slot(hashes)]))[:wide]], narrow
+
+
+def sketches(text: Column, words: int, similarity: float, counts: np.ndarray) -> Column:
+    """``struct<a, b, n, narrow, keys>``: two fingerprints of the text's shingles, how many distinct ones there are, and the rarest of them."""
 
-    @F.pandas_udf("array<bigint>")
-    def cells(a: pd.Series, b: pd.Series) -> pd.Series:
-        both = np.stack([a.to_numpy("i8"), b.to_numpy("i8")], axis=1).astype(">i8").view("u1")
-        ones = np.unpackbits(both.reshape(-1, 16), axis=1).astype("i8")
-        keys = np.zeros((len(a), tables), "i8")
-        for bit in range(bits):
-            keys = keys << 1 | ones[:, chosen[:, bit]]
-        return pd.Series(list(keys * tables + np.arange(tables)))
+    @F.pandas_udf("a bigint, b bigint, n int, narrow int, keys array<bigint>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                every = shingle_hashes(t, words)
+                h = np.unique(every)
+                keys, narrow = rarest(h, counts, similarity)
+                rows.append((majority(every), majority(again(every)), len(h), narrow, keys.view("i8")))
+            yield pd.DataFrame(rows, columns=["a", "b", "n", "narrow", "keys"])
 
-    return prints.select(F.explode(cells("a", "b")).alias("key"), "a", "b")
+    return sketch(text)
 
 
 def cell_links(cells: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
@@ -193,42 +222,83 @@ def jaccard(p: Column, q: Column, words: int) -> Column:
     return similarity(p, q)
 
 
-def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``group_id``, the smallest key of the group, for rows whose texts are near-duplicates of others (and of rows with an equal fingerprint).
+def likely(x: Column, y: Column, similarity: float) -> Column:
+    """Whether two members of a cell may reach the similarity: one of them has the key where the set with fewer shingles must have it, the sizes allow it, and the fingerprints are no further apart than it makes likely (mean and four deviations; not asked of small sets, whose spread is wider)."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = math.ceil(128 * p + 4 * math.sqrt(128 * p * (1 - p)))
+    few, many = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
+    met = ((x["n"] <= y["n"]) & x["first"]) | ((y["n"] <= x["n"]) & y["first"])
+    return met & (few >= similarity * many - 1e-9) & ((few < SMALL_SET) | (hamming(x, y) <= radius))
+
+
+def candidates(cells: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The likely pairs (``x``, ``y``) of the cells of up to ``SMALL_CELL`` members, and the members of the larger ones. Cells in which no member can be the one with fewer shingles have no pairs."""
+    counts = cells.groupBy("key").agg(F.count("*").alias("size"), F.max("first").alias("any")).filter("size > 1 and any").drop("any")
+    members = cells.join(counts, "key")
+    few = members.filter(F.col("size") <= SMALL_CELL).groupBy("key").agg(F.collect_list("m").alias("all"))
+
+    def partners(x: Column) -> Column:
+        later = F.filter("all", lambda y: (y["doc_id"] > x["doc_id"]) & likely(x, y, similarity))
+        return F.transform(later, lambda y: F.struct(x["doc_id"].alias("x"), y["doc_id"].alias("y")))
+
+    pairs = few.select(F.explode(F.flatten(F.transform("all", partners))).alias("pair")).select("pair.*").distinct()
+    return pairs, members.filter(F.col("size") > SMALL_CELL).select("key", "m")
+
+
+def large_cell_links(members: DataFrame, texts: DataFrame, similarity: float, words: int) -> list[DataFrame]:
+    """Links (``a``, ``b``) within large cells.
+
+    In rounds, some of a cell's members are compared with all of it, and those that prove near to
+    one of them are done; the others go on until each is done or has been compared with all.
+    In a cell of copies the first round is the last one. What can be missed is a pair of which
+    both were near to others already, in all cells that they share.
+    """
+    left = members.filter("m.first").select("key", F.col("m.doc_id").alias("doc_id"))
+    found, width = [], 4
+    while not left.isEmpty():
+        # The same in all cells as far as they have the same members, so that pairs recur and are verified once.
+        order = F.xxhash64("doc_id").bitwiseAND(F.lit(2**53 - 1)) / F.lit(2.0**53)
+        sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.min(order).alias("least"))
+        picked = left.join(sizes, "key").filter((order == F.col("least")) | (order * F.col("size") < width)).select("key", "doc_id")
+        heads = members.join(picked.withColumnRenamed("doc_id", "__id"), (members["key"] == picked["key"]) & (F.col("m.doc_id") == F.col("__id"))).select(picked["key"].alias("key"), F.col("m").alias("head"))
+        met = members.join(heads, "key").filter((F.col("m.doc_id") != F.col("head.doc_id")) & likely(F.col("m"), F.col("head"), similarity))
+        links = materialise(verified(met.select(F.col("head.doc_id").alias("x"), F.col("m.doc_id").alias("y")).distinct(), texts, similarity, words), "near-links")
+        found.append(links)
+        rest = left.join(picked, ["key", "doc_id"], "left_anti").join(links.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
+        left = materialise(rest.select("key", "doc_id"), "near-left")
+        width *= 4
+    return found
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """``a``, ``b``: the pairs (``x``, ``y``) whose texts reach the similarity."""
+    sides = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("t")), "y")
+    return sides.filter(jaccard(F.col("s"), F.col("t"), words) >= similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id`` and ``group_id``, the smallest key of the group, for rows whose texts are near-duplicates of others.
 
     Two texts are near-duplicates if the Jaccard similarity of their shingle sets reaches
-    ``similarity``. Candidates are pairs of 128-bit fingerprints that share a cell and whose
-    distance is at most what the similarity makes likely (mean and 2.5 deviations). The members
-    of a cell with more than ``SMALL_CELL`` are compared with one of them, in linear work.
+    ``similarity``. Texts that share one of their rarest shingles, as many as the similarity
+    demands, share a cell; pairs of a cell whose 128-bit fingerprints are near enough are decided
+    by their shingles. Every pair of the similarity shares a cell, at any size of the input; a
+    passage that many texts have makes no cells as long as it is not what makes them similar.
     Rows without a near-duplicate don't come back. Null keys are left out, and null and wordless
-    texts, which have no shingles to compare.
+    texts, which have no shingles to compare. Of rows with one key, one counts.
     """
     small_batches(df.sparkSession)
     rows = df.filter(F.col(f"`{key}`").isNotNull() & F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    prints = materialise(rows.select("doc_id", fingerprints(F.col("text"), words).alias("fp")).select("doc_id", "fp.*"), "near-prints")
-    distinct = prints.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"))
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = math.ceil(128 * p + 2.5 * math.sqrt(128 * p * (1 - p)))
-    bits = max(12, min(40, round(math.log2(max(2, prints.count())))))
-    pairs, many = cell_links(sampled_cells(distinct.select("a", "b"), tables, bits), radius)
-    star = many.select(F.struct("a", "b").alias("p"), F.struct(F.col("p").alias("a"), F.col("q").alias("b")).alias("q")).distinct()
-    star = star.filter((F.col("p") != F.col("q")) & (hamming(F.col("p"), F.col("q")) <= radius))
-    names = materialise(distinct, "near-distinct")
-
-    def named(pairs: DataFrame, side: str, to: str) -> DataFrame:
-        own = names.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("doc_id").alias(to))
-        return pairs.join(own, (F.col(f"{side}.a") == F.col("__a")) & (F.col(f"{side}.b") == F.col("__b"))).drop("__a", "__b")
-
-    likely = named(named(pairs.union(star), "p", "x"), "q", "y").select("x", "y").filter("x != y").distinct()
-    likely = materialise(likely, "near-pairs")
-    texts = rows.dropDuplicates(["doc_id"])
-    sides = likely.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("t")), "y")
-    links = sides.filter(jaccard(F.col("s"), F.col("t"), words) >= similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = components(links)
-    same = prints.join(names.withColumnRenamed("doc_id", "node"), ["a", "b"]).select("doc_id", "node")
-    found = same.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("group_id"))
-    return found.filter("doc_id != group_id").union(roots.select("root", "root").distinct()).distinct()
+    texts = rows.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).dropDuplicates(["doc_id"])
+    counts = order_counts(rows.select(F.col(f"`{text}`").cast("string").alias("text")), words)
+    prints = materialise(texts.select("doc_id", sketches(F.col("text"), words, similarity, counts).alias("s")).select("doc_id", "s.*"), "near-prints")
+    cells = prints.select("doc_id", "a", "b", "n", "narrow", F.posexplode("keys").alias("at", "key"))
+    cells = cells.select("key", F.struct("doc_id", "a", "b", "n", (F.col("at") < F.col("narrow")).alias("first")).alias("m")).withColumn("first", F.col("m.first"))
+    pairs, many = candidates(cells, similarity)
+    links = [verified(materialise(pairs, "near-pairs"), texts, similarity, words)]
+    links += large_cell_links(materialise(many, "near-cells"), texts, similarity, words)
+    roots = components(functools.reduce(DataFrame.union, links))
+    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
 
 
 def drop_near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
