@@ -296,8 +296,10 @@ def grouped(spark, rows):
     return {r.doc_id: r.group_id for r in simhash.near_groups(frame(spark, rows)).collect()}
 
 
-def test_near_groups_of_a_source_with_boilerplate(spark):
-    """Documents that are 0.7 alike by a passage they share, each with a copy of 0.8 or more: all of them meet in the cells of the passage."""
+@pytest.mark.parametrize("small", [simhash.SMALL_CELL, 0])
+def test_near_groups_of_a_source_with_boilerplate(spark, monkeypatch, small):
+    """Documents that are 0.7 alike by a passage they share, each with a copy of 0.8 or more, and one with many; also if every cell is a large one."""
+    monkeypatch.setattr(simhash, "SMALL_CELL", small)
     rnd = random.Random(4)
     word = lambda: f"v{rnd.randrange(10**6)}"
     common, rows = [word() for _ in range(170)], []
@@ -307,6 +309,7 @@ def test_near_groups_of_a_source_with_boilerplate(spark):
         copy[rnd.randrange(10, 24)] = word()
         copy[rnd.randrange(10, 24)] = word()
         rows += [(2 * g, " ".join(common + own)), (2 * g + 1, " ".join(common + copy))]
+    rows += [(1000 + i, " ".join(common + own[: 12 + i % 3] + own[13 + i % 3 :]) + f" {word()}") for i in range(40)]
     pairs, found = similar_pairs(rows), grouped(spark, rows)
     assert len(pairs) >= 150
     together = [p for p in pairs if p[0] in found and found[p[0]] == found.get(p[1])]
@@ -314,6 +317,26 @@ def test_near_groups_of_a_source_with_boilerplate(spark):
     assert len(set(found.values())) == 150  # the passage alone links nothing
 
 
+def test_near_groups_at_the_similarity_itself(spark):
+    """Every pair of exactly 0.8 is found: sets of one size, and one in the other."""
+    rnd, rows = random.Random(6), []
+    for g in range(300):
+        base = [f"b{rnd.randrange(10**7)}" for _ in range(94 if g % 2 else 104)]
+        other = base[:84] + [f"c{rnd.randrange(10**7)}" for _ in range(10)] if g % 2 else base[:84]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    assert grouped(spark, rows) == {i: i - i % 2 for i, _ in rows}
+
+
+def test_near_groups_with_repeated_lines(spark):
+    """A line repeated in it makes no text a copy of others, and a copy no other text."""
+    rnd = random.Random(8)
+    own = [" ".join(f"o{rnd.randrange(10**7)}" for _ in range(60)) for _ in range(20)]
+    padded = [(i, t + " pad" * 200) for i, t in enumerate(own[:10])]
+    copies = [(100 + i, t) for i, t in enumerate(own[10:])] + [(200 + i, t + (" " + " ".join(t.split()[-6:])) * 40) for i, t in enumerate(own[10:])]
+    copies += [(300, own[10])]
+    assert grouped(spark, padded + copies) == {i: 100 + i % 100 for i, _ in copies[:-1]} | {300: 100}
+
+
 def brute_exact(rows):
     groups = collections.defaultdict(list)
     for i, t in rows:

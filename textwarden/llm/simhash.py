@@ -146,17 +146,16 @@ def rarest(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[n
 
 
 def sketches(text: Column, words: int, similarity: float, counts: np.ndarray) -> Column:
-    """``struct<a, b, n, narrow, keys>``: two fingerprints of the text's shingles, how many distinct ones there are, and the rarest of them."""
+    """``struct<a, b, n, narrow, keys>``: two fingerprints of the text's distinct shingles, how many they are, and the rarest of them."""
 
     @F.pandas_udf("a bigint, b bigint, n int, narrow int, keys array<bigint>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
-                every = shingle_hashes(t, words)
-                h = np.unique(every)
+                h = np.unique(shingle_hashes(t, words))
                 keys, narrow = rarest(h, counts, similarity)
-                rows.append((majority(every), majority(again(every)), len(h), narrow, keys.view("i8")))
+                rows.append((majority(h), majority(again(h)), len(h), narrow, keys.view("i8")))
             yield pd.DataFrame(rows, columns=["a", "b", "n", "narrow", "keys"])
 
     return sketch(text)
@@ -260,7 +259,7 @@ def large_cell_links(members: DataFrame, texts: DataFrame, similarity: float, wo
         order = F.xxhash64("doc_id").bitwiseAND(F.lit(2**53 - 1)) / F.lit(2.0**53)
         sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.min(order).alias("least"))
         picked = left.join(sizes, "key").filter((order == F.col("least")) | (order * F.col("size") < width)).select("key", "doc_id")
-        heads = members.join(picked.withColumnRenamed("doc_id", "__id"), (members["key"] == picked["key"]) & (F.col("m.doc_id") == F.col("__id"))).select(picked["key"].alias("key"), F.col("m").alias("head"))
+        heads = members.select("key", F.col("m.doc_id").alias("doc_id"), F.col("m").alias("head")).join(picked, ["key", "doc_id"]).select("key", "head")
         met = members.join(heads, "key").filter((F.col("m.doc_id") != F.col("head.doc_id")) & likely(F.col("m"), F.col("head"), similarity))
         links = materialise(verified(met.select(F.col("head.doc_id").alias("x"), F.col("m.doc_id").alias("y")).distinct(), texts, similarity, words), "near-links")
         found.append(links)
