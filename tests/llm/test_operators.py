@@ -179,6 +179,20 @@ def test_license_scan(spark, docs, none):
     assert docs.select(F.explode(license_scan.matches(F.col("text")))).count() == 0 == none.select(license_scan.matches(F.col("text"))).count()
 
 
+def test_license_scan_of_neighbours_and_letters_that_grow():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    texts = {
+        "All rights reserved. (c) B. All rights reserved.": 2,
+        "Licensed under the MIT License. Licensed under the MIT License. Licensed under the MIT License.": 3,
+        "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.": 2,
+        "\u0130stanbul. Licensed under the MIT License.": 1,
+    }
+    for text, n in texts.items():
+        found = index.scan(text)
+        assert len(found) == n and all(m[2] == 1.0 for m in found)
+    assert text[found[0][3] : found[0][4]] == "Licensed under the MIT License"
+
+
 def test_packing(spark, docs, none):
     path, tk = queries.tokenizer_file("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.json")
     cut = packing.pieces(docs, path, 0, capacity=256)

@@ -86,7 +86,7 @@ class Index:
         """Matches of at least ``COVERAGE``, by place; of overlapping ones that with the most words stays."""
         lower = (text or "").lower()
         if len(lower) != len(text or ""):  # places are those of the text itself
-            lower = text
+            lower = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
         number = self.vocabulary.get
         words = np.fromiter((number(w, 0) for w in WORD.findall(lower)), "i8")
         hashes = self.grams(words)
@@ -99,23 +99,25 @@ class Index:
         chosen = set()
         for part in np.split(near, np.flatnonzero(np.diff(near) > 1) + 1):
             chosen.update((self.select(hashes[part[0] : part[-1] + 1]) + part[0]).tolist())
-        diagonals: dict[int, set[int]] = {}
-        for at in chosen:
+        diagonals: dict[int, list[tuple[int, int]]] = {}
+        for at in sorted(chosen):
             for t, place in self.places.get(int(hashes[at]), ()):
-                diagonals.setdefault(t, set()).add(at - place)
+                diagonals.setdefault(t, []).append((at, at - place))
         if not diagonals:
             return []
         spans = [m.span() for m in WORD.finditer(lower)]
         found = []
-        for t, offsets in diagonals.items():
+        for t, anchors in diagonals.items():
             name, no, template = self.templates[t]
-            last = None
-            for offset in sorted(offsets):
-                if last is not None and offset - last <= BAND:
+            first, last, tried = -1, -1, set()
+            for at, offset in anchors:
+                low = last + 1 if at > last else 0  # a match that follows another has words of its own
+                if first <= at <= last or (offset, low) in tried:
                     continue
-                last = offset
-                matched = align(template, words, offset, BAND)
+                tried.add((offset, low))
+                matched = align(template, words, offset, BAND, low)
                 if len(matched) >= COVERAGE * len(template):
+                    first, last = matched[0], matched[-1]
                     found.append((len(matched), name, no, len(matched) / len(template), spans[matched[0]][0], spans[matched[-1]][1]))
         kept: list[tuple[str, int, float, int, int]] = []
         for _, name, no, share, start, end in sorted(found, key=lambda m: (-m[0], m[4], m[1], m[2])):
@@ -124,8 +126,8 @@ class Index:
         return sorted(kept, key=lambda m: m[3])
 
 
-def align(template: np.ndarray, words: np.ndarray, offset: int, band: int) -> list[int]:
-    """Places of the text's words in the longest common subsequence with the template within ``band`` of the diagonal ``offset``."""
+def align(template: np.ndarray, words: np.ndarray, offset: int, band: int, low: int = 0) -> list[int]:
+    """Places, from ``low``, of the text's words in the longest common subsequence with the template within ``band`` of the diagonal ``offset``."""
     width = 2 * band + 1
     best = np.zeros((len(template) + 1, width + 1), "i4")  # column c of row i stands for the text's word i - 1 + offset + c - band
     for i in range(1, len(template) + 1):
@@ -134,7 +136,7 @@ def align(template: np.ndarray, words: np.ndarray, offset: int, band: int) -> li
             j = i - 1 + offset + c - band
             left = row[c - 1] if c else 0
             row[c] = max(left, above[c + 1] if c + 1 < width else 0)
-            if 0 <= j < len(words) and words[j] == template[i - 1]:
+            if low <= j < len(words) and words[j] == template[i - 1]:
                 row[c] = max(row[c], above[c] + 1)
     i, c, out = len(template), width - 1, []
     while i > 0 and c >= 0 and best[i][c]:
