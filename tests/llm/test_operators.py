@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from textwarden.llm import bpe_automaton, exact_dedup, fingerprint, id_files, lang_id, license_scan, packing, queries, sharding, simhash, suffix_dedup, token_ids
+from textwarden.llm import bpe_automaton, exact_dedup, fingerprint, id_files, lang_id, license_scan, packing, queries, sharding, simhash, skew, suffix_dedup, token_ids
 from textwarden.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, slot string, offset int, sequence_id string, bucket int, rec string, `group` string, fingerprint string, span int"
@@ -237,9 +237,9 @@ def brute_fingerprint(text, words):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-@pytest.mark.parametrize("small", [simhash.SMALL_CELL, 1])
-def test_simhash(spark, docs, none, monkeypatch, small):
-    monkeypatch.setattr(simhash, "SMALL_CELL", small)
+@pytest.mark.parametrize("per_task", [skew.PER_TASK, 2])
+def test_simhash(spark, docs, none, monkeypatch, per_task):
+    monkeypatch.setattr(skew, "PER_TASK", per_task)
     found = simhash.two_bit_components(docs).collect()
     prints = [brute_fingerprint(t, 3) for _, t in corpus()]
     assert collections.Counter((r.doc_id, r.fp % 2**64) for r in found) == collections.Counter((i, p) for (i, _), p in zip(corpus(), prints, strict=True))
@@ -256,18 +256,18 @@ def test_simhash(spark, docs, none, monkeypatch, small):
     assert simhash.two_bit_components(none).count() == 0
 
 
-@pytest.mark.parametrize("small", [simhash.SMALL_CELL, 0])
-def test_simhash_links_are_whole(spark, monkeypatch, small):
-    monkeypatch.setattr(simhash, "SMALL_CELL", small)
+@pytest.mark.parametrize("near", [0, 50])
+def test_simhash_links_are_whole(spark, near):
+    """Also where many fingerprints share a cell: ``near`` of them differ in up to 8 bits of one segment group."""
     rng = random.Random(4)
     prints = {rng.getrandbits(64) for _ in range(60)}
     for p in list(prints)[:30]:
         prints |= {p ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(3)}
+    hub = rng.getrandbits(64)
+    prints |= {hub ^ rng.getrandbits(9) for _ in range(near)}
     signed = lambda p: p - 2**64 if p >= 2**63 else p
-    df = spark.createDataFrame([(signed(p), 0) for p in prints], "a long, b long")
-    pairs, many = simhash.cell_links(simhash.exact_cells(df, 2), 2)
-    links = pairs.select(F.col("p.a").alias("a"), F.col("q.a").alias("b")).union(simhash.hub_links(many.select("a").distinct()))
-    root = {r.node: r.root for r in components(links).collect()}
+    df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+    root = {r.node: r.root for r in simhash.bit_links(df, 2).collect()}
     values = sorted(map(signed, prints))
     want = {v: v for v in values}
     for i, x in enumerate(values):
@@ -310,10 +310,18 @@ def grouped(spark, rows):
     return {r.doc_id: r.group_id for r in simhash.near_groups(frame(spark, rows)).collect()}
 
 
-@pytest.mark.parametrize("small", [simhash.SMALL_CELL, 0])
-def test_near_groups_of_a_source_with_boilerplate(spark, monkeypatch, small):
-    """Documents that are 0.7 alike by a passage they share, each with a copy of 0.8 or more, and one with many; also if every cell is a large one."""
-    monkeypatch.setattr(simhash, "SMALL_CELL", small)
+def components_of(pairs):
+    group = {i: i for p in pairs for i in p}
+    for a, b in pairs:
+        low, high = sorted((group[a], group[b]))
+        group = {k: low if v == high else v for k, v in group.items()}
+    return group
+
+
+@pytest.mark.parametrize("per_task", [skew.PER_TASK, 3])
+def test_near_groups_of_a_source_with_boilerplate(spark, monkeypatch, per_task):
+    """Documents that are 0.7 alike by a passage they share, each with a copy of 0.8 or more, and one with many; also if keys are dealt over tasks."""
+    monkeypatch.setattr(skew, "PER_TASK", per_task)
     rnd = random.Random(4)
     word = lambda: f"v{rnd.randrange(10**6)}"
     common, rows = [word() for _ in range(170)], []
@@ -326,11 +334,27 @@ def test_near_groups_of_a_source_with_boilerplate(spark, monkeypatch, small):
     rows += [(1000 + i, " ".join(common + own[: 12 + i % 3] + own[13 + i % 3 :]) + f" {word()}") for i in range(40)]
     pairs, found = similar_pairs(rows), grouped(spark, rows)
     assert len(pairs) >= 150
-    together = [p for p in pairs if p[0] in found and found[p[0]] == found.get(p[1])]
-    assert len(together) >= 0.99 * len(pairs)
+    assert found == components_of(pairs)
     assert len(set(found.values())) == 150  # the passage alone links nothing
 
 
+def test_near_groups_of_chains_in_large_cells(spark):
+    """Texts each of which is near to its neighbours only, all with a few rare shingles in common, so that they meet in large cells."""
+    rnd = random.Random(12)
+    words = [f"k{rnd.randrange(10**7)}" for _ in range(900)]
+    mark = [f"m{rnd.randrange(10**7)}" for _ in range(12)]
+    rows = [(i, " ".join(mark + words[5 * i : 5 * i + 100])) for i in range(36) if i % 18 != 17]
+    pairs = similar_pairs(rows)
+    assert len(pairs) > 30 and grouped(spark, rows) == components_of(pairs)
+
+
+def test_near_groups_with_equal_fingerprints(spark):
+    """A line that makes more than half of the shingles decides the fingerprint, but nothing is dropped for it."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join(["again and again this line"] * 60 + [f"z{rnd.randrange(10**6)}" for _ in range(60)])) for i in range(4)]
+    assert not similar_pairs(rows) and grouped(spark, rows) == {}
+
+
 def test_near_groups_at_the_similarity_itself(spark):
     """Every pair of exactly 0.8 is found: sets of one size, and one in the other."""
     rnd, rows = random.Random(6), []

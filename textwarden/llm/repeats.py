@@ -22,18 +22,31 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of all ``k``-byte strings: a rolling polynomial, mixed."""
-    n = len(data)
-    sums = np.zeros(n + 1, "u8")
-    np.cumsum((data.astype("u8") + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
-    h = (sums[k:] - sums[:-k]) * _power(_INVERSE, n - k + 1)
+def _mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     return h
 
 
+def _sums(data: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, "u8")
+    np.cumsum((data.astype("u8") + np.uint64(1)) * _power(_BASE, len(data)), out=sums[1:])
+    return sums
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from ``starts`` to ``ends``: polynomials from running sums, mixed."""
+    sums = _sums(data)
+    return _mixed((sums[ends] - sums[starts]) * _power(_INVERSE, len(data) + 1)[starts])
+
+
+def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of all ``k``-byte strings: a rolling polynomial, mixed."""
+    sums = _sums(data)
+    return _mixed((sums[k:] - sums[:-k]) * _power(_INVERSE, len(data) - k + 1))
+
+
 def ranges(data: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The window starts as ranges (first, last) with the hash of the ``k``-gram that they share.
 

@@ -9,13 +9,13 @@ For a small radius the grid is exact: the segments form ``radius + 4`` groups, o
 fingerprints within the radius agree in at least four, so they meet in a cell of some four
 groups. For the similarity of whole texts (``near_groups``) longer fingerprints and a wide
 radius are needed, where such a grid would meet almost everything, and texts with a common
-passage everything of their kind; there a text's rarest shingles make the cells, fingerprints drop
-most pairs, and the others are verified by their shingles.
+passage everything of their kind; there a text's rarest shingles make the cells. Within them the
+Manhattan distance, then the exact distance drop most pairs, and the others are verified by
+their shingles.
 """
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -27,14 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.components import components
+from textwarden.llm import cells
+from textwarden.llm.repeats import range_hashes
+from textwarden.llm.skew import near, spread_join
 from textwarden.llm.token_ids import small_batches
 from textwarden.runtime import materialise
 
 SEED = 42
 SEGMENT_BITS = 2
-#: Members up to which a cell's pairs are looked at one by one.
-SMALL_CELL = 16
+#: Words whose shingles are hashed at once.
+BLOCK_WORDS = 2**17
 #: Classes of shingles that are counted, to tell rare from frequent ones, and distinct shingles from which fingerprints can rule out a pair.
 SLOTS, SMALL_SET = 2**20, 32
 _EVEN = 0x5555555555555555
@@ -81,52 +83,87 @@ def fingerprint(text: Column, words: int) -> Column:
 
 
 def embed(fp: Column) -> Column:
-    """Ones in each two-bit segment, as the two-bit fields of a long."""
+    """How many ones each two-bit segment has, in unary (0: 00, 1: 01, 2: 11), so that the Manhattan distance of two embeddings is the number of bits that differ."""
     low, high = fp.bitwiseAND(F.lit(_EVEN)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(_EVEN))
-    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+    return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def manhattan(x: Column, y: Column) -> Column:
-    """Distance of two embeddings."""
+def distance(x: Column, y: Column) -> Column:
+    """Bits in which two longs differ; of embeddings: their Manhattan distance."""
+    return F.bit_count(x.bitwiseXOR(y))
 
-    def field(v: Column, s: Column) -> Column:
-        return F.call_function("shiftrightunsigned", v, s).bitwiseAND(F.lit(3))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(62), F.lit(2)), F.lit(0).cast("long"), lambda sum_, s: sum_ + F.abs(field(x, s) - field(y, s)))
+def grid_cells(fp: Column, radius: int) -> Column:
+    """Names of the grid's cells of a fingerprint: one for every choice of four of ``radius + 4`` groups of segments. Cells that share a name are one cell."""
+    groups = np.array_split(np.arange(64 // SEGMENT_BITS), radius + 4)
+    masks = [sum(3 << (2 * int(s)) for g in chosen for s in g) for chosen in itertools.combinations(groups, 4)]
+    signed = [m - 2**64 if m >= 2**63 else m for m in masks]
+    return F.transform(F.from_json(F.lit(str(signed)), "array<bigint>"), lambda m, i: F.xxhash64(i, embed(fp).bitwiseAND(m)))
 
 
-def hamming(p: Column, q: Column) -> Column:
-    return F.bit_count(p["a"].bitwiseXOR(q["a"])) + F.bit_count(p["b"].bitwiseXOR(q["b"]))
+def bit_links(prints: DataFrame, radius: int) -> DataFrame:
+    """``node``, ``root`` over the distinct fingerprints ``fp``, linked at ``radius`` or fewer differing bits."""
+    members, sizes = cells.shared(prints.select(F.explode(grid_cells(F.col("fp"), radius)).alias("key"), F.col("fp").alias("id"), F.lit(True).alias("first")))
+    members = members.select("key", "size", "least", F.struct("id", "first").alias("m"))
 
+    def alike(x: Column, y: Column) -> Column:
+        return (distance(embed(x["id"]), embed(y["id"])) <= radius) & (distance(x["id"], y["id"]) <= radius)
 
-def exact_cells(prints: DataFrame, radius: int) -> DataFrame:
-    """``key``, ``a``, ``b``: each fingerprint in the grid's cell for every choice of four of ``radius + 4`` groups of segments."""
-    groups = np.array_split(np.arange(64 // SEGMENT_BITS), radius + 4)
-    masks = [sum(3 << (2 * int(s)) for g in chosen for s in g) for chosen in itertools.combinations(groups, 4)]
-    signed = [m - 2**64 if m >= 2**63 else m for m in masks]
-    keys = F.transform(F.from_json(F.lit(str(signed)), "array<bigint>"), lambda m, i: F.struct(i.cast("int").alias("choice"), embed(F.col("a")).bitwiseAND(m).alias("ones")))
-    return prints.select(F.explode(keys).alias("key"), "a", "b")
+    return cells.linked(members, sizes, alike)
+
+
+def two_bit_components(df: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id``, the smallest key reachable over fingerprints that differ in two bits or fewer.
+
+    Every row comes back, repeated rows too; null and wordless texts have fingerprint zero and
+    link like any other. Null keys can be linked but are never a ``component_id`` unless nothing
+    else is in reach (then it is null). Extra columns are not read.
+    """
+    small_batches(df.sparkSession)
+    rows = materialise(df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), fingerprint(F.col(f"`{text}`"), words).alias("fp")), "simhash")
+    sizes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
+    prints = materialise(sizes, "simhash-distinct")
+    roots = bit_links(prints.select("fp"), 2)
+    linked = roots.join(prints, roots["node"] == prints["fp"]).select("fp", "root", "least")
+    found = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    named = materialise(prints.join(found, "fp", "left").select("fp", "size", F.coalesce("component_id", "least").alias("component_id")), "simhash-components")
+    return spread_join(rows, named.drop("size"), "fp", named.select("fp", "size")).select("doc_id", "fp", "component_id")
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the runs of ``words`` words, as in ``shingle_hashes``, ascending: polynomials of their bytes from running sums, mixed."""
+    parts = (text or "").encode().lower().split()
+    found = [np.zeros(0, "u8")]
+    for at in range(0, max(1, len(parts) - words + 1), BLOCK_WORDS):
+        data = np.frombuffer(b" ".join([*parts[at : at + BLOCK_WORDS + words - 1], b""]), "u1")
+        if len(data):
+            ends = np.flatnonzero(data == 32)
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            last = ends[words - 1 :] if len(ends) >= words else ends[-1:]
+            found.append(range_hashes(data, starts[: len(last)], last))
+    return np.unique(np.concatenate(found))
 
 
 def order_counts(texts: DataFrame, words: int) -> np.ndarray:
-    """In how many texts the shingles of each of ``SLOTS`` classes of hashes stand, so that a frequent shingle makes its class stand out."""
+    """In how many texts the shingles of each of ``SLOTS`` classes of hashes stand, as quarter logarithms, so that a frequent shingle makes its class stand out. A megabyte, whatever the input."""
     blocks = SLOTS >> 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(SLOTS, "i8")
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                np.add.at(found, slot(np.unique(shingle_hashes(text, words))), 1)
+                np.add.at(found, slot(shingles(text, words)), 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([part.tobytes() for part in np.split(found, blocks)], pa.binary())], ["block", "counts"])
 
     def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sum(np.frombuffer(part, "i8") for batch in batches for part in batch.column("counts").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([found.tobytes()], pa.binary())], ["block", "counts"])
+        levels = np.minimum(255, 4 * np.log2(1.0 + found)).astype("u1")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([levels.tobytes()], pa.binary())], ["block", "counts"])
 
     parts = texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(total, "block int, counts binary").collect()
-    found = np.zeros((blocks, 1 << 16), "i8")
+    found = np.zeros((blocks, 1 << 16), "u1")
     for block, counts in parts:
-        found[block] = np.frombuffer(counts, "i8")
+        found[block] = np.frombuffer(counts, "u1")
     return found.ravel()
 
 
@@ -153,7 +190,7 @@ def sketches(text: Column, words: int, similarity: float, counts: np.ndarray) ->
         for texts in batches:
             rows = []
             for t in texts:
-                h = np.unique(shingle_hashes(t, words))
+                h = shingles(t, words)
                 keys, narrow = rarest(h, counts, similarity)
                 rows.append((majority(h), majority(again(h)), len(h), narrow, keys.view("i8")))
             yield pd.DataFrame(rows, columns=["a", "b", "n", "narrow", "keys"])
@@ -161,146 +198,68 @@ def sketches(text: Column, words: int, similarity: float, counts: np.ndarray) ->
     return sketch(text)
 
 
-def cell_links(cells: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """Links within small cells, and the members of the others with one of their cell, the same for all (``a``, ``b``, ``p``, ``q``).
-
-    Cells are counted first, so that only a small cell's members are ever brought together.
-    """
-    counts = cells.groupBy("key").agg(F.count("*").alias("n"), F.first("a").alias("p"), F.first("b").alias("q")).filter("n > 1")
-    members = cells.join(counts, "key")
-    few = members.filter(F.col("n") <= SMALL_CELL).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("all"))
-
-    def partners(p: Column) -> Column:
-        later = F.filter("all", lambda q: (q > p) & (manhattan(embed(p["a"]), embed(q["a"])) <= radius) & (hamming(p, q) <= radius))
-        return F.transform(later, lambda q: F.struct(p.alias("p"), q.alias("q")))
-
-    pairs = few.select(F.explode(F.flatten(F.transform("all", partners))).alias("pair")).select("pair.p", "pair.q").distinct()
-    many = members.filter(F.col("n") > SMALL_CELL).select("a", "b", "p", "q")
-    return pairs, many
-
-
-def hub_links(prints: DataFrame) -> DataFrame:
-    """Exactly the components of links at up to two bits, for the fingerprints ``a``: each one and each that differs from it in one bit is a hub, and all that meet at a hub are within two bits of one another. Every member is linked to its hub's smallest."""
-    flips = [0] + [1 << i if i < 63 else -(2**63) for i in range(64)]
-    hubs = prints.select("a", F.explode(F.transform(F.from_json(F.lit(str(flips)), "array<bigint>"), lambda f: F.col("a").bitwiseXOR(f))).alias("hub"))
-    least = hubs.groupBy("hub").agg(F.min("a").alias("p"), F.count("*").alias("n")).filter("n > 1")
-    return hubs.join(least, "hub").filter("a != p").select("a", F.col("p").alias("b")).distinct()
-
-
-def two_bit_components(df: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id``, the smallest key reachable over fingerprints that differ in two bits or fewer.
-
-    Every row comes back, repeated rows too; null and wordless texts have fingerprint zero and
-    link like any other. Null keys can be linked but are never a ``component_id`` unless nothing
-    else is in reach (then it is null). Extra columns are not read.
-    """
-    small_batches(df.sparkSession)
-    rows = materialise(df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), fingerprint(F.col(f"`{text}`"), words).alias("fp")), "simhash")
-    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    pairs, many = cell_links(exact_cells(prints.select(F.col("fp").alias("a"), F.lit(0).cast("long").alias("b")), 2), 2)
-    links = pairs.select(F.col("p.a").alias("a"), F.col("q.a").alias("b")).union(hub_links(many.select("a").distinct()))
-    roots = components(links)
-    linked = roots.join(prints, roots["node"] == prints["fp"]).select("fp", "root", "least")
-    found = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    named = materialise(prints.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-components")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def jaccard(p: Column, q: Column, words: int) -> Column:
-    """Similarity of two texts' sets of shingles; 1 where both are empty."""
-
-    @F.pandas_udf("double")
-    def similarity(ps: pd.Series, qs: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(ps, qs, strict=True):
-            x, y = np.unique(shingle_hashes(x, words)), np.unique(shingle_hashes(y, words))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
-        return pd.Series(out, dtype="float64")
-
-    return similarity(p, q)
-
-
 def likely(x: Column, y: Column, similarity: float) -> Column:
-    """Whether two members of a cell may reach the similarity: one of them has the key where the set with fewer shingles must have it, the sizes allow it, and the fingerprints are no further apart than it makes likely (mean and four deviations; not asked of small sets, whose spread is wider)."""
+    """Whether two members of a cell may reach the similarity: one of them has the key where the set with fewer shingles must have it, the sizes allow it, and the fingerprints are no further apart than it makes likely (mean and four deviations; not asked of small sets, whose spread is wider). The Manhattan distance of their embeddings, a lower bound, is asked first."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.ceil(128 * p + 4 * math.sqrt(128 * p * (1 - p)))
     few, many = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
     met = ((x["n"] <= y["n"]) & x["first"]) | ((y["n"] <= x["n"]) & y["first"])
-    return met & (few >= similarity * many - 1e-9) & ((few < SMALL_SET) | (hamming(x, y) <= radius))
-
+    bound = distance(embed(x["a"]), embed(y["a"])) + distance(embed(x["b"]), embed(y["b"]))
+    exact = distance(x["a"], y["a"]) + distance(x["b"], y["b"])
+    return met & (few >= similarity * many - 1e-9) & ((few < SMALL_SET) | ((bound <= radius) & (exact <= radius)))
 
-def candidates(cells: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The likely pairs (``x``, ``y``) of the cells of up to ``SMALL_CELL`` members, and the members of the larger ones. Cells in which no member can be the one with fewer shingles have no pairs."""
-    counts = cells.groupBy("key").agg(F.count("*").alias("size"), F.max("first").alias("any")).filter("size > 1 and any").drop("any")
-    members = cells.join(counts, "key")
-    few = members.filter(F.col("size") <= SMALL_CELL).groupBy("key").agg(F.collect_list("m").alias("all"))
-
-    def partners(x: Column) -> Column:
-        later = F.filter("all", lambda y: (y["doc_id"] > x["doc_id"]) & likely(x, y, similarity))
-        return F.transform(later, lambda y: F.struct(x["doc_id"].alias("x"), y["doc_id"].alias("y")))
-
-    pairs = few.select(F.explode(F.flatten(F.transform("all", partners))).alias("pair")).select("pair.*").distinct()
-    return pairs, members.filter(F.col("size") > SMALL_CELL).select("key", "m")
 
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """``a``, ``b``: the pairs (``x``, ``y``) whose texts' sets of shingles reach the similarity. Each text of a pair is cut into shingles once; their hashes are compared."""
 
-def large_cell_links(members: DataFrame, texts: DataFrame, similarity: float, words: int) -> list[DataFrame]:
-    """Links (``a``, ``b``) within large cells.
-
-    In rounds, some of a cell's members are compared with all of it, and those that prove near to
-    one of them are done; the others go on until each is done or has been compared with all.
-    In a cell of copies the first round is the last one. What can be missed is a pair of which
-    both were near to others already, in all cells that they share.
-    """
-    left = members.filter("m.first").select("key", F.col("m.doc_id").alias("doc_id"))
-    found, width = [], 4
-    while not left.isEmpty():
-        # The same in all cells as far as they have the same members, so that pairs recur and are verified once.
-        order = F.xxhash64("doc_id").bitwiseAND(F.lit(2**53 - 1)) / F.lit(2.0**53)
-        sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.min(order).alias("least"))
-        picked = left.join(sizes, "key").filter((order == F.col("least")) | (order * F.col("size") < width)).select("key", "doc_id")
-        heads = members.select("key", F.col("m.doc_id").alias("doc_id"), F.col("m").alias("head")).join(picked, ["key", "doc_id"]).select("key", "head")
-        met = members.join(heads, "key").filter((F.col("m.doc_id") != F.col("head.doc_id")) & likely(F.col("m"), F.col("head"), similarity))
-        links = materialise(verified(met.select(F.col("head.doc_id").alias("x"), F.col("m.doc_id").alias("y")).distinct(), texts, similarity, words), "near-links")
-        found.append(links)
-        rest = left.join(picked, ["key", "doc_id"], "left_anti").join(links.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
-        left = materialise(rest.select("key", "doc_id"), "near-left")
-        width *= 4
-    return found
+    @F.pandas_udf("binary")
+    def packed(ts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, words).tobytes() for t in ts])
 
+    @F.pandas_udf("boolean")
+    def reach(ps: pd.Series, qs: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(ps, qs, strict=True):
+            x, y = np.frombuffer(p, "u8"), np.frombuffer(q, "u8")
+            both = len(x) + len(y) - len(np.union1d(x, y))
+            out.append(both >= similarity * (len(x) + len(y) - both))
+        return pd.Series(out, dtype="bool")
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """``a``, ``b``: the pairs (``x``, ``y``) whose texts reach the similarity."""
-    sides = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("t")), "y")
-    return sides.filter(jaccard(F.col("s"), F.col("t"), words) >= similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    wanted = materialise(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "near-wanted")
+    sets = materialise(texts.join(near(wanted, wanted.count()), "doc_id", "left_semi").select("doc_id", packed("text").alias("set")), "near-sets")
+    sides = pairs.join(sets.select(F.col("doc_id").alias("y"), F.col("set").alias("q")), "y")
+    sides = spread_join(sides, sets.select(F.col("doc_id").alias("x"), F.col("set").alias("p")), "x", pairs.groupBy("x").agg(F.count("*").alias("size")))
+    return sides.filter(reach("p", "q")).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``group_id``, the smallest key of the group, for rows whose texts are near-duplicates of others.
 
     Two texts are near-duplicates if the Jaccard similarity of their shingle sets reaches
-    ``similarity``. Texts that share one of their rarest shingles, as many as the similarity
-    demands, share a cell; pairs of a cell whose 128-bit fingerprints are near enough are decided
-    by their shingles. Every pair of the similarity shares a cell, at any size of the input; a
-    passage that many texts have makes no cells as long as it is not what makes them similar.
-    Rows without a near-duplicate don't come back. Null keys are left out, and null and wordless
-    texts, which have no shingles to compare. Of rows with one key, one counts.
+    ``similarity``, and a group is a component of such links. Texts that share one of their
+    rarest shingles, as many as the similarity demands, share a cell, so every pair of the
+    similarity does, at any size of the input; a passage that many texts have makes no cells as
+    long as it is not what makes them similar. Pairs whose 128-bit fingerprints are near enough
+    are decided by their shingles, equal fingerprints too; ``cells.linked`` sees to it that no
+    link is lost in large cells. Rows without a near-duplicate don't come back. Null keys are
+    left out, and null and wordless texts, which have no shingles to compare. Rows with one key
+    are one document, near to what any of its texts is near to.
     """
     small_batches(df.sparkSession)
     rows = df.filter(F.col(f"`{key}`").isNotNull() & F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"))
-    texts = rows.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).dropDuplicates(["doc_id"])
-    counts = order_counts(rows.select(F.col(f"`{text}`").cast("string").alias("text")), words)
-    prints = materialise(texts.select("doc_id", sketches(F.col("text"), words, similarity, counts).alias("s")).select("doc_id", "s.*"), "near-prints")
-    cells = prints.select("doc_id", "a", "b", "n", "narrow", F.posexplode("keys").alias("at", "key"))
-    cells = cells.select("key", F.struct("doc_id", "a", "b", "n", (F.col("at") < F.col("narrow")).alias("first")).alias("m")).withColumn("first", F.col("m.first"))
-    pairs, many = candidates(cells, similarity)
-    links = [verified(materialise(pairs, "near-pairs"), texts, similarity, words)]
-    links += large_cell_links(materialise(many, "near-cells"), texts, similarity, words)
-    roots = components(functools.reduce(DataFrame.union, links))
+    texts = rows.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    counts = order_counts(texts.select("text"), words)
+    prints = texts.select("doc_id", sketches(F.col("text"), words, similarity, counts).alias("s")).select("doc_id", "s.*")
+    prints = materialise(prints, "near-prints")
+    found = prints.select("narrow", F.col("doc_id").alias("id"), F.posexplode("keys").alias("at", "key")).select("key", "id", (F.col("at") < F.col("narrow")).alias("first"))
+    members, sizes = cells.shared(found)
+    members = members.join(prints.select(F.col("doc_id").alias("id"), "a", "b", "n"), "id").select("key", "size", "least", F.struct("id", "first", "a", "b", "n").alias("m"))
+    roots = cells.linked(members, sizes, lambda x, y: likely(x, y, similarity), lambda pairs: verified(pairs, texts, similarity, words))
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
 
 
 def drop_near_copies(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row, the one with the smallest key, of each group of near-duplicates."""
-    lost = near_groups(df, words, similarity, key=key, text=text).filter("doc_id != group_id").select(F.col("doc_id").alias("__lost")).distinct()
-    return df.join(lost, F.col(f"`{key}`") == F.col("__lost"), "left_anti")
+    lost = near_groups(df, words, similarity, key=key, text=text).filter("doc_id != group_id").select(F.col("doc_id").alias("lost"))
+    lost = materialise(lost, "near-lost")
+    return df.join(near(lost, lost.count()), df[f"`{key}`"] == lost["lost"], "left_anti")
