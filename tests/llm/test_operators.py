@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -131,18 +132,48 @@ def test_bpe_automaton(docs, none):
 
 def test_automaton_is_the_tokenizer():
     path, tk = queries.tokenizer_file("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.json")
-    a, words = bpe_automaton.automaton(path)
+    words = bpe_automaton.Encoder(bpe_automaton.automaton(path))
     library = token_ids.encoder(path)
     rnd = random.Random(3)
     pools = ["abcdefgh '", "aaaa b", " \n\t\r  ab", "éàüñ ßÉ", "日本語🙂 ́‍", "0123 ½٣", "\x1c\x1f\x85\xa0  a", "!?.,'s'll're ", "theing andtion"]
     texts = ["".join(rnd.choice(rnd.choice(pools)) for _ in range(rnd.randint(0, 40))) for _ in range(800)]
     want = [e.ids for e in tk.encode_batch(texts, add_special_tokens=False)]
-    assert [a.encode(t) for t in texts] == want
+    assert [token_ids.wide(words.one(t)).tolist() for t in texts] == want
     assert [token_ids.wide(b).tolist() for b in words(texts)] == want == [token_ids.wide(b).tolist() for b in library(texts)]
     other = tokenizer("word_bpe_49k.json")
     assert [token_ids.wide(b).tolist() for b in token_ids.encoder(queries.tokenizer_file("word_bpe_49k.json"))(texts)] == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_automaton_by_brute_force(monkeypatch):
+    """The arcs of a small vocabulary are the pairs that stand side by side in some merged word, and the table alone encodes."""
+    pairs = ["a b", "b a", "ab a", "a a", "c ab", "aa b", "ba ba", "ab ab"]
+    letters = {c: i for i, c in enumerate("abc")}
+    vocab = letters | {"".join(p.split()): 3 + i for i, p in enumerate(pairs)}
+    merges = [(*(vocab[x] for x in p.split()), vocab[p.replace(" ", "")]) for p in pairs]
+
+    def merged(word):
+        tokens = list(word)
+        for p in pairs:  # by rank, from the left
+            a, b = p.split()
+            out = []
+            for t in tokens:
+                out[-1:] = [out[-1] + t] if out and (out[-1], t) == (a, b) else [*out[-1:], t]
+            tokens = out
+        return [vocab[t] for t in tokens]
+
+    words = ["".join(w) for n in range(1, 9) for w in itertools.product("abc", repeat=n)]
+    met = {pair for w in words for pair in itertools.pairwise(merged(w))}
+    a = bpe_automaton.Automaton({i: t.encode() for t, i in vocab.items()}, merges, {})
+    made = [t for w, t in vocab.items() if merged(w) == [t]]  # the others never come up
+    x, y = (np.array(v) for v in zip(*itertools.product(made, repeat=2), strict=True))
+    assert {(int(p), int(q)) for p, q, arc in zip(x, y, a.arcs(x, y), strict=True) if arc} == met
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in a.words([w.encode() for w in words])] == list(map(merged, words))
+    monkeypatch.setattr(bpe_automaton, "LONG_WORD", 0)
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in a.words([w.encode() for w in words[-3000:]])] == list(map(merged, words[-3000:]))
+    a.table = np.full_like(a.table, 255)  # without the gadgets' work the encoding is another
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in a.words([w.encode() for w in words])] != list(map(merged, words))
+
+
 def test_fingerprints(spark, docs, none):
     rows = [(i, t) for i, t in corpus() if i is not None and i not in (60, 61)]
     found = {r.doc_id: r for r in fingerprint.compare_with_edits(frame(spark, rows).repartition(3)).collect()}

@@ -1,16 +1,21 @@
 """BPE as a tokenization automaton.
 
 The automaton reads tokens; its states are named by the token read last, and an arc from ``x``
-labelled ``y`` says that ``y`` may follow ``x`` in the encoding of some text. It starts as the
+labelled ``y`` says that ``y`` may follow ``x`` in the encoding of a word. It starts as the
 automaton of all byte strings, with an arc between any two bytes, and each merge ``a b -> ab``,
-in order of rank, changes it by a gadget: the arc ``b`` leaves state ``a``; a state ``ab`` is
-added with the arcs that state ``b`` has at that moment; and every state that has an arc ``a``
-gets an arc ``ab``. (If ``a`` is ``b``, the arc leaves first, as runs merge from the left.)
-
-An arc of the finished automaton follows from the gadgets of its two tokens, so arcs are
-compiled when they are first asked for and then kept in a table. A word's encoding is the only
-path from the start whose labels spell it. The path is found in one pass over the bytes: every
-prefix of a word has its own encoding, of which the state after it is the last token.
+in order of rank, changes it by a gadget: a state ``ab`` is added with the arcs that state ``b``
+has at that moment; the arc ``b`` leaves state ``a``; and every state that has an arc ``a`` then
+gets an arc ``ab``. (In this order also if ``a`` is ``b``, as runs merge from the left.)
+
+``compiled`` applies the gadgets of all merges to a table of states by symbols, one bit for each
+arc, and then merges states with the same arcs. Tokens that begin with a space can only be the
+first of a word (or be of white space as a whole), so only the others are symbols of the table; the
+start has an arc for every token. The table is built once and broadcast; its size is bounded by
+the vocabulary's (some 30 MB for 50,000 tokens).
+
+A word's encoding is the only path from the start whose labels spell it. It is found in one pass
+over the bytes: every prefix of a word has its own encoding, of which the state after it is the
+last token. Many words take their steps together. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.llm.token_ids import ByteLevelEncoder, wide
@@ -29,6 +34,11 @@ from textwarden.llm.token_ids import ByteLevelEncoder, wide
 #: White space as the tokenizer's pattern has it, and that pattern.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: The bytes of white space.
+_WHITE = {*range(9, 14), *" \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000".encode()}
+#: Words that take their steps together, and bytes beyond which a word goes by itself.
+TOGETHER, LONG_WORD = 4096, 192
+_GOLDEN = 0x9E3779B97F4A7C15
 
 
 def byte_letters() -> dict[str, int]:
@@ -38,24 +48,79 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+def compiled(labels: dict[int, bytes], merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table (rows of bits), the row of each state and the column of each symbol (-1: none). ``merges``: left, right and merged token, by rank."""
+    symbols = [t for t, s in labels.items() if not s.startswith(b" ") or _WHITE.issuperset(s)]
+    column = np.full(max(labels) + 1, -1)
+    column[symbols] = np.arange(len(symbols))
+    start = [t for t, s in labels.items() if len(s) == 1]
+    row = {t: i for i, t in enumerate(start)}
+    table = np.zeros((len(start) + len(merges), -(-len(symbols) // 8)), "u1")
+    for byte in start:
+        table[: len(start), column[byte] >> 3] |= np.uint8(1 << (column[byte] & 7))
+    for n, (a, b, ab) in enumerate(merges, len(start)):
+        ca, cb, cab = column[a], column[b], column[ab]
+        table[n], row[ab] = table[row[b]], n
+        if cb >= 0:
+            table[row[a], cb >> 3] &= np.uint8(255 - (1 << (cb & 7)))
+        if cab >= 0:
+            has_a = (table[: n + 1, ca >> 3] >> np.uint8(ca & 7)) & np.uint8(1)
+            table[: n + 1, cab >> 3] |= has_a << np.uint8(cab & 7)
+    kinds, kind_of = np.unique(table.view(f"V{table.shape[1]}").ravel(), return_inverse=True)
+    rows = np.zeros(len(column), "i4")
+    rows[list(row)] = kind_of[list(row.values())]
+    return kinds.view("u1").reshape(len(kinds), -1), rows, column.astype("i4")
+
+
 class Automaton:
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], special: dict[str, int]):
-        """``merges``: left, right and merged token, by rank."""
-        self.labels, self.special = labels, special
-        self.rank = {m: i for i, (_, _, m) in enumerate(merges)}
-        self.parts = {m: (a, b) for a, b, m in merges}
-        self.merged = {(a, b): i for i, (a, b, _) in enumerate(merges)}
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.back: dict[int, int] = {}  # a trie of the labels from their ends: node and byte to node
-        self.ends: dict[int, int] = {}
-        for token in [t for t, s in labels.items() if len(s) == 1] + [m for _, _, m in merges]:
+        self.table, self.row, self.column = compiled(labels, merges)
+        tokens = [t for t, s in labels.items() if len(s) == 1] + [m for _, _, m in merges]
+        self._trie(labels, tokens)
+        self.length = np.zeros(max([*labels, *special.values()]) + 1, "i4")
+        for t, s in labels.items():
+            self.length[t] = len(s)
+        self.special = special
+        self.labels = labels | {i: s.encode() for s, i in special.items()}
+
+    def _trie(self, labels: dict[int, bytes], tokens: list[int]) -> None:
+        """The labels from their ends, as a hash table from node and byte to node, and the token that ends at each node."""
+        nodes: dict[int, int] = {}
+        ends = {}
+        for token in tokens:
             node = 0
             for byte in reversed(labels[token]):
-                node = self.back.setdefault(node << 8 | byte, len(self.back) + 1)
-            self.ends[node] = token
-        self.pattern = regex.compile(PATTERN)
-        self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.labels = labels | {i: s.encode() for s, i in special.items()}
+                node = nodes.setdefault(node << 8 | byte, len(nodes) + 1)
+            ends[node] = token
+        self.token = np.full(len(nodes) + 1, -1, "i4")
+        self.token[list(ends)] = list(ends.values())
+        self.bits = (2 * len(nodes)).bit_length()
+        self.keys, self.nodes = np.full(1 << self.bits, -1, "i8"), np.zeros(1 << self.bits, "i4")
+        keys, values = np.array(list(nodes), "i8"), np.array(list(nodes.values()), "i4")
+        spot = self._spot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[spot] < 0)
+            _, first = np.unique(spot[free], return_index=True)
+            placed = free[first]
+            self.keys[spot[placed]], self.nodes[spot[placed]] = keys[placed], values[placed]
+            rest = np.ones(len(keys), bool)
+            rest[placed] = False
+            keys, values, spot = keys[rest], values[rest], (spot[rest] + 1) & (len(self.keys) - 1)
+
+    def _spot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype("u8") * np.uint64(_GOLDEN)) >> np.uint64(64 - self.bits)).astype("i8")
+
+    def _step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The node after ``byte``, or -1."""
+        key = node.astype("i8") << 8 | byte
+        spot = self._spot(key)
+        found = self.keys[spot]
+        while True:
+            on = np.flatnonzero((found != key) & (found >= 0))
+            if not len(on):
+                return np.where(found == key, self.nodes[spot], -1)
+            spot[on] = (spot[on] + 1) & (len(self.keys) - 1)
+            found[on] = self.keys[spot[on]]
 
     @classmethod
     def from_file(cls, path: str) -> Automaton:
@@ -67,97 +132,175 @@ class Automaton:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         return cls(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], special)
 
-    def arc(self, x: int, y: int) -> bool:
-        """Whether ``y`` may follow ``x``."""
-        known = self.arcs.get((x, y))
-        if known is None:
-            if len(self.arcs) > 1_000_000:
-                self.arcs.clear()
-            known = self.arcs[x, y] = self._compiled(x, y)
-        return known
-
-    def _compiled(self, x: int, y: int) -> bool:
-        before = len(self.parts)  # gadgets so far, from the last back to the first
-        while True:
-            if self.merged.get((x, y), before) < before:
-                return False
-            rx, ry = self.rank.get(x, -1), self.rank.get(y, -1)
-            if rx == ry == -1:
-                return True
-            before = max(rx, ry)
-            if rx == ry:
-                x, y = self.parts[x][1], self.parts[y][0]
-            elif ry > rx:
-                a, b = self.parts[y]
-                if a == b == x:
-                    return False
-                y = a
-            else:
-                x = self.parts[x][1]
-
-    def word(self, word: bytes) -> list[int]:
-        states = [-1]
-        for i in range(len(word)):
-            node, state = 0, None
-            for j in range(i, -1, -1):
-                node = self.back.get(node << 8 | word[j])
-                if node is None:
+    def arcs(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Whether each state has an arc for the token beside it."""
+        column = self.column[tokens]
+        bit = self.table[self.row[states], column >> 3] >> (column & 7).astype("u1") & np.uint8(1)
+        return (bit == 1) & (column >= 0)
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The encoding of each pre-split word (none is empty) as little-endian 16-bit ids."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), "i8", len(words))
+        order = np.argsort(sizes, kind="stable")
+        short = order[: np.searchsorted(sizes[order], LONG_WORD, "right")]
+        for at in range(0, len(short), TOGETHER):
+            part = short[at : at + TOGETHER]
+            for i, ids in zip(part.tolist(), self._together([words[i] for i in part.tolist()], sizes[part]), strict=True):
+                out[i] = ids
+        for i in order[len(short) :].tolist():
+            out[i] = self._alone(words[i])
+        return out
+
+    def _together(self, words: list[bytes], sizes: np.ndarray) -> list[bytes]:
+        """``words`` by ascending size."""
+        n, most = len(words), int(sizes[-1])
+        data = np.frombuffer(b"".join(words), "u1")
+        starts = np.cumsum(sizes) - sizes
+        state = np.full((most + 1, n), -1, "i4")  # the last token of each prefix
+        for end in range(1, most + 1):
+            word = np.arange(np.searchsorted(sizes, end), n)
+            node = np.zeros(len(word), "i4")
+            for at in range(end - 1, -1, -1):
+                node = self._step(node, data[starts[word] + at])
+                token = self.token[node]
+                met = np.flatnonzero((node >= 0) & (token >= 0))
+                if at:
+                    met = met[self.arcs(state[at, word[met]], token[met])]
+                state[end, word[met]] = token[met]
+                node[met] = -1
+                on = np.flatnonzero(node >= 0)
+                if not len(on):
+                    break
+                word, node = word[on], node[on]
+        if (state[sizes, np.arange(n)] < 0).any():
+            raise ValueError("no path through the automaton")
+        at, word, back = sizes.copy(), np.arange(n), []
+        while len(word):
+            token = state[at[word], word]
+            back.append((word, token))
+            at[word] -= self.length[token]
+            word = word[at[word] > 0]
+        owner = np.concatenate([w for w, _ in back[::-1]])
+        ids = np.concatenate([t for _, t in back[::-1]])
+        by_word = np.argsort(owner, kind="stable")
+        flat = ids[by_word].astype("<u2").tobytes()
+        ends = 2 * np.cumsum(np.bincount(owner, minlength=n))
+        return [flat[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def _alone(self, word: bytes) -> bytes:
+        """The same steps for one long word."""
+        state, spot_of, mask = [-1], self.keys, len(self.keys) - 1
+        for end in range(1, len(word) + 1):
+            node, found = 0, -1
+            for at in range(end - 1, -1, -1):
+                key = node << 8 | word[at]
+                spot = (key * _GOLDEN & 2**64 - 1) >> (64 - self.bits)
+                while spot_of[spot] not in (key, -1):
+                    spot = (spot + 1) & mask
+                if spot_of[spot] < 0:
                     break
-                token = self.ends.get(node)
-                if token is not None and (j == 0 or self.arc(states[j], token)):
-                    state = token
+                node = int(self.nodes[spot])
+                token = int(self.token[node])
+                if token >= 0 and (not at or (self.column[token] >= 0 and self.table[self.row[state[at]], self.column[token] >> 3] >> (self.column[token] & 7) & 1)):
+                    found = token
                     break
-            states.append(state)
+            if found < 0:
+                raise ValueError("no path through the automaton")
+            state.append(found)
         ids, at = [], len(word)
         while at:
-            ids.append(states[at])
-            at -= len(self.labels[states[at]])
-        return ids[::-1]
-
-    def encode(self, text: str) -> list[int]:
-        ids = []
-        for part in self.split.split(text) if self.split else [text]:
-            if part in self.special:
-                ids.append(self.special[part])
-            else:
-                for word in self.pattern.findall(part):
-                    ids += self.word(word.encode())
-        return ids
+            ids.append(state[at])
+            at -= int(self.length[ids[-1]])
+        return np.array(ids[::-1], "<u2").tobytes()
 
     def decode(self, ids) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_automata: dict[str, tuple[Automaton, ByteLevelEncoder]] = {}
+class Encoder(ByteLevelEncoder):
+    """Whole texts: cut into words by the tokenizer's pattern, each of which takes its way through the automaton, unless this worker has met it before."""
+
+    def __init__(self, automaton: Automaton):
+        self.automaton, self.pattern = automaton, regex.compile(PATTERN)
+        special = list(automaton.special)
+        self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        super().__init__(self.one, special)
+
+    def pieces(self, text: str) -> list[str]:
+        """The text's words and special tokens."""
+        out = []
+        for part in self.split.split(text) if self.split else [text]:
+            out += [part] if part in self.automaton.special else self.pattern.findall(part)
+        return out
+
+    def one(self, text: str) -> bytes:
+        pieces = self.pieces(text)
+        ordinary = [p for p in pieces if p not in self.automaton.special]
+        ids = iter(self.automaton.words([p.encode() for p in ordinary]))
+        return b"".join(np.array([self.automaton.special[p]], "<u2").tobytes() if p in self.automaton.special else next(ids) for p in pieces)
+
+    def new(self, parts: list[str]) -> list[bytes]:
+        """Parts that follow a space, encoded together."""
+        cut = [[" " + p] if p.isalpha() else self.pattern.findall(" " + p) for p in parts]
+        words = [w.encode() for pieces in cut for w in pieces]
+        ids = iter(self.automaton.words(words))
+        return [next(ids) if len(pieces) == 1 else b"".join(next(ids) for _ in pieces) for pieces in cut]
 
 
-def automaton(path: str) -> tuple[Automaton, ByteLevelEncoder]:
-    """This worker's automaton for a tokenizer file, and an encoder that keeps the words it has met."""
+_automata: dict[str, Automaton] = {}
+_shared: dict[tuple[str, str], object] = {}
+_encoders: dict[str, Encoder] = {}
+
+
+def automaton(path: str) -> Automaton:
+    """The automaton of a tokenizer file, built once in this process."""
     if path not in _automata:
-        a = Automaton.from_file(path)
-        _automata[path] = a, ByteLevelEncoder(lambda text: np.array(a.encode(text), "<u2").tobytes(), list(a.special))
+        _automata[path] = Automaton.from_file(path)
     return _automata[path]
 
 
+def _broadcast(path: str):
+    sc = SparkSession.active().sparkContext
+    key = path, sc.applicationId
+    if key not in _shared:
+        _shared[key] = sc.broadcast(automaton(path))
+    return _shared[key]
+
+
+def _encoder(path: str, shared) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(shared.value)
+    return _encoders[path]
+
+
 def encode(text: Column, path: str) -> Column:
     """Ids of each text (null: empty) as little-endian unsigned 32-bit integers in a binary column."""
+    return round_trip(text, path)["ids"]
+
+
+def round_trip(text: Column, path: str) -> Column:
+    """``struct<ids, decoded>``: the ids of each text as by ``encode`` and the text that they decode to, by one Python worker."""
+    shared = _broadcast(path)
 
-    @F.pandas_udf("binary")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        _, words = automaton(path)
+    @F.pandas_udf("ids binary, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        words = _encoder(path, shared)
         for texts in batches:
-            yield pd.Series([wide(ids).tobytes() for ids in words([t or "" for t in texts])])
+            ids = [wide(ids) for ids in words([t or "" for t in texts])]
+            yield pd.DataFrame({"ids": [i.tobytes() for i in ids], "decoded": [words.automaton.decode(i.tolist()) for i in ids]})
 
-    return ids(text)
+    return both(text)
 
 
 def decode(ids: Column, path: str) -> Column:
     """The text of each binary column of ids; null gives the empty text."""
+    shared = _broadcast(path)
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        a, _ = automaton(path)
+        words = _encoder(path, shared)
         for values in batches:
-            yield pd.Series([a.decode(np.frombuffer(v or b"", "<u4").tolist()) for v in values])
+            yield pd.Series([words.automaton.decode(np.frombuffer(v or b"", "<u4").tolist()) for v in values])
 
     return text(ids)

@@ -47,9 +47,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     path = tokenizer_file("byte_bpe_50k.json")
-    coded = documents(spark, sf_dir).select("doc_id", bpe_automaton.encode(F.col("text"), path).alias("ids"))
-    decoded = coded.withColumn("decoded", bpe_automaton.decode(F.col("ids"), path))
-    return decoded.select(
+    coded = documents(spark, sf_dir).select("doc_id", bpe_automaton.round_trip(F.col("text"), path).alias("coded"))
+    return coded.select("doc_id", "coded.*").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
