@@ -174,30 +174,62 @@ def test_automaton_by_brute_force(monkeypatch):
     assert [np.frombuffer(ids, "<u2").tolist() for ids in a.words([w.encode() for w in words])] != list(map(merged, words))
 
 
+def brute_selection(text):
+    """Hash and position of what winnowing selects, with a hash that rolls from run to run."""
+    k, w, turn = fingerprint.K, fingerprint.W, lambda x, n: (x << n % 64 | x >> (64 - n % 64)) & (2**64 - 1) if n % 64 else x
+    codes = [xxhash.xxh64_intdigest(c.encode(), seed=42) for c in text]
+    if not codes:
+        return []
+    rolling, runs = 0, []
+    for i, c in enumerate(codes):
+        rolling = turn(rolling, 1) ^ c ^ (turn(codes[i - k], k) if i >= k else 0)
+        runs += [rolling] if i >= k - 1 else []
+    if not runs:  # fewer than k: as if nothing followed them
+        runs = [0]
+        for i, c in enumerate(codes):
+            runs[0] ^= turn(c, k - 1 - i)
+    hashed = [xxhash.xxh64_intdigest(r.to_bytes(8, "little"), seed=42) >> 32 for r in runs]
+    picked = {}
+    for at in range(max(1, len(hashed) - w + 1)):
+        window = list(enumerate(hashed))[at : at + w]
+        i, h = min(window, key=lambda p: (p[1], -p[0]))
+        picked[i] = h
+    return [(h, i) for i, h in sorted(picked.items())]
+
+
 def test_fingerprints(spark, docs, none):
     rows = [(i, t) for i, t in corpus() if i is not None and i not in (60, 61)]
+    rows += [(200 + i, "日本語テキスト"[:i] + "abcdefghijk"[: i // 2]) for i in range(14)]
     found = {r.doc_id: r for r in fingerprint.compare_with_edits(frame(spark, rows).repartition(3)).collect()}
     order = sorted(rows)
+    alike = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    sets = lambda picks: {h for h, _ in picks}
+    written = lambda picks: " ".join(f"{h:x}@{i}" for h, i in picks)
     for k, (i, text) in enumerate(order):
         text, after = text or "", order[(k + 1) % len(order)][1] or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        r = found[i]
+        r, own, changed, following = found[i], brute_selection(text), brute_selection(edited), brute_selection(after)
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert (r.fingerprint, r.edited_fingerprint) == (written(own), written(changed))
+        assert r.near_edited == pytest.approx(alike(sets(own), sets(changed))) and r.near_next == pytest.approx(alike(sets(own), sets(following)))
     assert found[52].fingerprint == found[53].fingerprint == found[5].fingerprint and found[55].fingerprint == ""
     assert found[52].near_next == 1.0  # its next text is the same
     assert fingerprint.compare_with_edits(docs).count() == len(corpus())
     assert fingerprint.compare_with_edits(none).count() == 0
 
 
-def test_winnowing_by_brute_force(spark):
-    text = " ".join(random.Random(5).choice(VOCABULARY) for _ in range(60))
-    r = fingerprint.with_selection(spark.createDataFrame([(text,)], "text string"), F.col("text"), "s").select("s", fingerprint.gram_hashes(F.col("text")).alias("w")).first()
-    runs = spark.createDataFrame([tuple(r.w[i : i + fingerprint.K]) for i in range(len(r.w) - fingerprint.K + 1)]).select(F.xxhash64("*")).collect()
-    packed = [((h[0] & (2**64 - 1)) >> 25) << 24 | (fingerprint._LAST - i) for i, h in enumerate(runs)]
-    want = dict.fromkeys(min(packed[i : i + fingerprint.W]) for i in range(len(packed) - fingerprint.W + 1))
-    assert r.s == list(want)
+def test_fingerprints_at_any_offset(spark):
+    """A passage is met again wherever it stands, without blanks too."""
+    rnd = random.Random(5)
+    passage = "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(400))
+    df = spark.createDataFrame([(i, passage[:i] + "x" * i + passage) for i in range(4)], "i int, text string")
+    sets = [{e.split("@")[0] for e in r.fingerprint.split()} for r in fingerprint.fingerprints(df).orderBy("i").collect()]
+    assert all(len(sets[0] & s) / len(sets[0] | s) > 0.9 for s in sets)
+    shared = "".join(rnd.choice("abcdefgh") for _ in range(fingerprint.K + fingerprint.W - 1))  # the shortest that must be met
+    df = spark.createDataFrame([("".join(rnd.choice("ijklm") for _ in range(n)) + shared + "nop" * n,) for n in range(1, 60, 7)], "text string")
+    sets = [{e.split("@")[0] for e in r.fingerprint.split()} for r in fingerprint.fingerprints(df).collect()]
+    assert all(a & b for a in sets for b in sets)
 
 
 def test_license_scan(spark, docs, none):

@@ -1,10 +1,13 @@
 """Document fingerprints by winnowing.
 
-A text is cut into words (runs of non-blanks, in pieces of at most three characters, so that short texts and texts
-without blanks have several too); every run of ``K`` words has a hash, and of every ``W``
-consecutive hashes the smallest is selected, the rightmost where several are equal. Whatever
-two texts share over ``K + W - 1`` words thus selects a common hash. A selected hash is kept
-with its position.
+Every run of ``K`` code points has a rolling hash, and of every ``W`` consecutive hashes the
+smallest is selected, the rightmost where several are equal. Whatever two texts share over
+``K + W - 1`` code points thus selects a common hash, in any language and at any offset. A
+selected hash is kept with its position.
+
+The rolling hash is the cyclic polynomial: the hashes of a run's code points, each turned by one
+bit more than the next, combined by exclusive or. Array functions get all of a text's at once:
+those of 1, 2, 4, ... code points in turn, each from two neighbours of the one before.
 """
 
 from __future__ import annotations
@@ -14,41 +17,50 @@ from pyspark.sql import functions as F
 
 from textwarden.llm.ranges import bounds_literal, range_bounds, range_bucket
 
-K = 4
-W = 8
-#: A selected hash is one long: 39 bits of hash, then how far the position is from the last one that 24 bits can hold, so that the smallest long is the smallest hash and the rightmost position. Positions beyond share the last value.
-_LAST = 2**24 - 1
+#: Code points of a run, and runs of a window; both powers of two.
+K = 8
+W = 16
+#: A selected hash is one long: 32 bits of hash, then how far the position is from the last one that 31 bits can hold, so that the smallest long is the smallest hash and the rightmost position.
+_LAST = 2**31 - 1
 
 
-def gram_hashes(text: Column) -> Column:
-    """Hashes of all words, in order."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,3}"), F.lit(0)), lambda word: F.xxhash64(word))
+def turned(value: Column, bits: int) -> Column:
+    return F.shiftleft(value, bits).bitwiseOR(F.shiftrightunsigned(value, 64 - bits))
 
 
-def with_selection(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """``df`` with column ``out``: the selected hashes of ``text`` as packed longs, by position. Fewer than ``K`` words count as one run, none give an empty array; fewer than ``W`` runs have one window."""
-    df = df.withColumn(out, gram_hashes(text))
+def beside(array: Column, by: int, f) -> Column:
+    """``f`` of each element and the one ``by`` places on (null beyond the end)."""
+    return F.zip_with(array, F.slice(array, F.lit(1 + by), F.greatest(F.lit(0), F.size(array) - by)), f)
 
-    def run(word: Column, i: Column) -> Column:
-        code = F.xxhash64(word, *(F.get(F.col(out), i + j) for j in range(1, K)))
-        return F.shiftleft(F.shiftrightunsigned(code, 25), 24).bitwiseOR((_LAST - F.least(i, F.lit(_LAST))).cast("long"))
 
-    df = df.withColumn(out, F.slice(F.transform(F.col(out), run), F.lit(1), F.greatest(F.lit(1), F.size(out) - (K - 1))))
-    df = df.withColumn(f"{out}_n", F.greatest(F.lit(1), F.size(out) - (W - 1)))
+def with_grams(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """``df`` with column ``out``: the rolling hashes of all runs of ``text``, in order. Fewer than ``K`` code points count as one run, none give an empty array."""
+    df = df.withColumn(out, F.when(text != "", F.transform(F.split(text, ""), lambda c: F.xxhash64(c))).otherwise(F.array().cast("array<bigint>")))
+    width = 1
+    while width < K:
+        df = df.withColumn(out, beside(F.col(out), width, lambda x, y: turned(x, width).bitwiseXOR(F.coalesce(y, F.lit(0)))))  # noqa: B023
+        width *= 2
+    return df.withColumn(out, F.slice(F.col(out), F.lit(1), F.greatest(F.lit(1), F.size(out) - (K - 1))))
+
+
+def with_selection(df: DataFrame, grams: str, out: str) -> DataFrame:
+    """``df`` with column ``out``: the selected ones of the hashes in ``grams`` as packed longs, by position. Fewer than ``W`` have one window."""
+    packed = lambda g, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(g), 32), 31).bitwiseOR((_LAST - i).cast("long"))
+    df = df.withColumn(out, F.transform(F.col(grams), packed))
     width = 1
     while width < W:  # minima of 2, 4, 8, ... neighbours
-        width_, width = width, 2 * width
-        df = df.withColumn(out, F.zip_with(F.col(out), F.slice(F.col(out), F.lit(1 + width_), F.size(out)), lambda a, b: F.least(a, b)))
-    return df.withColumn(out, F.array_distinct(F.slice(F.col(out), F.lit(1), F.col(f"{out}_n")))).drop(f"{out}_n")
+        df = df.withColumn(out, beside(F.col(out), width, lambda a, b: F.least(a, b)))
+        width *= 2
+    return df.withColumn(out, F.array_distinct(F.slice(F.col(out), F.lit(1), F.greatest(F.lit(1), F.size(out) - (W - 1)))))
 
 
 def hashes(selected: Column) -> Column:
-    return F.array_distinct(F.transform(selected, lambda v: F.shiftrightunsigned(v, 24)))
+    return F.array_distinct(F.transform(selected, lambda v: F.shiftrightunsigned(v, 31)))
 
 
 def as_string(selected: Column) -> Column:
     """``hash@position`` entries, in hexadecimal and decimal."""
-    return F.array_join(F.transform(selected, lambda v: F.concat(F.lower(F.hex(F.shiftrightunsigned(v, 24))), F.lit("@"), (_LAST - v.bitwiseAND(F.lit(_LAST))).cast("string"))), " ")
+    return F.array_join(F.transform(selected, lambda v: F.concat(F.lower(F.hex(F.shiftrightunsigned(v, 31))), F.lit("@"), (_LAST - v.bitwiseAND(F.lit(_LAST))).cast("string"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -59,8 +71,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``df`` with its texts' fingerprints as a string; an existing column ``out`` is replaced. Null and blank texts have the empty fingerprint."""
-    return with_selection(df.drop(out), F.col(f"`{text}`"), out).withColumn(out, as_string(F.col(out)))
+    """``df`` with its texts' fingerprints as a string; an existing column ``out`` is replaced. Null and empty texts have the empty fingerprint."""
+    grams = with_grams(df.drop(out), F.coalesce(F.col(f"`{text}`"), F.lit("")), out)
+    return with_selection(grams, out, out).withColumn(out, as_string(F.col(out)))
 
 
 def with_next(df: DataFrame, key: str, rows_per_bucket: int = 128) -> tuple[DataFrame, Window, Column]:
@@ -92,20 +105,27 @@ def compare_with_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     dealt, window, own = with_next(rows, "doc_id")
-    n = F.char_length("text").cast("long")
+    n, following = F.char_length("text"), F.coalesce(F.col("next_text"), F.lit(""))
     half = F.floor(n / 2).cast("int")
     dealt = dealt.withColumn("next_text", F.lead("text").over(window))
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")), F.substring(F.coalesce(F.col("next_text"), F.lit("")), F.lit(1), half))
-    dealt = dealt.select("doc_id", "text", "__bucket", "__copy", n.alias("n_chars"), edited.alias("edited"))
-    dealt = with_selection(with_selection(dealt, F.col("text"), "own"), F.col("edited"), "changed")
-    dealt = dealt.select("*", hashes(F.col("own")).alias("own_set"), hashes(F.col("changed")).alias("changed_set"))
-    dealt = dealt.withColumn("next_set", F.lead("own_set").over(window)).filter(own)
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(following, F.lit(1), half))
+    dealt = dealt.select("*", n.alias("n"), (n - half).alias("stays"), F.least(half, F.char_length(following)).alias("comes"), edited.alias("edited"))
+    dealt = with_selection(with_grams(dealt, F.col("text"), "grams"), "grams", "own")
+    dealt = dealt.withColumns({"next_grams": F.lead("grams").over(window), "after": F.lead("own").over(window)}).filter(own)
+    # The edited text's runs: those within what stays, those over the seam, those within what comes.
+    left, right = F.least("stays", F.lit(K - 1)), F.least("comes", F.lit(K - 1))
+    short = F.col("stays") + F.col("comes") < K
+    seam = F.when(short, F.col("edited")).otherwise(F.substring(F.col("edited"), F.col("stays") - left + 1, left + right))
+    dealt = with_grams(dealt, seam, "seam")
+    within = lambda grams, chars: F.slice(F.coalesce(F.col(grams), F.array().cast("array<bigint>")), F.lit(1), F.greatest(F.lit(0), F.col(chars) - (K - 1)))
+    joined = F.when(short, F.col("seam")).when(left + right < K, F.concat(within("grams", "stays"), within("next_grams", "comes"))).otherwise(F.concat(within("grams", "stays"), F.col("seam"), within("next_grams", "comes")))
+    dealt = with_selection(dealt.withColumn("changed_grams", joined), "changed_grams", "changed")
     return dealt.select(
         "doc_id",
-        "n_chars",
+        F.col("n").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_string(F.col("own")).alias("fingerprint"),
         as_string(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own_set"), F.col("changed_set")).alias("near_edited"),
-        likeness(F.col("own_set"), F.col("next_set")).alias("near_next"),
+        likeness(hashes(F.col("own")), hashes(F.col("changed"))).alias("near_edited"),
+        likeness(hashes(F.col("own")), hashes(F.coalesce("after", F.array().cast("array<bigint>")))).alias("near_next"),
     )
