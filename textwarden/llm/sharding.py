@@ -2,8 +2,8 @@
 
 Pass 1 scatters the records uniformly into buckets that fit in a task's memory, by a seeded
 hash of a running row number, so no key, source or group of copies can make a bucket hot.
-Pass 2 draws a Fisher-Yates permutation of each bucket (Spark's seeded ``shuffle``) and writes
-it. The buckets one after another are a random order of the whole input; shard ``i`` of ``n``
+Pass 2 draws a Fisher-Yates permutation of each bucket (Spark's seeded ``shuffle``) in a task of
+its own and writes it. The buckets one after another are a random order of the whole input; shard ``i`` of ``n``
 is the ``i``-th of ``n`` equal slices of that order, so row counts differ by one at most.
 """
 
@@ -26,9 +26,9 @@ def text_size(text: Column) -> Column:
 
 
 def bucket_count(df: DataFrame, text: str, bucket_bytes: int) -> int:
+    """As many buckets as hold ``bucket_bytes`` each; the bytes alone decide, not the cluster."""
     total = df.agg(F.sum(text_size(F.col(f"`{text}`")))).first()[0] or 0
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, math.ceil(total / bucket_bytes), min(4 * cores, math.ceil(total / 2**20)))
+    return max(1, math.ceil(total / bucket_bytes))
 
 
 def shuffle_into_shards(
@@ -44,9 +44,11 @@ def shuffle_into_shards(
     spark = df.sparkSession
     buckets = bucket_count(df, text, bucket_bytes)
     path = path or scratch(spark, "shards")
-    row = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
-    scattered = df.select(F.struct("*").alias("rec"), F.pmod(row, F.lit(buckets)).alias("bucket"))
-    dealt = scattered.groupBy("bucket").agg(F.collect_list("rec").alias("recs"))
+    scattered = df.select(F.struct("*").alias("rec"), F.monotonically_increasing_id().alias("row"))
+    scattered = scattered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("row")), F.lit(buckets)).cast("int"))
+    # One task for each bucket; in the order of their numbers, the rows don't depend on which map output came first.
+    dealt = scattered.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "row")
+    dealt = dealt.groupBy("bucket").agg(F.collect_list("rec").alias("recs"))
     mixed = dealt.select("bucket", F.posexplode(F.shuffle("recs", seed)).alias("pos", "rec"))
     mixed.write.parquet(path)
     written = spark.read.schema(mixed.schema).parquet(path)
