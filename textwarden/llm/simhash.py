@@ -146,25 +146,22 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 def order_counts(texts: DataFrame, words: int) -> np.ndarray:
     """In how many texts the shingles of each of ``SLOTS`` classes of hashes stand, as quarter logarithms, so that a frequent shingle makes its class stand out. A megabyte, whatever the input."""
-    blocks = SLOTS >> 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(SLOTS, "i8")
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 np.add.at(found, slot(shingles(text, words)), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([part.tobytes() for part in np.split(found, blocks)], pa.binary())], ["block", "counts"])
-
-    def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sum(np.frombuffer(part, "i8") for batch in batches for part in batch.column("counts").to_pylist())
-        levels = np.minimum(255, 4 * np.log2(1.0 + found)).astype("u1")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([levels.tobytes()], pa.binary())], ["block", "counts"])
-
-    parts = texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(total, "block int, counts binary").collect()
-    found = np.zeros((blocks, 1 << 16), "u1")
-    for block, counts in parts:
-        found[block] = np.frombuffer(counts, "u1")
-    return found.ravel()
+        at = np.flatnonzero(found)
+        for part in range(0, len(at), 65_536):
+            own = at[part : part + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(found[own])], ["slot", "n"])
+
+    level = F.least(F.lit(255), F.floor(4 * F.log2(F.sum("n") + 1))).cast("short")
+    totals = texts.mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(level.alias("level")).toArrow()  # SLOTS rows at most
+    found = np.zeros(SLOTS, "u1")
+    found[totals["slot"].to_numpy()] = totals["level"].to_numpy()
+    return found
 
 
 def slot(hashes: np.ndarray) -> np.ndarray:
