@@ -114,6 +114,22 @@ def test_suffix_dedup(docs, none, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3])
+def test_suffix_dedup_of_a_line_everywhere(spark, monkeypatch, hot):
+    """A line that all texts have, in contexts that agree on some bytes only, twice in one text, with copies."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 5000)
+    rnd = random.Random(7)
+    letters = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    line, around = letters(150), [letters(120) for _ in range(3)]
+    texts = [rnd.choice(around)[-rnd.randrange(1, 90) :] + line + rnd.choice(around)[: rnd.randrange(90)] for _ in range(24)]
+    texts = [letters(80) + t + letters(80) for t in texts]
+    texts += texts[:3] + [line + letters(40) + line + letters(70), letters(400) + line[:120], line * 3]
+    found = suffix_dedup.remove_repeats(frame(spark, list(enumerate(texts))), 200).collect()
+    want = brute_repeats(texts, 200)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found} == dict(enumerate(want))
+
+
 def test_cut_texts(docs, none):
     found = suffix_dedup.cut_texts(docs)
     assert found.columns == docs.columns and suffix_dedup.cut_texts(none).count() == 0
@@ -138,7 +154,6 @@ def test_automaton_is_the_tokenizer():
     pools = ["abcdefgh '", "aaaa b", " \n\t\r  ab", "éàüñ ßÉ", "日本語🙂 ́‍", "0123 ½٣", "\x1c\x1f\x85\xa0  a", "!?.,'s'll're ", "theing andtion"]
     texts = ["".join(rnd.choice(rnd.choice(pools)) for _ in range(rnd.randint(0, 40))) for _ in range(800)]
     want = [e.ids for e in tk.encode_batch(texts, add_special_tokens=False)]
-    assert [token_ids.wide(words.one(t)).tolist() for t in texts] == want
     assert [token_ids.wide(b).tolist() for b in words(texts)] == want == [token_ids.wide(b).tolist() for b in library(texts)]
     other = tokenizer("word_bpe_49k.json")
     assert [token_ids.wide(b).tolist() for b in token_ids.encoder(queries.tokenizer_file("word_bpe_49k.json"))(texts)] == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]

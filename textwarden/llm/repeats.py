@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 #: Bytes whose windows are handled at once.
 BLOCK = 2**22
@@ -47,8 +46,8 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return _mixed((sums[k:] - sums[:-k]) * _power(_INVERSE, len(data) - k + 1))
 
 
-def ranges(data: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The window starts as ranges (first, last) with the hash of the ``k``-gram that they share.
+def ranges(data: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The window starts as ranges (first, last) with the hash of the ``k``-gram that they share and its place.
 
     A window of ``width`` bytes belongs to the k-gram in it with the smallest hash, the leftmost
     of several, so equal windows belong to equal k-grams at the same distance. Consecutive
@@ -68,13 +67,31 @@ def ranges(data: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray
         owner = (m & np.uint64(2**24 - 1)).astype("i8")
         first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         last = np.concatenate([first[1:], [len(owner)]]) - 1
-        found.append((first + at, last + at, h[owner[first]].view("i8")))
+        found.append((first + at, last + at, h[owner[first]].view("i8"), owner[first] + at))
     if not found:
-        return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "i8")
+        return tuple(np.zeros(0, "i8") for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def digests(data: bytes, starts, ends) -> np.ndarray:
-    """Signed XXH3 hashes of the strings from ``starts`` to ``ends``."""
-    view, digest = memoryview(data), xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(view[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), "u8", len(starts)).view("i8")
+def repeated(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, width: int) -> np.ndarray:
+    """Which of the windows of ``width`` bytes of ``data`` at ``starts`` are equal to another one of their group.
+
+    A radix sort from the most significant digit on: each pass reads the next eight bytes of
+    every window that is left, and windows that are alone with what they have begun with leave.
+    """
+    if len(data) < width:
+        return np.zeros(len(starts), bool)
+    digits = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    left, label = np.arange(len(starts)), groups
+    for at in [-1, *range(0, width - 8, 8), width - 8]:
+        digit = digits[starts[left] + at] if at >= 0 else np.zeros(len(left), "u8")
+        order = np.lexsort((digit, label))
+        label, digit = label[order], digit[order]
+        number = np.cumsum(np.concatenate([[0], (label[1:] != label[:-1]) | (digit[1:] != digit[:-1])]))[: len(left)]
+        several = np.bincount(number)[number] > 1
+        left, label = left[order][several], number[several]
+        if not len(left):
+            break
+    out = np.zeros(len(starts), bool)
+    out[left] = True
+    return out

@@ -16,20 +16,25 @@ def near(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, sizes: DataFrame | None = None) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, sizes: DataFrame | None = None, per_task: int | None = None) -> DataFrame:
     """``many`` and ``one`` joined on ``key``.
 
-    Keys with more than ``PER_TASK`` rows in ``many`` are dealt over as many tasks as that takes,
+    Keys with more than ``per_task`` rows in ``many`` are dealt over as many tasks as that takes,
     each of which gets the key's rows of ``one``. ``sizes`` (``key``, ``size``) saves the count.
+    The list of such keys is broadcast: at most ``BROADCAST_ROWS`` keys, as a key with less than
+    that part of all rows is no burden for a task.
     """
+    most = per_task or PER_TASK
     if sizes is None:
         sizes = many.groupBy(key).agg(F.count("*").alias("size"))
-    hot = sizes.filter(F.col("size") > PER_TASK).select(key, F.ceil(F.col("size") / PER_TASK).cast("int").alias("__parts"))
-    hot = materialise(hot, "hot-keys")
-    number = hot.count()
+    hot = materialise(sizes.filter(F.col("size") > most).select(key, "size"), "hot-keys")
+    number, total = hot.agg(F.count("*"), F.sum("size")).first()
     if not number:
         return many.join(one, key)
+    if number > BROADCAST_ROWS:
+        most = max(most, -(-total // BROADCAST_ROWS))
+    hot = F.broadcast(hot.filter(F.col("size") > most).select(key, F.ceil(F.col("size") / most).cast("int").alias("__parts")))
     parts = F.coalesce("__parts", F.lit(1))
-    dealt = many.join(near(hot, number), key, "left").withColumn("__salt", F.pmod(F.xxhash64(*many.columns), parts).cast("int")).drop("__parts")
-    copied = one.join(near(hot, number), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    dealt = many.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*many.columns), parts).cast("int")).drop("__parts")
+    copied = one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     return dealt.join(copied, [key, "__salt"]).drop("__salt")

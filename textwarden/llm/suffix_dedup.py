@@ -4,34 +4,38 @@ Two suffixes that agree in their first ``width`` bytes are a repeat; how they go
 matter, so the sort ends there. It runs by passes from the most significant digit on, and what is
 alone in its group after a pass leaves:
 
-1. Every window of ``width`` bytes belongs to its smallest ``K``-gram (see ``repeats``); the first
-   digit is that K-gram. Windows whose K-gram occurs once in the corpus are unique.
-2. Consecutive windows of one K-gram go on together: the digit is the hash of the string that
-   spans them. Ranges with an equal one are repeats as a whole.
-3. Of the K-grams at which some range is still alone, the spanning strings themselves are brought
-   together, one of each kind, and their windows are told apart one by one.
-
-Up to ``HOT`` ranges of a K-gram are grouped in one task; K-grams with more are counted by
-partial aggregation and joined, and their windows go to a group each.
+1. Every window of ``width`` bytes contains an anchor, its smallest ``K``-gram (see ``repeats``),
+   at which equal windows agree. The first digit is the anchor: windows at ``K`` bytes that
+   occur once in the corpus are unique. Consecutive windows of one anchor go on as a range.
+2. Anchors with up to ``HOT`` ranges are brought together with their bytes. Equal ranges are
+   repeats as a whole; the windows of the others are sorted eight bytes at a time.
+3. Anchors with more ranges are sorted by Spark: each pass halves the ranges, so that all windows
+   of the left half share more bytes to the right of the anchor and those of the right half more
+   to its left, and those bytes are the next digit. Equal parts are counted with partial
+   aggregation, so copies, however many, go on as one; groups that have become small go to 2.
+
+Hashes only deal rows to groups; what is reported as a repeat has been compared byte by byte.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.repeats import digests, ranges
+from textwarden.llm.repeats import ranges, repeated
+from textwarden.llm.skew import spread_join
 from textwarden.llm.token_ids import small_batches
 from textwarden.runtime import materialise
 
 K = 40
-#: Ranges of one K-gram that one task may hold, and K-grams beyond it that a broadcast may list.
-HOT, MOST_HOT = 100_000, 1_000_000
+#: Ranges of one anchor that one task brings together, and bytes of ranges that it sorts at once.
+HOT, BLOCK = 2000, 2**22
 
 
 def _name(key: Column, text: Column) -> Column:
@@ -59,81 +63,129 @@ def _ranges(docs: DataFrame, width: int, k: int) -> DataFrame:
         for batch in batches:
             out = [[] for _ in range(6)]
             for i, h, t in zip(*(batch.column(c).to_pylist() for c in ("id", "hash", "text")), strict=True):
-                data = t.encode()
-                first, last, gram = ranges(np.frombuffer(data, "u1"), width, k)
-                for column, values in zip(out, (np.full(len(first), i), np.full(len(first), h), gram, digests(data, first, last + width), first, last), strict=True):
+                first, last, gram, anchor = ranges(np.frombuffer(t.encode(), "u1"), width, k)
+                for column, values in zip(out, (np.full(len(first), i), np.full(len(first), h), gram, first, last - first, anchor - first), strict=True):
                     column.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], names=["id", "hash", "gram", "span", "first", "last"])
-
-    return docs.mapInArrow(run, "id bigint, hash bigint, gram bigint, span bigint, first bigint, last bigint")
-
-
-def _alike(table: pa.Table, width: int) -> pa.Table:
-    """Runs of repeated windows in the strings (``data``, from ``first`` on) of one K-gram that are alone."""
-    data, first = table["data"].to_pylist(), table["first"].to_numpy()
-    found = [digests(d, np.arange(len(d) - width + 1), np.arange(width, len(d) + 1)) for d in data]
-    values, counts = np.unique(np.concatenate(found), return_counts=True)
-    again = values[counts > 1]
-    out = {"id": [], "hash": [], "start": [], "end": []}
-    for i in np.flatnonzero(table["alone"].to_numpy(zero_copy_only=False)):
-        hit = np.concatenate([[0], np.isin(found[i], again), [0]]).astype("i1")
-        starts, ends = np.flatnonzero(np.diff(hit) == 1), np.flatnonzero(np.diff(hit) == -1)
-        for s, e in zip(starts, ends, strict=True):
-            for name, value in (("id", table["id"][int(i)].as_py()), ("hash", table["hash"][int(i)].as_py()), ("start", int(first[i] + s)), ("end", int(first[i] + e - 1 + width))):
-                out[name].append(value)
+            arrays = [pa.array(np.concatenate(c) if c else [], pa.int64()).cast(t) for c, t in zip(out, [pa.int64()] * 4 + [pa.int32()] * 2, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "hash", "gram", "base", "more", "anchor"])
+
+    return docs.mapInArrow(run, "id bigint, hash bigint, gram bigint, base bigint, more int, anchor int")
+
+
+def _sorted_block(table: pa.Table, width: int) -> pa.Table:
+    """Repeated stretches in the ranges of some groups, all of whose rows are in ``table``."""
+    data = table["data"].combine_chunks()
+    group = np.unique(table["grp"].to_numpy(), return_inverse=True)[1]
+    coded = data.dictionary_encode()
+    kind = group * len(coded.dictionary) + coded.indices.to_numpy()
+    _, rep, kind, times = np.unique(kind, return_index=True, return_inverse=True, return_counts=True)
+    alone, base, size = table["alone"].to_numpy(zero_copy_only=False), table["base"].to_numpy(), np.diff(np.frombuffer(data.buffers()[1], "i4")[data.offset : data.offset + len(data) + 1])
+    whole = np.flatnonzero(alone & (times[kind] > 1))
+    single = (times == 1) & alone[rep]
+    mixed = np.bincount(group[rep], single, minlength=group.max(initial=-1) + 1) > 0
+    rows = rep[mixed[group[rep]]]  # one of each kind, where some kind is single
+    starts = np.frombuffer(data.buffers()[1], "i4")[data.offset : data.offset + len(data)].astype("i8")
+    count = size[rows] - width + 1
+    of = np.repeat(np.arange(len(rows)), count)
+    shift = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    label = group[rows][of] * (1 << 20) + table["anchor"].to_numpy()[rows][of] - shift
+    again = repeated(np.frombuffer(data.buffers()[2], "u1") if len(rows) else np.zeros(0, "u1"), starts[rows][of] + shift, label, width)
+    again &= single[kind[rows]][of]
+    begin, end = _runs(again, of)
+    out = {c: np.concatenate([table[c].to_numpy()[whole], table[c].to_numpy()[rows[of[begin]]]]) for c in ("id", "hash")}
+    out["start"] = np.concatenate([base[whole], base[rows[of[begin]]] + shift[begin]])
+    out["end"] = np.concatenate([base[whole] + size[whole], base[rows[of[begin]]] + shift[end] + width])
     return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
 
-def _windows(strings: DataFrame, width: int) -> DataFrame:
-    """A row for each window of the strings."""
+def _runs(hit: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each run of hits that belong to one row."""
+    same = of[1:] == of[:-1]
+    before = np.concatenate([[False], hit[:-1] & same]) if len(hit) else hit
+    after = np.concatenate([hit[1:] & same, [False]]) if len(hit) else hit
+    return np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                n = len(row["data"]) - width + 1
-                at = np.arange(n)
-                columns = [np.full(n, row["gram"]), digests(row["data"], at, at + width), np.full(n, row["id"]), np.full(n, row["hash"]), at + row["first"]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns] + [pa.array(np.full(n, row["alone"]))], names=["gram", "window", "id", "hash", "start", "alone"])
-
-    return strings.mapInArrow(run, "gram bigint, window bigint, id bigint, hash bigint, start bigint, alone boolean")
 
+def _sorted_groups(rows: DataFrame, width: int) -> DataFrame:
+    """Repeated stretches (``id``, ``hash``, ``start``, ``end``) in the ranges of groups ``grp`` of at most ``HOT`` rows."""
 
-def _strings(docs: DataFrame, kinds: DataFrame, width: int) -> DataFrame:
-    data = F.substring(F.col("text").cast("binary"), (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + width).cast("int"))
-    return docs.join(kinds, ["id", "hash"]).select("gram", "alone", "id", "hash", "first", data.alias("data"))
-
-
-def repeated_spans(docs: DataFrame, grams: DataFrame, width: int, k: int) -> DataFrame:
-    """``id``, ``hash``, ``start``, ``end`` of stretches of repeated windows; they may overlap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.nbytes for b in held) < BLOCK:
+                continue
+            table = pa.Table.from_batches(held)
+            groups = table["grp"].to_numpy()
+            cut = int(np.searchsorted(groups, groups[-1]))  # the last group may go on
+            if cut:
+                yield from _sorted_block(table.slice(0, cut), width).to_batches()
+            held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from _sorted_block(pa.Table.from_batches(held), width).to_batches()
+
+    dealt = rows.select("grp", "id", "hash", "base", "anchor", "data", "alone").repartition("grp").sortWithinPartitions("grp")
+    return dealt.mapInArrow(run, "id bigint, hash bigint, start bigint, end bigint")
+
+
+def _halves(rows: DataFrame, width: int) -> DataFrame:
+    """The ranges of each group in two parts, by the distance from window to anchor (``low`` to ``high``), dealt to groups by the bytes that all windows of the part must share beyond those before (``left`` of the anchor, ``right`` from it on)."""
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    near_ = F.struct(F.col("low").alias("low"), middle.alias("high"), F.col("left").alias("left"), (F.lit(width) - middle).alias("right"))
+    far = F.struct((middle + 1).alias("low"), F.col("high").alias("high"), (middle + 1).alias("left"), F.col("right").alias("right"))
+    parts = rows.withColumn("part", F.explode(F.array(near_, far)))
+    skip = F.greatest(F.lit(0), F.col("anchor") - F.col("part.high"))
+    last = F.least(F.octet_length("data") - width, F.col("anchor") - F.col("part.low"))
+    parts = parts.withColumns({"skip": skip, "last": last}).filter("skip <= last")
+    more_right = F.substring(F.col("data"), F.col("anchor") + F.col("right") + 1, F.col("part.right") - F.col("right"))
+    more_left = F.substring(F.col("data"), F.col("anchor") - F.col("part.left") + 1, F.col("part.left") - F.col("left"))
+    digit = F.when(F.col("part.right") > F.col("right"), more_right).otherwise(more_left)
+    return parts.select(
+        F.xxhash64("grp", F.col("part.low"), digit).alias("grp"), "id", "hash", (F.col("base") + F.col("skip")).alias("base"), (F.col("anchor") - F.col("skip")).alias("anchor"),
+        F.substring(F.col("data"), F.col("skip") + 1, F.col("last") - F.col("skip") + width).alias("data"), "alone", "part.*",
+    )
+
+
+def _hot_groups(rows: DataFrame, width: int, k: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Repeated stretches in the ranges of groups of any size, and the groups that have become small enough for ``_sorted_groups``."""
+    spans, small = [], []
+    rows = rows.select("*", F.lit(0).alias("low"), F.lit(width - k).alias("high"), F.lit(0).alias("left"), F.lit(k).alias("right"))
+    rows = materialise(rows, "hot-ranges")
+    while not rows.isEmpty():
+        kept = [c for c in rows.columns if c not in ("grp", "data", "alone")]
+        kinds = rows.groupBy("grp", "data").agg(F.count("*").alias("times"), F.bool_and("alone").alias("alone"), *(F.first(c).alias(c) for c in kept))
+        kinds = materialise(kinds, "hot-kinds")
+        kind = F.xxhash64("grp", "data").alias("kind")
+        several = kinds.filter("times > 1").select(kind, F.col("data").alias("same"), F.col("grp").alias("of"))
+        met = spread_join(rows.filter("alone").select("*", kind), several, "kind").filter("data = same and grp = of")
+        spans.append(materialise(met.select("id", "hash", F.col("base").alias("start"), (F.col("base") + F.octet_length("data")).alias("end")), "hot-spans"))
+        single = F.col("alone") & (F.col("times") == 1)
+        groups = kinds.groupBy("grp").agg(F.count("*").alias("size"), F.bool_or(single).alias("any")).filter("size > 1 and any").drop("any")
+        groups = materialise(groups, "hot-groups")
+        left = spread_join(kinds.withColumn("alone", single).drop("times"), groups, "grp", groups)
+        small.append(left.filter(F.col("size") <= HOT).select("grp", "id", "hash", "base", "anchor", "data", "alone"))
+        # At the last pass a group's windows have all their bytes in common, so it has one kind.
+        rows = materialise(_halves(left.filter((F.col("size") > HOT) & (F.col("low") < F.col("high"))), width), "hot-halves")
+    return spans, small
+
+
+def repeated_spans(rows: DataFrame, docs: DataFrame, width: int, k: int) -> DataFrame:
+    """``id``, ``hash``, ``start``, ``end`` of stretches of repeated windows; they may overlap. ``docs``: ``rows``, dealt by ``id`` and ``hash``."""
     small_batches(docs.sparkSession)
-    counts = _grams(grams, width, k).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = _grams(rows, width, k).groupBy("gram").agg(F.count("*").alias("size")).filter("size > 1")
     counts = materialise(counts, "grams")
-    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    hot = max(HOT, total // MOST_HOT)
-    found = _ranges(docs, width, k)
-    hottest = F.broadcast(counts.filter(F.col("n") > hot).select("gram"))  # MOST_HOT of them at most
-
-    # Ranges of the most frequent K-grams leave before the exchange. A merge join leaves the ranges of a K-gram together, as the windows want them.
-    cold = found if most <= hot else found.join(hottest, "gram", "left_anti")
-    cold = cold.join(counts.filter(F.col("n") <= hot).select("gram").hint("merge"), "gram")
-    kind, gram = Window.partitionBy("gram", "span"), Window.partitionBy("gram")
-    cold = cold.withColumn("same", F.count("*").over(kind)).withColumn("nth", F.row_number().over(kind.orderBy("id", "hash", "first")))
-    cold = cold.withColumn("mixed", F.min("same").over(gram) == 1)
-    kinds = cold.filter("mixed and nth = 1").select("id", "hash", "gram", "first", "last", (F.col("same") == 1).alias("alone"))
-    alike = _strings(docs, kinds, width).groupBy("gram").applyInArrow(lambda table: _alike(table, width), "id bigint, hash bigint, start bigint, end bigint")
-    whole = cold.filter("same > 1").select("id", "hash", F.col("first").alias("start"), (F.col("last") + width).alias("end"))
-    spans = whole.unionByName(alike)
-    if most <= hot:
-        return spans
-
-    many = found.join(hottest, "gram")
-    each = many.groupBy("gram", "span").agg(F.count("*").alias("same"), *(F.first(c).alias(c) for c in ("id", "hash", "first", "last")))
-    repeated = each.filter("same > 1").select("gram", "span")
-    spans = spans.unionByName(many.join(repeated, ["gram", "span"]).select("id", "hash", F.col("first").alias("start"), (F.col("last") + width).alias("end")))
-    windows = _windows(_strings(docs, each.select("id", "hash", "gram", "first", "last", (F.col("same") == 1).alias("alone")), width), width)
-    twice = windows.groupBy("gram", "window").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = windows.filter("alone").join(twice, ["gram", "window"])
-    return spans.unionByName(met.select("id", "hash", "start", (F.col("start") + width).alias("end")))
+    met = materialise(spread_join(_ranges(rows, width, k), counts, "gram", counts, per_task=HOT), "ranges")
+
+    def strings(some: DataFrame) -> DataFrame:
+        data = F.substring(F.col("text").cast("binary"), (F.col("base") + 1).cast("int"), F.col("more") + width).alias("data")
+        return docs.join(some, ["id", "hash"]).select(F.col("gram").alias("grp"), "id", "hash", "base", "anchor", data, F.lit(True).alias("alone"))
+
+    hot = met.filter(F.col("size") > HOT)
+    spans, small = ([], []) if hot.isEmpty() else _hot_groups(strings(hot), width, k)
+    cold = functools.reduce(DataFrame.unionByName, small, strings(met.filter(F.col("size") <= HOT)))
+    return functools.reduce(DataFrame.unionByName, spans, _sorted_groups(cold, width))
 
 
 def _covered(data: bytes, spans) -> np.ndarray:
@@ -172,8 +224,8 @@ def remove_repeats(df: DataFrame, width: int = 200, k: int = K, key: str = "doc_
     are not read.
     """
     rows = _rows(df, key, text)
-    docs = rows.repartition("id", "hash")  # the one exchange of the texts: all that follows reads it
-    spans = repeated_spans(docs, rows, width, k)
+    docs = rows.repartition("id", "hash")
+    spans = repeated_spans(rows, docs, width, k)
     by_row = spans.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     cut = docs.join(by_row, ["id", "hash"], "left").select(F.when(F.col("hash") % 2 == 0, F.col("id")).alias("doc_id"), kept(F.col("text"), F.col("spans")).alias("cut"))
     return cut.select("doc_id", "cut.*")
@@ -186,8 +238,8 @@ def cut_texts(df: DataFrame, width: int = 200, k: int = K, key: str = "doc_id",
     of a character that was cut in two go too. Rows of which a repeat takes everything leave;
     other rows, empty ones too, stay.
     """
-    docs = _rows(df, key, text).repartition("id", "hash")
-    spans = repeated_spans(docs, _rows(df, key, text), width, k)
+    rows = _rows(df, key, text)
+    spans = repeated_spans(rows, rows.repartition("id", "hash"), width, k)
     by_row = spans.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
     by_row = materialise(by_row, "repeated-spans")
     named = df.withColumn("__id", F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0))).withColumn("__hash", _name(F.col(f"`{key}`"), F.col(f"`{text}`")))
