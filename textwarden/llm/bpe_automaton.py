@@ -29,11 +29,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm.token_ids import ByteLevelEncoder, wide
+from textwarden.llm.token_ids import PATTERN, WORD_CHARS, WORDS, byte_letters, cutter, wide
 
-#: White space as the tokenizer's pattern has it, and that pattern.
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: The bytes of white space.
 _WHITE = {*range(9, 14), *" \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000".encode()}
 #: Words that take their steps together, and bytes beyond which a word goes by itself.
@@ -41,13 +38,6 @@ TOGETHER, LONG_WORD = 4096, 192
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 characters for themselves, the others from U+0100 on."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = (b for b in range(256) if b not in plain)
-    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
-
-
 def compiled(labels: dict[int, bytes], merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The table (rows of bits), the row of each state and the column of each symbol (-1: none). ``merges``: left, right and merged token, by rank."""
     symbols = [t for t, s in labels.items() if not s.startswith(b" ") or _WHITE.issuperset(s)]
@@ -218,35 +208,35 @@ class Automaton:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
-class Encoder(ByteLevelEncoder):
-    """Whole texts: cut into words by the tokenizer's pattern, each of which takes its way through the automaton, unless this worker has met it before."""
+class Encoder:
+    """Whole texts: cut into words by the tokenizer's pattern, each of which takes its way through the automaton, unless this worker has met it before. The new words of a batch take it together."""
 
     def __init__(self, automaton: Automaton):
-        self.automaton, self.pattern = automaton, regex.compile(PATTERN)
-        special = list(automaton.special)
-        self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        super().__init__(self.one, special)
+        self.automaton, self.cut, self.known = automaton, cutter(PATTERN), {}
+        special = automaton.special
+        self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else lambda text: [text]
 
-    def pieces(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
         """The text's words and special tokens."""
-        out = []
-        for part in self.split.split(text) if self.split else [text]:
-            out += [part] if part in self.automaton.special else self.pattern.findall(part)
+        if not any(s in text for s in self.automaton.special):
+            return self.cut(text)
+        return [w for part in self.split(text) for w in ([part] if part in self.automaton.special else self.cut(part))]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = [self.words(t) for t in texts]
+        if len(self.known) > WORDS:
+            self.known.clear()
+        new = list(set().union(*cut).difference(self.known))
+        ordinary = [w for w in new if w not in self.automaton.special]
+        found = dict(zip(ordinary, self.automaton.words([w.encode() for w in ordinary]), strict=True))
+        found |= {w: np.array([self.automaton.special[w]], "<u2").tobytes() for w in new if w in self.automaton.special}
+        self.known |= found
+        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        for w in found:
+            if len(w) > WORD_CHARS:
+                del self.known[w]
         return out
 
-    def one(self, text: str) -> bytes:
-        pieces = self.pieces(text)
-        ordinary = [p for p in pieces if p not in self.automaton.special]
-        ids = iter(self.automaton.words([p.encode() for p in ordinary]))
-        return b"".join(np.array([self.automaton.special[p]], "<u2").tobytes() if p in self.automaton.special else next(ids) for p in pieces)
-
-    def new(self, parts: list[str]) -> list[bytes]:
-        """Parts that follow a space, encoded together."""
-        cut = [[" " + p] if p.isalpha() else self.pattern.findall(" " + p) for p in parts]
-        words = [w.encode() for pieces in cut for w in pieces]
-        ids = iter(self.automaton.words(words))
-        return [next(ids) if len(pieces) == 1 else b"".join(next(ids) for _ in pieces) for pieces in cut]
-
 
 _automata: dict[str, Automaton] = {}
 _shared: dict[tuple[str, str], object] = {}

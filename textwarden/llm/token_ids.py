@@ -1,128 +1,108 @@
-"""Ids of whole texts from the tokenizers library, with a word cache in each Python worker.
+"""Ids of whole texts from the tokenizers library, with a cache of words in each Python worker.
 
-Text is cut where the tokenizer's own pre-tokenizer always cuts, each part is looked up, and the
-library encodes the parts that are new. Texts for which the cuts aren't certain go to the library whole.
+A text is cut into words by the tokenizer's own pattern, each word is looked up, and the
+library's model encodes the words that are new. Texts for which the cuts aren't certain (special
+tokens, characters that the library would compose anew) go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Parts of at most so many characters are cached, so many of them in a worker.
-PART_CHARS, PARTS = 48, 500_000
-#: A space before white space or at the end, where a byte-level pre-tokenizer may join runs.
-_LOOSE = re.compile(r" (?=\s|\Z)")
+#: Words of at most so many characters are kept, so many of them in a worker.
+WORD_CHARS, WORDS = 48, 400_000
+#: White space and words as the byte-level tokenizer's pattern has them, and the words of the tokenizer that drops white space.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{SPACE}{LN}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|{L}+|{N}|[^{SPACE}{LN}]+"
 
 
-class _Parts(dict):
-    """The ids of the parts that this worker has met; ``encode_new`` encodes a list of others."""
+def cutter(pattern: str) -> Callable[[str], list[str]]:
+    """Cuts a text into the matches of ``pattern``; ASCII takes a shorter way to the same."""
 
-    def __init__(self, encode_new):
-        super().__init__()
-        self.encode_new = encode_new
-
-    def of(self, parts: list[str]) -> list[bytes]:
-        new = [p for p in parts if p not in self]
-        if len(self) + len(new) > PARTS:
-            self.clear()
-            new = parts
-        self.update(zip(new, self.encode_new(new), strict=True))
-        found = list(map(self.__getitem__, parts))
-        for part in new:
-            if len(part) > PART_CHARS:
-                del self[part]
-        return found
-
-
-def in_one_call(encode, parts: list[str], between: str, start: np.ndarray, keep: int) -> list[bytes] | None:
-    """The ids of each part from one encoding of all, cut before the ids that ``start`` marks and without the first ``1 - keep`` of each; None if the cuts don't match the parts."""
-    ids = np.frombuffer(encode("".join(between + p for p in parts)), "<u2")
-    cuts = np.flatnonzero(start[ids])
-    if not parts:
-        return []
-    if len(cuts) != len(parts) or cuts[0]:
-        return None
-    data, ends = ids.tobytes(), [*cuts[1:].tolist(), len(ids)]
-    return [data[2 * (s + 1 - keep) : 2 * e] for s, e in zip(cuts.tolist(), ends, strict=True)]
-
-
-def _assemble(lists: pa.ListArray, words: _Parts, firsts: list[bytes] | None = None) -> list[bytes]:
-    """The ids of each list of parts, one after another. Each distinct part is looked up once; ``firsts`` replace the first part of each list."""
-    offsets = lists.offsets.to_numpy()
-    coded = lists.flatten().dictionary_encode()
-    known = words.of(coded.dictionary.to_pylist()) + (firsts or [])
-    part = coded.indices.to_numpy().astype("i8")
-    if firsts:
-        part[offsets[:-1]] = len(coded.dictionary) + np.arange(len(firsts))
-    lengths = np.fromiter(map(len, known), "i8", len(known)) // 2
-    starts = np.cumsum(lengths) - lengths
-    size = lengths[part]
-    ends = np.cumsum(size)
-    flat = np.frombuffer(b"".join(known), "<u2")
-    ids = flat[np.repeat(starts[part] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-    at = 2 * np.concatenate([[0], ends])[offsets]
-    return [ids[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-
-
-class ByteLevelEncoder:
-    """Encodes texts to little-endian 16-bit ids, given a function that encodes one text exactly. A single space before a non-blank always starts a part."""
-
-    def __init__(self, encode, special: list[str], spaced: np.ndarray | None = None):
-        """``spaced`` marks the ids of tokens that begin with a space, if many parts are to be encoded in one call."""
-        self.encode, self.special, self.spaced = encode, special, spaced
-        self.words = _Parts(self.new)
-
-    def new(self, parts: list[str]) -> list[bytes]:
-        found = in_one_call(self.encode, parts, " ", self.spaced, keep=1) if self.spaced is not None and "" not in parts else None
-        return found if found is not None else [self.encode(" " + p) for p in parts]
-
-    def loose(self, text: str) -> bool:
-        return bool(_LOOSE.search(text)) or any(s in text for s in self.special)
+    def filled(letters: str, digits: str, space: str) -> str:
+        values = {"{LN}": letters + digits, "{L}": f"[{letters}]", "{N}": f"[{digits}]", "{SPACE}": space}
+        return re.sub("|".join(map(re.escape, values)), lambda m: values[m[0]], pattern)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = {i: self.encode(t) for i, t in enumerate(texts) if self.loose(t)}
-        lists = pc.split_pattern(pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.string()), " ")
-        firsts = [self.encode(t.partition(" ")[0]) if i not in whole else b"" for i, t in enumerate(texts)]
-        return [whole.get(i, ids) for i, ids in enumerate(_assemble(lists, self.words, firsts))]
+    ascii_, whole = re.compile(filled("a-zA-Z", "0-9", r"\t-\r ")).findall, regex.compile(filled(r"\p{L}", r"\p{N}", SPACE)).findall
+    return lambda text: ascii_(text) if text.isascii() else whole(text)
 
 
-class WordEncoder:
-    """The same for a tokenizer that drops white space."""
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 characters for themselves, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in plain)
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
-    #: A word that other words hardly contain, to tell them apart in one call.
-    MARK = "\x01"
 
-    def __init__(self, encode, size: int):
-        self.encode, self.words = encode, _Parts(self.new)
-        mark = np.frombuffer(encode(self.MARK), "<u2")
-        self.mark = np.zeros(size, bool)
-        self.mark[mark] = len(mark) == 1
+class Known(dict):
+    """The ids of the words that this worker has met, as little-endian 16-bit integers; ``encode`` encodes another one."""
 
-    def new(self, parts: list[str]) -> list[bytes]:
-        found = in_one_call(self.encode, parts, f" {self.MARK} ", self.mark, keep=0)
-        return found if found is not None else [self.encode(p) for p in parts]
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        self.keep(word, ids)
+        return ids
+
+    def keep(self, word: str, ids: bytes) -> None:
+        if len(word) <= WORD_CHARS:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = ids
+
+
+class LibraryEncoder:
+    """Encodes texts to little-endian 16-bit ids by a tokenizer of the library whose words are ``pattern`` and whose letters stand for bytes."""
+
+    def __init__(self, tokenizer, pattern: str, lower: bool):
+        self.tokenizer, self.cut, self.lower = tokenizer, cutter(pattern), lower
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.model = tokenizer.model
+        self.known = Known(self.word)
+
+    def word(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(letters)], "<u2").tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2").tobytes()
+
+    def words(self, text: str) -> list[str] | None:
+        """The text's words, or None if the library has to find them."""
+        if any(s in text for s in self.special):
+            return None
+        if self.lower:
+            if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+                return None
+            # Letter by letter where lower case depends on the place in a word, which the library ignores.
+            text = "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()
+        return self.cut(text)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return _assemble(pc.ascii_split_whitespace(pa.array(texts, pa.string())), self.words)
+        ids = self.known.__getitem__
+        return [self.whole(t) if (words := self.words(t)) is None else b"".join(map(ids, words)) for t in texts]
 
 
-_encoders: dict[str, object] = {}
+_encoders: dict[str, LibraryEncoder] = {}
 
 
-def encoder(path: str):
+def encoder(path: str) -> LibraryEncoder:
     """This worker's encoder for a tokenizer file of at most 65,536 ids."""
     if path not in _encoders:
-        import json
-
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -130,22 +110,16 @@ def encoder(path: str):
         tokenizer.no_padding()
         if tokenizer.get_vocab_size() > 65_536:
             raise ValueError(f"{path} has more ids than 16 bits hold")
-
-        def encode(text: str) -> bytes:
-            return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2").tobytes()
-
-        if (json.loads(tokenizer.to_str())["pre_tokenizer"] or {}).get("type") == "Sequence":
-            _encoders[path] = WordEncoder(encode, 65_536)
-        else:
-            spaced = np.zeros(65_536, bool)
-            spaced[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-            _encoders[path] = ByteLevelEncoder(encode, [t.content for t in tokenizer.get_added_tokens_decoder().values()], spaced)
+        spec = json.loads(tokenizer.to_str())
+        drops = (spec["pre_tokenizer"] or {}).get("type") == "Sequence"
+        _encoders[path] = LibraryEncoder(tokenizer, WORD_PATTERN if drops else PATTERN, lower=spec["normalizer"] is not None)
     return _encoders[path]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts may be long: fewer rows in an Arrow batch."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 2**24) -> None:
+    """Whole texts may be long: fewer rows and bytes in an Arrow batch. The settings stay with the session, as plans are run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def ids_column(text: Column, path: str, end_id: int | None = None) -> Column:
