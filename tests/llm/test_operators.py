@@ -191,22 +191,18 @@ def test_automaton_by_brute_force(monkeypatch):
 
 def brute_selection(text):
     """Hash and position of what winnowing selects, with a hash that rolls from run to run."""
-    k, w, turn = fingerprint.K, fingerprint.W, lambda x, n: (x << n % 64 | x >> (64 - n % 64)) & (2**64 - 1) if n % 64 else x
+    k, w, mask = fingerprint.K, fingerprint.W, 2**64 - 1
     codes = [xxhash.xxh64_intdigest(c.encode(), seed=42) for c in text]
     if not codes:
         return []
     rolling, runs = 0, []
     for i, c in enumerate(codes):
-        rolling = turn(rolling, 1) ^ c ^ (turn(codes[i - k], k) if i >= k else 0)
+        rolling = (rolling << 1 ^ c ^ (codes[i - k] << k if i >= k else 0)) & mask
         runs += [rolling] if i >= k - 1 else []
-    if not runs:  # fewer than k: as if nothing followed them
-        runs = [0]
-        for i, c in enumerate(codes):
-            runs[0] ^= turn(c, k - 1 - i)
-    hashed = [xxhash.xxh64_intdigest(r.to_bytes(8, "little"), seed=42) >> 32 for r in runs]
+    hashed = [r >> 32 for r in runs or [xxhash.xxh64_intdigest(text.encode(), seed=42)]]
     picked = {}
     for at in range(max(1, len(hashed) - w + 1)):
-        window = list(enumerate(hashed))[at : at + w]
+        window = list(enumerate(hashed[at : at + w], at))
         i, h = min(window, key=lambda p: (p[1], -p[0]))
         picked[i] = h
     return [(h, i) for i, h in sorted(picked.items())]

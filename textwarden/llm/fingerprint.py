@@ -5,9 +5,9 @@ smallest is selected, the rightmost where several are equal. Whatever two texts
 ``K + W - 1`` code points thus selects a common hash, in any language and at any offset. A
 selected hash is kept with its position.
 
-The rolling hash is the cyclic polynomial: the hashes of a run's code points, each turned by one
-bit more than the next, combined by exclusive or. Array functions get all of a text's at once:
-those of 1, 2, 4, ... code points in turn, each from two neighbours of the one before.
+The rolling hash is a shift-xor polynomial: the hashes of a run's code points, each shifted by
+one bit more than the next, combined by exclusive or. Array functions get all of a text's at
+once: those of 1, 2, 4, ... code points in turn, each from two neighbours of the one before.
 """
 
 from __future__ import annotations
@@ -20,38 +20,38 @@ from textwarden.llm.ranges import bounds_literal, range_bounds, range_bucket
 #: Code points of a run, and runs of a window; both powers of two.
 K = 8
 W = 16
+#: Code points over which two texts must agree for a common hash to be certain.
+SHARED = K + W - 1
 #: A selected hash is one long: 32 bits of hash, then how far the position is from the last one that 31 bits can hold, so that the smallest long is the smallest hash and the rightmost position.
 _LAST = 2**31 - 1
 
 
-def turned(value: Column, bits: int) -> Column:
-    return F.shiftleft(value, bits).bitwiseOR(F.shiftrightunsigned(value, 64 - bits))
-
-
 def beside(array: Column, by: int, f) -> Column:
-    """``f`` of each element and the one ``by`` places on (null beyond the end)."""
-    return F.zip_with(array, F.slice(array, F.lit(1 + by), F.greatest(F.lit(0), F.size(array) - by)), f)
+    """``f`` of each element and the one ``by`` places on."""
+    most = F.greatest(F.lit(0), F.size(array) - by)
+    return F.zip_with(F.slice(array, F.lit(1), most), F.slice(array, F.lit(1 + by), most), f)
 
 
-def with_grams(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """``df`` with column ``out``: the rolling hashes of all runs of ``text``, in order. Fewer than ``K`` code points count as one run, none give an empty array."""
-    df = df.withColumn(out, F.when(text != "", F.transform(F.split(text, ""), lambda c: F.xxhash64(c))).otherwise(F.array().cast("array<bigint>")))
+def with_minima(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """``df`` with column ``out``: what is selected in each window of ``text``, as packed longs. Fewer than ``K`` code points count as one run, fewer than ``W`` runs as one window; no code points have none."""
+    size = F.char_length(text)
+    df = df.withColumn(out, F.transform(F.split(text, ""), lambda c: F.xxhash64(c)))
     width = 1
     while width < K:
-        df = df.withColumn(out, beside(F.col(out), width, lambda x, y: turned(x, width).bitwiseXOR(F.coalesce(y, F.lit(0)))))  # noqa: B023
+        df = df.withColumn(out, beside(F.col(out), width, lambda x, y: F.shiftleft(x, width).bitwiseXOR(y)))  # noqa: B023
         width *= 2
-    return df.withColumn(out, F.slice(F.col(out), F.lit(1), F.greatest(F.lit(1), F.size(out) - (K - 1))))
-
-
-def with_selection(df: DataFrame, grams: str, out: str) -> DataFrame:
-    """``df`` with column ``out``: the selected ones of the hashes in ``grams`` as packed longs, by position. Fewer than ``W`` have one window."""
-    packed = lambda g, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(g), 32), 31).bitwiseOR((_LAST - i).cast("long"))
-    df = df.withColumn(out, F.transform(F.col(grams), packed))
+    grams = F.when(size >= K, F.col(out)).when(size > 0, F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))
+    df = df.withColumn(out, F.transform(grams, lambda g, i: F.shiftrightunsigned(g, 1).bitwiseOR(F.lit(_LAST)).bitwiseXOR(i.cast("long"))))
     width = 1
     while width < W:  # minima of 2, 4, 8, ... neighbours
-        df = df.withColumn(out, beside(F.col(out), width, lambda a, b: F.least(a, b)))
+        df = df.withColumn(out, F.when(size < SHARED, F.col(out)).otherwise(beside(F.col(out), width, lambda a, b: F.least(a, b))))
         width *= 2
-    return df.withColumn(out, F.array_distinct(F.slice(F.col(out), F.lit(1), F.greatest(F.lit(1), F.size(out) - (W - 1)))))
+    return df.withColumn(out, F.when((size < SHARED) & (size > 0), F.array(F.array_min(out))).otherwise(F.col(out)))
+
+
+def moved(selected: Column, by: Column) -> Column:
+    """The same hashes ``by`` code points further on."""
+    return F.transform(selected, lambda v: v - by.cast("long"))
 
 
 def hashes(selected: Column) -> Column:
@@ -72,8 +72,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """``df`` with its texts' fingerprints as a string; an existing column ``out`` is replaced. Null and empty texts have the empty fingerprint."""
-    grams = with_grams(df.drop(out), F.coalesce(F.col(f"`{text}`"), F.lit("")), out)
-    return with_selection(grams, out, out).withColumn(out, as_string(F.col(out)))
+    found = with_minima(df.drop(out), F.coalesce(F.col(f"`{text}`"), F.lit("")), out)
+    return found.withColumn(out, as_string(F.array_distinct(out)))
 
 
 def with_next(df: DataFrame, key: str, rows_per_bucket: int = 128) -> tuple[DataFrame, Window, Column]:
@@ -110,22 +110,22 @@ def compare_with_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -
     dealt = dealt.withColumn("next_text", F.lead("text").over(window))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(following, F.lit(1), half))
     dealt = dealt.select("*", n.alias("n"), (n - half).alias("stays"), F.least(half, F.char_length(following)).alias("comes"), edited.alias("edited"))
-    dealt = with_selection(with_grams(dealt, F.col("text"), "grams"), "grams", "own")
-    dealt = dealt.withColumns({"next_grams": F.lead("grams").over(window), "after": F.lead("own").over(window)}).filter(own)
-    # The edited text's runs: those within what stays, those over the seam, those within what comes.
-    left, right = F.least("stays", F.lit(K - 1)), F.least("comes", F.lit(K - 1))
-    short = F.col("stays") + F.col("comes") < K
-    seam = F.when(short, F.col("edited")).otherwise(F.substring(F.col("edited"), F.col("stays") - left + 1, left + right))
-    dealt = with_grams(dealt, seam, "seam")
-    within = lambda grams, chars: F.slice(F.coalesce(F.col(grams), F.array().cast("array<bigint>")), F.lit(1), F.greatest(F.lit(0), F.col(chars) - (K - 1)))
-    joined = F.when(short, F.col("seam")).when(left + right < K, F.concat(within("grams", "stays"), within("next_grams", "comes"))).otherwise(F.concat(within("grams", "stays"), F.col("seam"), within("next_grams", "comes")))
-    dealt = with_selection(dealt.withColumn("changed_grams", joined), "changed_grams", "changed")
+    dealt = with_minima(dealt, F.col("text"), "own")
+    dealt = dealt.withColumn("after", F.coalesce(F.lead("own").over(window), F.array().cast("array<bigint>"))).filter(own)
+    # The edited text's windows: those within what stays, those over the seam, those within what comes.
+    left, right = F.least("stays", F.lit(SHARED - 1)), F.least("comes", F.lit(SHARED - 1))
+    crossed = (left + right >= SHARED) | (F.col("stays") + F.col("comes") < SHARED)
+    seam = F.when(crossed, F.substring(F.col("edited"), F.col("stays") - left + 1, left + right)).otherwise("")
+    dealt = with_minima(dealt.withColumn("seam_text", seam), F.col("seam_text"), "seam")
+    within = lambda minima, chars: F.array_distinct(F.slice(minima, F.lit(1), F.greatest(F.lit(0), F.col(chars) - (SHARED - 1))))
+    changed = F.concat(within("own", "stays"), moved(F.array_distinct("seam"), F.col("stays") - left), moved(within("after", "comes"), F.col("stays")))
+    dealt = dealt.select("*", F.array_distinct(changed).alias("changed"), F.array_distinct("own").alias("mine"), F.array_distinct("after").alias("theirs"))
     return dealt.select(
         "doc_id",
         F.col("n").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_string(F.col("own")).alias("fingerprint"),
+        as_string(F.col("mine")).alias("fingerprint"),
         as_string(F.col("changed")).alias("edited_fingerprint"),
-        likeness(hashes(F.col("own")), hashes(F.col("changed"))).alias("near_edited"),
-        likeness(hashes(F.col("own")), hashes(F.coalesce("after", F.array().cast("array<bigint>")))).alias("near_next"),
+        likeness(hashes(F.col("mine")), hashes(F.col("changed"))).alias("near_edited"),
+        likeness(hashes(F.col("mine")), hashes(F.col("theirs"))).alias("near_next"),
     )
