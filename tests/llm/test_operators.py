@@ -267,6 +267,48 @@ def test_license_scan_of_neighbours_and_letters_that_grow():
     assert text[found[0][3] : found[0][4]] == "Licensed under the MIT License"
 
 
+def test_license_scan_tells_neighbours_apart():
+    index = license_scan.Index(license_scan.all_templates())
+    names = {
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+        "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "This work is licensed under the GNU General Public License, version 4.": [],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": ["CC-BY-SA-4.0"],
+        "Licensed under CC BY 4.0. Licensed under CC BY-NC-SA 4.0.": ["CC-BY-4.0", "CC-BY-NC-SA-4.0"],
+        "Licensed under the Apache License, Version 1.1.": [],
+    }
+    for text, want in names.items():
+        assert [m[0] for m in index.scan(text)] == want
+    rnd = random.Random(1)
+    for name in ("Apache-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0"):
+        text = license_scan.all_templates()[name][-1]
+        words = text.split(" ")
+        for _ in range(len(words) // 25):
+            words[rnd.randrange(len(words))] = "changed"
+        given = "Some words before. " + " ".join(words) + " And some after."
+        whole = [m for m in index.scan(given) if m[0] == name and m[4] - m[3] > 0.9 * len(text)]
+        assert len(whole) == 1 and 0.85 < whole[0][2] <= 1
+
+
+def brute_common(template, words):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(words) + 1)
+    for t in template:
+        above, row = row, [0]
+        for j, w in enumerate(words):
+            row.append(above[j] + 1 if t == w else max(row[j], above[j + 1]))
+    return row[-1]
+
+
+def test_alignment_by_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        template, words = rng.integers(1, 6, rng.integers(1, 25)), rng.integers(1, 6, rng.integers(1, 25))
+        matched = license_scan.align(template, words, int(rng.integers(-3, 4)), 40)
+        assert len(matched) == brute_common(template.tolist(), words.tolist()) and matched == sorted(set(matched))
+
+
 def test_packing(spark, docs, none):
     path, tk = queries.tokenizer_file("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.json")
     cut = packing.pieces(docs, path, 0, capacity=256)

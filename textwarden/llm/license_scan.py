@@ -5,19 +5,30 @@ the smallest, rightmost, is kept with its place. A text's own winnowed hashes th
 pick candidates: a template and a diagonal. Around the diagonal a banded alignment finds the
 most template words that follow in order, and a match is reported with its share of the
 template's words and its characters in the text.
+
+Templates are notices, and the full texts in ``licenses/``. Of a notice, which names its license
+and version in a few words, every word must be there, with few between them; so a notice of another license isn't taken
+for it, and where one notice contains another the one with more words wins.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-K, W, BAND, COVERAGE = 3, 2, 6, 0.8
+K, W = 3, 2
+#: Words to both sides of a diagonal, and one more for each so many of the template.
+BAND, PER_BAND = 6, 50
+#: Share of a template's words that a match must have; of a notice of at most so many words, all.
+COVERAGE, NOTICE = 0.8, 30
+#: A template of more words is aligned where a text has at least this share of its selected hashes.
+LONG, ANCHORED = 200, 0.1
 WORD = re.compile(r"\w+(?:\.\d+)*")
 
 #: Notices by which licenses are granted, as their stewards word them, and short forms.
@@ -42,11 +53,51 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "CC-BY-4.0": [
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    ],
+    "CC-BY-SA-4.0": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ],
+    "CC-BY-ND-4.0": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ],
+    "CC-BY-NC-SA-4.0": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ],
     "proprietary": ["All rights reserved."],
 }
 MATCH = "array<struct<license:string,template:int,coverage:double,start:int,end:int>>"
 
 
+def all_templates() -> dict[str, list[str]]:
+    """``TEMPLATES`` with the full texts after them."""
+    found = {name: list(texts) for name, texts in TEMPLATES.items()}
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        found.setdefault(path.stem, []).append(path.read_text(encoding="utf-8"))
+    return found
+
+
 class Index:
     """The templates' words, numbered from 1, and where their selected hashes stand."""
 
@@ -58,9 +109,12 @@ class Index:
             for number, text in enumerate(texts):
                 words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in WORD.findall(text.lower())], "i8")
                 self.templates.append((name, number, words))
+        self.chosen = []
         for t, (_, _, words) in enumerate(self.templates):
             hashes = self.grams(words)
-            for at in self.select(hashes):
+            selected = self.select(hashes)
+            self.chosen.append(len(selected))
+            for at in selected:
                 self.places.setdefault(int(hashes[at]), []).append((t, int(at)))
 
     def grams(self, words: np.ndarray) -> np.ndarray:
@@ -83,7 +137,7 @@ class Index:
         return np.unique(np.arange(len(windows)) + span - 1 - np.argmin(windows[:, ::-1], axis=1))
 
     def scan(self, text: str | None) -> list[tuple[str, int, float, int, int]]:
-        """Matches of at least ``COVERAGE``, by place; of overlapping ones that with the most words stays."""
+        """Matches with enough of a template's words, by place; of overlapping ones that with the most words stays."""
         lower = (text or "").lower()
         if len(lower) != len(text or ""):  # places are those of the text itself
             lower = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
@@ -109,14 +163,19 @@ class Index:
         found = []
         for t, anchors in diagonals.items():
             name, no, template = self.templates[t]
+            long = len(template) > LONG
+            if long and len({at - offset for at, offset in anchors}) < ANCHORED * self.chosen[t]:
+                continue
+            band, share = (len(template) // 8, 1.0) if len(template) <= NOTICE else (BAND + len(template) // PER_BAND, COVERAGE)
             first, last, tried = -1, -1, set()
             for at, offset in anchors:
                 low = last + 1 if at > last else 0  # a match that follows another has words of its own
-                if first <= at <= last or (offset, low) in tried:
+                diagonal = offset // max(1, band) if long else offset  # neighbours of a wide band see the same
+                if first <= at <= last or (diagonal, low) in tried:
                     continue
-                tried.add((offset, low))
-                matched = align(template, words, offset, BAND, low)
-                if len(matched) >= COVERAGE * len(template):
+                tried.add((diagonal, low))
+                matched = align(template, words, offset, band, low)
+                if len(matched) >= share * len(template):
                     first, last = matched[0], matched[-1]
                     found.append((len(matched), name, no, len(matched) / len(template), spans[matched[0]][0], spans[matched[-1]][1]))
         kept: list[tuple[str, int, float, int, int]] = []
@@ -130,14 +189,12 @@ def align(template: np.ndarray, words: np.ndarray, offset: int, band: int, low:
     """Places, from ``low``, of the text's words in the longest common subsequence with the template within ``band`` of the diagonal ``offset``."""
     width = 2 * band + 1
     best = np.zeros((len(template) + 1, width + 1), "i4")  # column c of row i stands for the text's word i - 1 + offset + c - band
+    at = np.arange(offset - band, offset + band + len(template))
+    seen = np.where((at >= low) & (at < len(words)), words[np.clip(at, 0, len(words) - 1)], -1)
     for i in range(1, len(template) + 1):
-        row, above = best[i], best[i - 1]
-        for c in range(width):
-            j = i - 1 + offset + c - band
-            left = row[c - 1] if c else 0
-            row[c] = max(left, above[c + 1] if c + 1 < width else 0)
-            if low <= j < len(words) and words[j] == template[i - 1]:
-                row[c] = max(row[c], above[c] + 1)
+        above = best[i - 1]
+        same = seen[i - 1 : i - 1 + width] == template[i - 1]
+        best[i, :width] = np.maximum.accumulate(np.maximum(np.append(above[1:width], 0), np.where(same, above[:width] + 1, 0)))
     i, c, out = len(template), width - 1, []
     while i > 0 and c >= 0 and best[i][c]:
         if c and best[i][c] == best[i][c - 1]:
@@ -152,7 +209,7 @@ def align(template: np.ndarray, words: np.ndarray, offset: int, band: int, low:
 
 def matches(text: Column, templates: dict[str, list[str]] | None = None) -> Column:
     """The matches in each text as an array of license, template number, coverage, and first and end character; empty for null and for texts without one."""
-    chosen = templates or TEMPLATES
+    chosen = templates or all_templates()
 
     @F.pandas_udf(MATCH)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
