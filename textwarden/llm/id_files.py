@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarden.llm.ranges import range_bounds, range_bucket
@@ -128,14 +128,26 @@ class Shard:
         return np.frombuffer(self.payload.read(2 * (end - start)), "<u2").astype("<u4")
 
 
-def _store(folder: str, name: str, chunks) -> None:
-    fs, base = pa.fs.FileSystem.from_uri(folder)
-    fs.create_dir(base, recursive=True)
-    part = f"{base}/.{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as f:
-        for chunk in chunks:
-            f.write(chunk)
-    fs.move(part, f"{base}/{name}")
+class _File:
+    """A file that is written beside its place and moved into it when it is whole."""
+
+    def __init__(self, folder: str, name: str):
+        self.fs, base = pa.fs.FileSystem.from_uri(folder)
+        self.fs.create_dir(base, recursive=True)
+        self.part, self.place = f"{base}/.{name}-{uuid.uuid4().hex}", f"{base}/{name}"
+        self.stream = self.fs.open_output_stream(self.part, buffer_size=2**20)
+
+    def close(self) -> None:
+        self.stream.close()
+        self.fs.move(self.part, self.place)
+
+
+def _with_scheme(spark: SparkSession, folder: str) -> str:
+    """``folder`` on the file system that Spark itself would take."""
+    if "://" in folder:
+        return folder
+    home = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return f"file://{folder}" if home.startswith("file:") else f"{home.rstrip('/')}{folder}"
 
 
 def write_ids(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", rows_per_shard: int = 2000, folder: str | None = None) -> tuple[str, DataFrame, list[int]]:
@@ -147,19 +159,20 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", t
     """
     small_batches(df.sparkSession)
     folder = folder or scratch(df.sparkSession, "ids")
-    folder = folder if "://" in folder else f"file://{folder}"
+    folder = _with_scheme(df.sparkSession, folder)
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     bounds = range_bounds(rows.select("key"), "key", rows_per_shard)
     coded = rows.select("key", range_bucket(F.col("key"), bounds).alias("shard"), ids_column(F.col("text"), tokenizer, end_id).alias("ids"))
     dealt = coded.repartition("shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, keys, chunks = None, [], []
+        shard, payload, keys, lengths = None, None, [], []  # the ids themselves go to the file as they come
 
         def close() -> pa.RecordBatch:
-            lengths = [len(c) // 2 for c in chunks]
-            _store(folder, f"shard-{shard}.ids", chunks)
-            _store(folder, f"shard-{shard}.idx", [pack_index(keys, lengths)])
+            payload.close()
+            index = _File(folder, f"shard-{shard}.idx")
+            index.stream.write(pack_index(keys, lengths))
+            index.close()
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "documents": [len(keys)], "tokens": [sum(lengths)]})
 
         for batch in batches:
@@ -167,9 +180,10 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", t
                 if s != shard:
                     if keys:
                         yield close()
-                    shard, keys, chunks = s, [], []
+                    shard, payload, keys, lengths = s, _File(folder, f"shard-{s}.ids"), [], []
+                payload.stream.write(ids)
                 keys.append(k)
-                chunks.append(ids)
+                lengths.append(len(ids) // 2)
         if keys:
             yield close()
 
@@ -187,7 +201,8 @@ def read_ids(keys: DataFrame, folder: str, manifest: DataFrame, bounds: list[int
     """
     rows = keys.select(F.col(f"`{key}`").cast("long").alias("key"))
     rows = rows.withColumn("shard", range_bucket(F.col("key"), bounds)).join(manifest.select("shard", "start"), "shard", "left")
-    rows = rows.select("shard", "key", "start").repartition("shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first())
+    # As many tasks as shards, so that adaptive execution doesn't bring all these small rows, whose ids are not small, to one.
+    rows = rows.select("shard", "key", "start").repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first())
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
     fields += [("ids", pa.list_(pa.int64()))] if with_ids else []
     schema = pa.schema(fields)
