@@ -73,9 +73,14 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", digest=
     return clear.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_digest"))
 
 
-def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` without the rows that lose to an equal text; of repeated rows (same key, equal text) one stays."""
-    kept = exact_groups(df, key, text).filter("kept").select(F.col("doc_id").alias("__keep"), F.col("text_digest").alias("__of")).distinct()
-    marked = df.withColumn("__digest", sha256(without_blanks(F.col(f"`{text}`"))))
-    same = (F.col("__digest") == F.col("__of")) & F.col(f"`{key}`").eqNullSafe(F.col("__keep"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["__digest"]).drop("__digest")
+def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256, normalise=without_blanks) -> DataFrame:
+    """``df`` without the rows that lose to an equal text; of repeated rows (same key, equal text) one stays.
+
+    Texts are equal as in ``exact_groups``; texts that only share a digest stay apart. Null counts
+    as empty, so one of all null and blank texts stays. An empty table gives an empty one.
+    """
+    kept = exact_groups(df, key, text, digest, normalise).filter("kept").select(F.col("doc_id").alias("winner"), F.col("text_digest").alias("of")).distinct()
+    content = normalise(F.col(f"`{text}`"))
+    marked = df.select(F.struct("*").alias("row"), F.col(f"`{key}`").cast("long").alias("key"), content.alias("content"), digest(content).alias("digest"))
+    found = marked.join(kept, (F.col("digest") == F.col("of")) & F.col("key").eqNullSafe(F.col("winner")), "left_semi")
+    return found.dropDuplicates(["digest", "key", "content"]).select("row.*")
