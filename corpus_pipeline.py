@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.llm import exact_dedup, lang_id, packing, simhash, suffix_dedup
-from textwarden.llm.queries import tokenizer_file
+from textwarden.llm.queries import PACKING_WEIGHTS, tokenizer_file
 from textwarden.runtime import materialise
 
 #: A document whose language is less sure than this, or that has no letter, is rejected.
@@ -16,17 +16,19 @@ LEAST_SCORE = 0.5
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled ones teach. Where nothing is labelled nothing can be rejected but texts without a letter."""
     model = lang_id.fit(docs)
-    guessed = docs.withColumn("__guess", lang_id.predict(F.col("text"), model))
     if not model.classes:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return guessed.filter((F.col("__guess.lang") != lang_id.UNDETERMINED) & (F.col("__guess.score") >= LEAST_SCORE)).drop("__guess")
+    guessed = docs.select(F.struct("*").alias("row"), lang_id.predict(F.col("text"), model).alias("guess"))
+    return guessed.filter((F.col("guess.lang") != lang_id.UNDETERMINED) & (F.col("guess.score") >= LEAST_SCORE)).select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal without blanks, the longest, then the one with the smallest key. Null and blank texts are one group; null keys lose to others; extra columns stay."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row, the one with the smallest key, of each group of texts linked by 0.8 or more of their five-word shingles. Rows with a null key or text, and texts without words, stay; extra columns stay."""
     return simhash.drop_near_copies(docs, words=5, similarity=0.8)
 
 
@@ -36,8 +38,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document with its sequence and place there; null and empty texts are their end id alone, repeated rows each have their own place, extra columns are not kept."""
     cut = materialise(packing.pieces(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048), "pieces")
-    return packing.pack(cut, capacity=2048)
+    return packing.pack(cut, capacity=2048, max_documents=2048, max_attention=2048.0**2, weights=PACKING_WEIGHTS)
 
 
 STAGES = [
