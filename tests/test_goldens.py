@@ -101,11 +101,15 @@ def test_segmentation_properties(text, costs):
     assert price(segment.cheapest(text, costs, 5, 15.0)) == pytest.approx(best)
 
 
-def test_segment_column(spark):
+@pytest.mark.parametrize("max_words", [100, 0])
+def test_segmented(spark, max_words):
+    """With a dictionary that is broadcast, and one of which each text gets its own part."""
     table = spark.createDataFrame(list(COSTS.items()), "word string, cost double")
     df = spark.createDataFrame([(1, "研究生命起源"), (2, None), (3, "")], "doc_id long, text string")
-    rows = df.select("doc_id", segment.segment_dp(F.col("text"), table).alias("t"), segment.segment_bimm(F.col("text"), table, stopwords=["起源"]).alias("u")).orderBy("doc_id").collect()
-    assert rows[0].t == ["研究", "生命", "起源"] and rows[0].u == ["研究", "生命"] and rows[1].t == rows[2].t == []
+    rows = segment.segment_dp(df, table, out="t", max_words=max_words)
+    rows = segment.segment_bimm(rows, table, out="u", stopwords=["起源"], max_words=max_words)
+    rows = segment.segment_dag(rows, table, out="v", max_words=max_words).orderBy("doc_id").collect()
+    assert rows[0].t == rows[0].v == ["研究", "生命", "起源"] and rows[0].u == ["研究", "生命"] and rows[1].t == rows[2].t == rows[2].v == []
 
 
 def test_cleaning(spark):
@@ -149,8 +153,11 @@ def test_keyword_hits_are_whole_tokens(spark):
 def test_fields_and_feeds(spark):
     page = '<html><head><title> T &amp; x </title></head><body><nav>n</nav><div class="c main"><h1 id=h>H</h1><p>' + "w " * 60 + '</p><time datetime="2024-01-05T03:04:05+08:00"></time></div></body></html>'
     df = spark.createDataFrame([(1, page), (2, ""), (3, None)], "page_id long, html string")
-    one, two, three = links.extract_fields(df, title="#none::text, div.c h1::text", body=".main p").orderBy("page_id").collect()
-    assert (one.title, one.publish_time_text) == ("H", "2024-01-05T03:04:05") and one.body_text.startswith("w w")
+    one, two, three = links.extract_fields(df, title="#none::text, div.c h1::text", body="#none, .main").orderBy("page_id").collect()
+    assert (one.title, one.publish_time_text) == ("H", "2024-01-05T03:04:05") and one.body_text.startswith("H w w")
+    # What a selector chooses counts by the elements below it; with none of them the whole body does.
+    below = links.extract_fields(df, body=".main p").orderBy("page_id").first()
+    assert below.body_text.startswith("n H w w")
     assert (two.title, two.publish_time_text, two.body_text) == ("", None, "") and three.title == ""
     feeds = ["<rss><channel><item><link> http://a/1 </link></item></channel></rss>", '<feed xmlns="http://www.w3.org/2005/Atom"><entry><link href="http://a/2"/></entry><entry><id>http://a/3</id></entry><entry><id>tag:x</id></entry></feed>', "<broken", None]
     df = spark.createDataFrame([(f,) for f in feeds], "x string")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.functions.values import CATEGORY_WEIGHTS, HARM_RULES
-from textwarden.operators.hits import explode_tokens, keyword_hits, lexicon_lookup, token_count, with_context
+from textwarden.operators.hits import explode_tokens, keyword_hits, known_once, lexicon_lookup, token_count, with_context
 
 
 def _decimal(text: str) -> Column:
@@ -24,6 +24,7 @@ def sensitivity(docs: DataFrame, words: DataFrame, weights: dict[str, str] | Non
     """``doc_id``, ``score``, ``flags``, ``matched``, ``is_sensitive``. ``words``: ``word``, ``category``, ``weight``."""
     weights = weights or CATEGORY_WEIGHTS
     weight_of = F.create_map(*(x for c, w in weights.items() for x in (F.lit(c), _decimal(w))))
+    docs = known_once(docs.select(*(c for c in ("doc_id", "tokens", "n_tokens", "known") if c in docs.columns)), words)
     hits = keyword_hits(explode_tokens(docs), words.withColumn("weight", F.col("weight").cast("decimal(4,2)")))
     hits = hits.withColumn("part", F.col("weight") * F.element_at(weight_of, F.col("category")) * F.col("n").cast("decimal(9,0)"))
     categories = hits.groupBy("doc_id", "category").agg(F.sum("part").alias("part"), F.min(F.struct("first_pos", "word")).alias("at"), F.collect_list(F.struct("first_pos", "word")).alias("words"))
@@ -66,6 +67,7 @@ def sentiment(docs: DataFrame, lexicon: DataFrame, negations: DataFrame, intensi
     The thresholds are for a scale from 0 to 1 but the score runs from -1 to 1: that is the rule
     to reproduce, and both are parameters. Fewer than two tokens, or no hit, give the default.
     """
+    docs = known_once(docs.select(*(c for c in ("doc_id", "tokens", "n_tokens", "known") if c in docs.columns)), lexicon, negations, intensifiers)
     hits = sentiment_hits(docs, lexicon, negations, intensifiers)
     folded = hits.groupBy("doc_id").agg(
         F.count("*").alias("n"), F.sum("adjusted").alias("sum"), F.count_if("is_positive").alias("n_positive"),
@@ -148,6 +150,7 @@ def harmful(docs: DataFrame, keywords: DataFrame, text: str = "text", threshold:
     """All three layers: ``doc_id``, ``score``, ``is_harmful``, ``flags``, ``details``, ``l1``, ``l2``. Fewer than three tokens give the default. An empty text is taken from its tokens."""
     if "l1" not in docs.columns:
         docs = with_harm_regex(docs, text)
+    docs = known_once(docs.drop(text), keywords)
     first = docs.select("doc_id", (token_count(docs) >= 3).alias("enough"), "l1", "l1_score")
     found = first.join(harm_keywords(docs, keywords), "doc_id", "left")
     none = F.array().cast("array<string>")

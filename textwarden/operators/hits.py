@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textwarden.runtime import materialise, small
+from textwarden.sources.dictionaries import words_in
+
 
 def explode_tokens(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """``doc_id``, ``pos``, ``token``; of documents that have gone through ``with_known`` the known tokens only."""
@@ -19,15 +22,25 @@ def with_known(docs: DataFrame, words: list[str], tokens: str = "tokens") -> Dat
     return docs.withColumns({"n_tokens": F.size(tokens), "known": F.filter(placed, lambda x: x["token"].isin(words))}).drop(tokens)
 
 
+def known_once(docs: DataFrame, *dictionaries: DataFrame) -> DataFrame:
+    """``docs`` after ``with_known``, written once, so that texts are read and tokenised once however often the result is used. As it is if that has been done, or if the dictionaries are too large for a list of their words."""
+    if "known" in docs.columns:
+        return docs
+    lists = [words_in(d, "word") for d in dictionaries]
+    if any(words is None for words in lists):
+        return docs
+    return materialise(with_known(docs, sorted(set().union(*lists))), "known-tokens")
+
+
 def token_count(docs: DataFrame) -> Column:
     return F.col("n_tokens") if "n_tokens" in docs.columns else F.size("tokens")
 
 
 def lexicon_lookup(tokens: DataFrame, lexicon: DataFrame, negations: DataFrame, intensifiers: DataFrame) -> DataFrame:
     """Adds ``polarity`` (0), ``intensity`` (1), ``category`` (''), ``multiplier`` (1) and ``is_negation`` to each token."""
-    found = tokens.join(F.broadcast(lexicon), tokens["token"] == lexicon["word"], "left").drop("word")
-    found = found.join(F.broadcast(intensifiers.select(F.col("word").alias("__w"), "multiplier")), F.col("token") == F.col("__w"), "left").drop("__w")
-    found = found.join(F.broadcast(negations.select(F.col("word").alias("__n"))), F.col("token") == F.col("__n"), "left")
+    found = tokens.join(small(lexicon), tokens["token"] == lexicon["word"], "left").drop("word")
+    found = found.join(small(intensifiers.select(F.col("word").alias("__w"), "multiplier")), F.col("token") == F.col("__w"), "left").drop("__w")
+    found = found.join(small(negations.select(F.col("word").alias("__n"))), F.col("token") == F.col("__n"), "left")
     return found.select(
         *tokens.columns,
         F.coalesce("polarity", F.lit(0)).alias("polarity"),
@@ -40,7 +53,7 @@ def lexicon_lookup(tokens: DataFrame, lexicon: DataFrame, negations: DataFrame,
 
 def keyword_hits(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
     """``doc_id``, ``word``, ``category``, ``weight``, ``n`` and ``first_pos`` of each keyword that is a whole token."""
-    met = tokens.join(F.broadcast(keywords), tokens["token"] == keywords["word"])
+    met = tokens.join(small(keywords), tokens["token"] == keywords["word"])
     return met.groupBy("doc_id", "word", "category", "weight").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 

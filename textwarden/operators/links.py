@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textwarden.runtime import small
+
 PRIORITY = {"rss": 0, "sitemap": 1, "archive": 2, "home": 3}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -65,7 +67,7 @@ class _Tree(HTMLParser):
         if want.startswith("attr("):
             return [self.elements[i][1][want[5:-1]] for i in hits if want[5:-1] in self.elements[i][1]]
         chosen = set(hits)
-        return [t for above, t in self.texts if above and (above[-1] in chosen if want == "text" else chosen.intersection(above))]
+        return [t for above, t in self.texts if above and (above[-1] in chosen if want == "text" else chosen.intersection(above[:-1]))]
 
 
 def _fields(page: str | None, title: str, date: str, body: str) -> tuple[str, str | None, str]:
@@ -74,13 +76,18 @@ def _fields(page: str | None, title: str, date: str, body: str) -> tuple[str, st
     joined = (" ".join(t.strip() for t in tree.select(s) if t.strip()) for s in body.split(",") if s.strip())
     text = next((t for t in joined if len(t) > 100), None)
     if text is None:
-        text = " ".join(t.strip() for above, t in tree.texts if t.strip() and any(tree.elements[a][0] == "body" for a in above) and not any(tree.elements[a][0] in ("script", "style") for a in above))
+        text = " ".join(t.strip() for above, t in tree.texts if t.strip() and any(tree.elements[a][0] == "body" for a in above[:-1]))
     when = first(date)
     return first(title) or "", when[:19] if when else None, text
 
 
 def extract_fields(pages: DataFrame, html: str = "html", title: str = "title::text", date: str = "time::attr(datetime)", body: str = "article") -> DataFrame:
-    """Adds ``title``, ``publish_time_text`` and ``body_text`` found by comma lists of selectors: columns of the same name in ``pages`` (a site's profile) take precedence over the lists given here."""
+    """Adds ``title``, ``publish_time_text`` and ``body_text`` found by comma lists of selectors: columns of the same name in ``pages`` (a site's profile) take precedence over the lists given here.
+
+    A body selector stands for the text of the elements below what it chooses, not for that
+    element's own text; the first with more than 100 characters counts, else all that is below
+    ``body``, scripts too.
+    """
 
     @F.pandas_udf("title string, publish_time_text string, body_text string")
     def fields(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
@@ -160,7 +167,7 @@ def anchor_links(pages: DataFrame, profiles: DataFrame, exclude: bool = False) -
     """Distinct ``site_key``, ``url`` of all anchors, resolved and without fragment, that the site's ``link_regex`` finds; with ``exclude``, without those that one of its ``excludes`` finds."""
     hrefs = pages.select("site_key", "url", F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))).alias("href"))
     links = hrefs.select("site_key", F.pandas_udf(_resolve, "string")("url", "href").alias("link")).filter("link != ''")
-    found = links.join(F.broadcast(profiles), "site_key").filter(F.expr("rlike(link, link_regex)"))
+    found = links.join(small(profiles), "site_key").filter(F.expr("rlike(link, link_regex)"))
     if exclude:
         found = found.filter(F.expr("not exists(coalesce(excludes, array()), x -> rlike(link, x))"))
     return found.select("site_key", F.col("link").alias("url")).distinct()

@@ -1,7 +1,8 @@
 """Dictionary segmentation of text into words.
 
-Dictionaries are tables of ``word`` and ``freq``; a segmenter ships one to the Python workers, so
-it may hold ``MAX_WORDS`` words at most: cut a corpus-built one by frequency first.
+Dictionaries are tables of ``word`` and ``freq`` or ``cost``. One of up to ``MAX_WORDS`` words is
+broadcast to the Python workers; of a larger one each text gets the words that stand in it, found
+by a join of its substrings with the dictionary. Both give the same words.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.functions.text import filter_tokens, normalize_for_segmentation
+from textwarden.runtime import MAX_WORDS, materialise, spread
 
-MAX_WORDS = 500_000
 MAX_LEN, OOV = 5, 15.0
 
 
@@ -42,16 +43,13 @@ def add_words(dictionary: DataFrame, words: list[str]) -> DataFrame:
     return found.select("word", *(F.col("v")[c].alias(c) for c in kept))
 
 
-def _words(dictionary: DataFrame) -> Words:
-    value = "cost" if "cost" in dictionary.columns else None
-    rows = dictionary.select("word", F.col(value) if value else F.lit(0.0)).limit(MAX_WORDS + 1).collect()
-    if len(rows) > MAX_WORDS:
-        raise ValueError(f"the dictionary has more than {MAX_WORDS} words; cut it by frequency")
-    return Words({w: float(c or 0.0) for w, c in rows if w})
-
-
 class Words(dict):
-    """A dictionary's costs, with the length of the longest word that begins or ends with two given characters."""
+    """A dictionary's costs, with the dearest of them and the length of the longest word, of all and of those that begin or end with two given characters."""
+
+    def __init__(self, costs: dict[str, float], dearest: float | None = None, longest: int | None = None):
+        super().__init__(costs)
+        self.dearest = max(self.values(), default=0.0) if dearest is None else dearest
+        self.longest = max(map(len, self), default=1) if longest is None else longest
 
     @cached_property
     def ahead(self) -> dict[str, int]:
@@ -113,7 +111,7 @@ def cheapest(text: str, costs: dict[str, float], max_len: int, oov: float) -> li
 
 def likeliest(text: str, costs: Words, max_len: int) -> list[str]:
     """The path of least cost over the dictionary's words, and single characters that are dearer than any of them."""
-    rare, reach = max(costs.values(), default=0.0) + 1.0, costs.ahead
+    rare, reach = costs.dearest + 1.0, costs.ahead
     best, size = [0.0] * (len(text) + 1), [1] * (len(text) + 1)
     for i in range(len(text) - 1, -1, -1):
         best[i], size[i] = best[i + 1] + costs.get(text[i], rare), 1
@@ -145,33 +143,67 @@ def graph(text: str, costs: Words, max_len: int, mode: str) -> list[str]:
     return out
 
 
-def _segmenter(text: Column, dictionary: DataFrame, stopwords: list[str], split: Callable[[str, Words, int], list[str]], max_len: int | None) -> Column:
-    words = _words(dictionary)
-    longest = max(map(len, words), default=1) if max_len is None else max_len
+def _costs(entries: DataFrame) -> dict[str, float]:
+    found = entries.toArrow()
+    return dict(zip(found["word"].to_pylist(), found["cost"].to_pylist(), strict=True))
+
+
+Split = Callable[[str, Words, int], list[str]]
+
+
+def segmented(docs: DataFrame, dictionary: DataFrame, split: Split, max_len: int | None = MAX_LEN, stopwords: list[str] = (), text: str = "text", out: str = "tokens", max_words: int = MAX_WORDS) -> DataFrame:
+    """``docs`` with ``out``, the words of ``text`` as ``split`` finds them; ``max_len`` None takes the dictionary's longest word. Null and empty texts have none."""
+    cost = F.coalesce(F.col("cost").cast("double"), F.lit(0.0)) if "cost" in dictionary.columns else F.lit(0.0)
+    entries = dictionary.filter("word != ''").select("word", cost.alias("cost"))
+    most, longest, number = entries.agg(F.max("cost"), F.max(F.char_length("word")), F.count("*")).first()
+    longest = longest or 1
+    reach = longest if max_len is None else max_len
+    docs = spread(docs).withColumn("__clean", normalize_for_segmentation(F.col(text)))
+    if number <= max_words:
+        shared = dictionary.sparkSession.sparkContext.broadcast(Words(_costs(entries), most, longest))
+
+        @F.pandas_udf("array<string>")
+        def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield texts.map(lambda t: split(t, shared.value, reach) if t else [])
+
+        return docs.withColumn(out, filter_tokens(segment("__clean"), list(stopwords))).drop("__clean")
+
+    @F.pandas_udf("array<string>")
+    def substrings(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: list({t[i : i + n] for i in range(len(t or "")) for n in range(1, reach + 1)}))
 
     @F.pandas_udf("array<string>")
-    def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: split(t, words, longest) if t else [])
+    def segment_by_own(texts: pd.Series, words: pd.Series) -> pd.Series:
+        own = [Words({w["word"]: w["cost"] for w in (found if found is not None else ())}, most, longest) for found in words]
+        return pd.Series([split(t, w, reach) if t else [] for t, w in zip(texts, own, strict=True)])
 
-    return filter_tokens(segment(normalize_for_segmentation(text)), stopwords)
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    parts = rows.select("__row", F.explode(substrings("__clean")).alias("word"))
+    own = parts.join(entries, "word").groupBy("__row").agg(F.collect_list(F.struct("word", "cost")).alias("__own"))  # no more than its text has substrings
+    return rows.join(own, "__row", "left").withColumn(out, filter_tokens(segment_by_own("__clean", "__own"), list(stopwords))).drop("__row", "__clean", "__own")
 
 
-def segment_fmm(text: Column, dictionary: DataFrame, max_len: int = MAX_LEN, stopwords: list[str] = ()) -> Column:
-    return _segmenter(text, dictionary, list(stopwords), forward, max_len)
+def segment_fmm(docs: DataFrame, dictionary: DataFrame, max_len: int = MAX_LEN, **options) -> DataFrame:
+    """Longest words from the left. Options of all segmenters: see ``segmented``."""
+    return segmented(docs, dictionary, forward, max_len, **options)
 
 
-def segment_bmm(text: Column, dictionary: DataFrame, max_len: int = MAX_LEN, stopwords: list[str] = ()) -> Column:
-    return _segmenter(text, dictionary, list(stopwords), backward, max_len)
+def segment_bmm(docs: DataFrame, dictionary: DataFrame, max_len: int = MAX_LEN, **options) -> DataFrame:
+    """Longest words from the right."""
+    return segmented(docs, dictionary, backward, max_len, **options)
 
 
-def segment_bimm(text: Column, dictionary: DataFrame, max_len: int = MAX_LEN, stopwords: list[str] = ()) -> Column:
-    return _segmenter(text, dictionary, list(stopwords), bidirectional, max_len)
+def segment_bimm(docs: DataFrame, dictionary: DataFrame, max_len: int = MAX_LEN, **options) -> DataFrame:
+    """The better of both directions."""
+    return segmented(docs, dictionary, bidirectional, max_len, **options)
 
 
-def segment_dp(text: Column, dictionary: DataFrame, oov: float = OOV, max_len: int | None = MAX_LEN, stopwords: list[str] = ()) -> Column:
-    return _segmenter(text, dictionary, list(stopwords), lambda t, costs, n: cheapest(t, costs, n, oov), max_len)
+def segment_dp(docs: DataFrame, dictionary: DataFrame, oov: float = OOV, max_len: int | None = MAX_LEN, **options) -> DataFrame:
+    """The split of least cost."""
+    return segmented(docs, dictionary, lambda t, costs, n: cheapest(t, costs, n, oov), max_len, **options)
 
 
-def segment_dag(text: Column, dictionary: DataFrame, mode: str = "accurate", stopwords: list[str] = ()) -> Column:
-    return _segmenter(text, dictionary, list(stopwords), lambda t, costs, n: graph(t, costs, n, mode), None)
+def segment_dag(docs: DataFrame, dictionary: DataFrame, mode: str = "accurate", **options) -> DataFrame:
+    """The most probable path, with ``mode`` as in ``graph``."""
+    return segmented(docs, dictionary, lambda t, costs, n: graph(t, costs, n, mode), None, **options)

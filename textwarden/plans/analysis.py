@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from textwarden.functions.text import pending
 from textwarden.operators.detect import harmful, sensitivity, sentiment, with_harm_regex
-from textwarden.operators.hits import explode_tokens, with_known
-from textwarden.runtime import materialise
-from textwarden.sources.dictionaries import words_in
+from textwarden.operators.hits import explode_tokens, known_once
+from textwarden.runtime import materialise, spread
 
 RESULTS = ["sensitivity_score", "sensitivity_flags", "sentiment_score", "sentiment_label", "harmful_score", "harmful_flags", "harmful_is_harmful", "sensitivity_details", "sentiment_details", "harmful_details"]
 
@@ -19,12 +18,13 @@ def analyze(pages: DataFrame, tokens: str, dictionaries: dict[str, DataFrame], s
 
     ``dictionaries``: ``sensitive``, ``lexicon``, ``negations``, ``intensifiers``, ``keywords``.
     One narrow pass over the texts leaves of each document its known tokens and the rules it meets,
-    a small table that is written once; the detectors read that, and the wide rows are joined at the end.
+    a small table that is written once; the detectors read that, and the wide rows are joined at the
+    end. Where the dictionaries are too large for a list of their words, all tokens are kept.
     """
     rows = pending(pages)
-    docs = rows.select(F.col("id").alias("doc_id"), F.col("clean_text").alias("text"), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("tokens"))
-    known = sorted(set().union(*(words_in(dictionaries[d], "word") for d in ("sensitive", "lexicon", "negations", "intensifiers", "keywords"))))
-    docs = materialise(with_known(with_harm_regex(docs), known).drop("text"), "known-tokens")
+    docs = spread(rows).select(F.col("id").alias("doc_id"), F.col("clean_text").alias("text"), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("tokens"))
+    docs = known_once(with_harm_regex(docs).drop("text"), *(dictionaries[d] for d in ("sensitive", "lexicon", "negations", "intensifiers", "keywords")))
+    docs = docs if "known" in docs.columns else materialise(docs, "all-tokens")
     one = sensitivity(docs, dictionaries["sensitive"]).select("doc_id", F.col("score").alias("sensitivity_score"), F.col("flags").alias("sensitivity_flags"), F.struct("matched", "is_sensitive").alias("sensitivity_details"))
     two = sentiment(docs, dictionaries["lexicon"], dictionaries["negations"], dictionaries["intensifiers"])
     two = two.select("doc_id", F.col("score").alias("sentiment_score"), F.col("label").alias("sentiment_label"), F.struct("confidence", "n_words", "n_positive", "n_negative", "hits", "method").alias("sentiment_details"))
@@ -66,12 +66,27 @@ def write_analysis(df: DataFrame, path: str) -> None:
 
 
 def discovered(urls: DataFrame) -> DataFrame:
-    """``site_key``, ``count`` and the sorted ``urls`` of each site."""
+    """``site_key``, ``count`` and the sorted ``urls`` of each site, one row a site: for tables whose sites have few enough URLs for a row."""
     return urls.groupBy("site_key").agg(F.count("*").alias("count"), F.sort_array(F.collect_list("url")).alias("urls"))
 
 
-def write_discovered(urls: DataFrame, path: str) -> None:
-    discovered(urls).write.mode("overwrite").json(path)
+def discovered_blocks(urls: DataFrame, block: int = 10_000) -> DataFrame:
+    """``site_key``, ``pos``, ``urls``: the sorted URLs of each site in rows of at most ``block``, ``pos`` that of a row's first.
+
+    The URLs are sorted over all tasks, which then count: no site is brought to one of them.
+    """
+    rows = materialise(urls.select("site_key", "url").repartitionByRange("site_key", "url").sortWithinPartitions("site_key", "url").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "sorted-urls")
+    parts = rows.groupBy("site_key", "part").agg(F.count("*").alias("n"), F.min("row").alias("least"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("site_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("site_key", "part", "least", before.alias("before"))  # a row for each site in each task
+    placed = rows.join(starts, ["site_key", "part"]).withColumn("pos", F.col("before") + F.col("row") - F.col("least"))
+    blocks = placed.groupBy("site_key", F.floor(F.col("pos") / block).alias("block")).agg(F.min("pos").alias("pos"), F.sort_array(F.collect_list("url")).alias("urls"))
+    return blocks.select("site_key", "pos", "urls")
+
+
+def write_discovered(urls: DataFrame, path: str, block: int = 10_000) -> None:
+    """JSON lines of ``discovered_blocks``; ``read_discovered_urls`` reads them."""
+    discovered_blocks(urls, block).write.mode("overwrite").json(path)
 
 
 def token_table(pages: DataFrame, columns: dict[str, str]) -> DataFrame:

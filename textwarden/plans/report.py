@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,24 +40,30 @@ def category_distribution(pages: DataFrame) -> DataFrame:
     return value_counts(pages, "category")
 
 
-def describe(pages: DataFrame, column: str) -> DataFrame:
-    """Count, mean, standard deviation (n - 1), least, quartiles by linear interpolation, most."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+def quantiles(column: str, at: list[float], accuracy: int | None) -> Column:
+    """Exact, by linear interpolation, from all distinct values; or, with an ``accuracy``, values of the column from sketches of a bounded size."""
+    points = F.array(*map(F.lit, at))
+    return F.percentile(column, points) if accuracy is None else F.percentile_approx(column, points, accuracy)
+
+
+def describe(pages: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
+    """Count, mean, standard deviation (n - 1), least, quartiles (see ``quantiles``), most."""
+    q = quantiles(column, [0.25, 0.5, 0.75], accuracy)
     folded = pages.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"))
     return folded.select("count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
-def text_length_stats(pages: DataFrame) -> DataFrame:
-    return describe(pages, "text_length")
+def text_length_stats(pages: DataFrame, accuracy: int | None = None) -> DataFrame:
+    return describe(pages, "text_length", accuracy)
 
 
-def sensitivity_score_distribution(pages: DataFrame) -> DataFrame:
-    return describe(pages, "sensitivity_score")
+def sensitivity_score_distribution(pages: DataFrame, accuracy: int | None = None) -> DataFrame:
+    return describe(pages, "sensitivity_score", accuracy)
 
 
-def text_length_by_source(pages: DataFrame) -> DataFrame:
+def text_length_by_source(pages: DataFrame, accuracy: int | None = None) -> DataFrame:
     found = pages.filter("source_site is not null").groupBy("source_site").agg(
-        F.avg("text_length").alias("mean"), F.percentile("text_length", F.lit(0.5)).alias("median"), F.stddev_samp("text_length").alias("std"), F.count("text_length").alias("n"),
+        F.avg("text_length").alias("mean"), quantiles("text_length", [0.5], accuracy)[0].alias("median"), F.stddev_samp("text_length").alias("std"), F.count("text_length").alias("n"),
     )
     return found.orderBy(F.desc("mean"), "source_site")
 

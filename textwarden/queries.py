@@ -21,7 +21,7 @@ from textwarden.functions.values import (
 )
 from textwarden.operators import detect, hits, links, segment, sites, vocab
 from textwarden.plans import analysis, report
-from textwarden.runtime import materialise, scratch
+from textwarden.runtime import materialise, scratch, spread
 from textwarden.sources import dictionaries, pages
 from textwarden.streaming import jobs
 
@@ -73,7 +73,7 @@ RAW = f"raw AS (SELECT page_id, url, html, {SITE} AS site_key FROM pages)"
 
 
 def token_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     return docs.select("doc_id", "text", T.filter_tokens(T.tokenize_words(F.col("text")), DEMO_STOPWORDS).alias("tokens"))
 
 
@@ -159,9 +159,8 @@ def q_s6_load_pages(spark, sf_dir):
 
 @query(f"WITH {RAW} SELECT site_key, row_number() OVER (PARTITION BY site_key ORDER BY url) - 1 AS pos, url FROM raw")
 def q_s7_read_discovered_urls(spark, sf_dir):
-    found = analysis.discovered(raw_pages(spark, sf_dir))
-    whole = found.agg(F.map_from_entries(F.collect_list(F.struct("site_key", F.struct("count", "urls")))).alias("sites"))
-    path = as_file(whole.select(F.to_json(F.struct("sites"))), "discovered")
+    path = scratch(spark, "discovered")
+    analysis.write_discovered(raw_pages(spark, sf_dir), path, block=1000)
     return pages.read_discovered_urls(spark, path, max_pages=2**31 - 1)
 
 
@@ -261,9 +260,15 @@ def q_l1_extract_fields(spark, sf_dir):
     return links.extract_fields(read(spark, sf_dir, "pages")).select("page_id", "title", "publish_time_text")
 
 
-@query()
+_PARTS = "array_to_string([x FOR x IN [trim(replace(replace(replace(replace(y, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(32) || chr(10) || chr(9)) FOR y IN string_split_regex({}, '<[^>]*>')] IF x != ''], ' ')"
+
+
+@query(f"""WITH b AS (SELECT page_id, html, {_PARTS.format("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} AS article,
+    {_PARTS.format("regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<!--.*?-->', '', 'g')")} AS body FROM pages)
+    SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>([^<]*)', 1), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')) AS title,
+    CASE WHEN length(article) > 100 THEN article ELSE body END AS body_text FROM b""")
 def q_l1_extract_body(spark, sf_dir):
-    return links.extract_fields(read(spark, sf_dir, "pages"), title="h1::text", body="article p").select("page_id", "title", "body_text")
+    return links.extract_fields(read(spark, sf_dir, "pages"), title="h1::text", body="article").select("page_id", "title", "body_text")
 
 
 def _xml(text):
@@ -386,40 +391,40 @@ def q_v1_build_unigrams(spark, sf_dir):
 
 
 def _fused(spark, sf_dir):
-    """Texts without spaces, and the corpus's 20,000 most frequent words as the dictionary (its stated bound)."""
+    """Texts without spaces, and all the corpus's words as the dictionary."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"\s+", "").alias("text"))
-    words = segment.most_frequent(segment.build_unigrams(hits.explode_tokens(token_docs(spark, sf_dir))), 20_000)
+    words = segment.build_unigrams(hits.explode_tokens(token_docs(spark, sf_dir)))
     return docs, materialise(words, "unigrams")
 
 
 def _segmented(spark, sf_dir, by):
     docs, words = _fused(spark, sf_dir)
-    return docs.select("doc_id", F.array_join(by(F.col("text"), words), " ").alias("tokens"))
+    return by(docs, words).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query()
 def q_v2_segment_fmm(spark, sf_dir):
-    return _segmented(spark, sf_dir, lambda t, d: segment.segment_fmm(t, d, 12))
+    return _segmented(spark, sf_dir, lambda df, d: segment.segment_fmm(df, d, 12))
 
 
 @query()
 def q_v3_segment_bmm(spark, sf_dir):
-    return _segmented(spark, sf_dir, lambda t, d: segment.segment_bmm(t, d, 12))
+    return _segmented(spark, sf_dir, lambda df, d: segment.segment_bmm(df, d, 12))
 
 
 @query()
 def q_v4_segment_bimm(spark, sf_dir):
-    return _segmented(spark, sf_dir, lambda t, d: segment.segment_bimm(t, d, 12))
+    return _segmented(spark, sf_dir, lambda df, d: segment.segment_bimm(df, d, 12))
 
 
 @query()
 def q_v5_segment_dp(spark, sf_dir):
-    return _segmented(spark, sf_dir, lambda t, d: segment.segment_dp(t, d, max_len=12))
+    return _segmented(spark, sf_dir, lambda df, d: segment.segment_dp(df, d, max_len=12))
 
 
 @query()
 def q_v6_segment_dag(spark, sf_dir):
-    return _segmented(spark, sf_dir, lambda t, d: segment.segment_dag(t, d, "search"))
+    return _segmented(spark, sf_dir, lambda df, d: segment.segment_dag(df, d, "search"))
 
 
 @query(f"WITH {WORDS} SELECT doc_id, array_to_string(words, ' ') AS words, len(words) AS n FROM w")
@@ -819,7 +824,7 @@ def q_k2_write_analysis(spark, sf_dir):
 @query(f"WITH {RAW} SELECT site_key, count(*) AS count, string_agg(url, ' ' ORDER BY url) AS urls FROM raw GROUP BY site_key")
 def q_k3_write_discovered(spark, sf_dir):
     path = scratch(spark, "found")
-    analysis.write_discovered(raw_pages(spark, sf_dir), path)
+    analysis.discovered(raw_pages(spark, sf_dir)).write.json(path)
     found = spark.read.schema("site_key string, count bigint, urls array<string>").json(path)
     return found.withColumn("urls", F.array_join("urls", " "))
 

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a dictionary up to which it is broadcast or shipped to workers.
+MAX_WORDS = 500_000
 
 
 def session(app: str = "textwarden", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,10 +32,12 @@ def session(app: str = "textwarden", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, in local mode, one of our own where it is unset."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or os.environ.get("TEXTWARDEN_SHARED_DIR")
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-textwarden-")
         os.environ["TEXTWARDEN_SHARED_DIR"] = path
         sc.setCheckpointDir(path)
@@ -48,3 +55,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = MAX_WORDS) -> DataFrame:
+    """``df`` to be broadcast if it is counted to have ``most`` rows or fewer; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` by rows over ``partitions`` tasks (default: the session's shuffle partitions), for work on texts that costs more than moving them, where a file is one partition. A table with as many partitions already stays as it is."""
+    wanted = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted else df.repartition(wanted)

@@ -56,6 +56,7 @@ def keyword_table(spark: SparkSession, spec: Mapping[str, tuple[str, list[str]]]
     return _last(each.withColumn("no", F.struct("no", "pos")), "word", "category", "weight")
 
 
-def words_in(df: DataFrame, column: Column | str) -> list[str]:
-    """A dictionary's words on the driver; dictionaries are a few thousand words."""
-    return sorted(r[0] for r in df.select(column).distinct().collect())
+def words_in(df: DataFrame, column: Column | str, most: int = 20_000) -> list[str] | None:
+    """A dictionary's words on the driver, or None if there are more than ``most``."""
+    rows = df.select(column).distinct().limit(most + 1).collect()
+    return sorted(r[0] for r in rows) if len(rows) <= most else None

@@ -17,8 +17,16 @@ def load_pages(pages: DataFrame | str, spark: SparkSession | None = None, limit:
 
 
 def read_discovered_urls(spark: SparkSession, path: str, site: str | None = None, max_pages: int = 20_000) -> DataFrame:
-    """``site_key``, ``pos``, ``url``: the first ``max_pages`` of each site, or of ``site`` alone if the file has it."""
-    sites = spark.read.schema(DISCOVERED).option("multiLine", True).json(path).select(F.explode("sites").alias("site_key", "found"))
-    if site is not None and not sites.filter(F.col("site_key") == site).isEmpty():
-        sites = sites.filter(F.col("site_key") == site)
-    return sites.select("site_key", F.posexplode(F.slice("found.urls", 1, max_pages)).alias("pos", "url"))
+    """``site_key``, ``pos``, ``url``: the first ``max_pages`` of each site, or of ``site`` alone if the file has it.
+
+    ``path``: one JSON document of all sites, or the JSON lines of ``write_discovered``, which
+    are read by many tasks.
+    """
+    lines = spark.read.schema("site_key string, pos bigint, urls array<string>").json(path)
+    if lines.filter("urls is not null").isEmpty():
+        whole = spark.read.schema(DISCOVERED).option("multiLine", True).json(path).select(F.explode("sites").alias("site_key", "found"))
+        lines = whole.select("site_key", F.lit(0).cast("long").alias("pos"), F.col("found.urls").alias("urls"))
+    if site is not None and not lines.filter(F.col("site_key") == site).isEmpty():
+        lines = lines.filter(F.col("site_key") == site)
+    urls = lines.select("site_key", F.col("pos").alias("first"), F.posexplode("urls").alias("at", "url"))
+    return urls.select("site_key", (F.col("first") + F.col("at")).alias("pos"), "url").filter(F.col("pos") < max_pages)
