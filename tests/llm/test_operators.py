@@ -464,6 +464,20 @@ def test_near_groups_of_chains_in_large_cells(spark):
     assert len(pairs) > 30 and grouped(spark, rows) == components_of(pairs)
 
 
+def test_near_groups_around_one_text(spark):
+    """Copies with two changes each are near to the text in the middle but not to one another: one round finds them all."""
+    rnd = random.Random(5)
+    base = [f"b{rnd.randrange(10**7)}" for _ in range(104)]
+    rows = [(7, " ".join(base))]
+    for i in range(120):
+        copy = list(base)
+        for at in rnd.sample(range(4, 100, 6), 2):
+            copy[at] = f"n{rnd.randrange(10**7)}"
+        rows.append((100 + i, " ".join(copy)))
+    assert len(similar_pairs(rows)) < 0.2 * 120 * 119 / 2
+    assert grouped(spark, rows) == {i: 7 for i, _ in rows}
+
+
 def test_near_groups_with_equal_fingerprints(spark):
     """A line that makes more than half of the shingles decides the fingerprint, but nothing is dropped for it."""
     rnd = random.Random(3)

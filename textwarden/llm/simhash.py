@@ -103,8 +103,8 @@ def grid_cells(fp: Column, radius: int) -> Column:
 
 def bit_links(prints: DataFrame, radius: int) -> DataFrame:
     """``node``, ``root`` over the distinct fingerprints ``fp``, linked at ``radius`` or fewer differing bits."""
-    members, sizes = cells.shared(prints.select(F.explode(grid_cells(F.col("fp"), radius)).alias("key"), F.col("fp").alias("id"), F.lit(True).alias("first")))
-    members = members.select("key", "size", "least", F.struct("id", "first").alias("m"))
+    members, sizes = cells.shared(prints.select(F.explode(grid_cells(F.col("fp"), radius)).alias("key"), F.col("fp").alias("id"), F.lit(True).alias("first"), F.lit(0).alias("at")))
+    members = members.select("key", "size", "least", F.struct("id", "first", "at").alias("m"))
 
     def alike(x: Column, y: Column) -> Column:
         return (distance(embed(x["id"]), embed(y["id"])) <= radius) & (distance(x["id"], y["id"]) <= radius)
@@ -248,9 +248,9 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     counts = order_counts(texts.select("text"), words)
     prints = texts.select("doc_id", sketches(F.col("text"), words, similarity, counts).alias("s")).select("doc_id", "s.*")
     prints = materialise(prints, "near-prints")
-    found = prints.select("narrow", F.col("doc_id").alias("id"), F.posexplode("keys").alias("at", "key")).select("key", "id", (F.col("at") < F.col("narrow")).alias("first"))
+    found = prints.select("narrow", F.col("doc_id").alias("id"), F.posexplode("keys").alias("at", "key")).select("key", "id", (F.col("at") < F.col("narrow")).alias("first"), "at")
     members, sizes = cells.shared(found)
-    members = members.join(prints.select(F.col("doc_id").alias("id"), "a", "b", "n"), "id").select("key", "size", "least", F.struct("id", "first", "a", "b", "n").alias("m"))
+    members = members.join(prints.select(F.col("doc_id").alias("id"), "a", "b", "n"), "id").select("key", "size", "least", F.struct("id", "first", "at", "a", "b", "n").alias("m"))
     roots = cells.linked(members, sizes, lambda x, y: likely(x, y, similarity), lambda pairs: verified(pairs, texts, similarity, words))
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
 
