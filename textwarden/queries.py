@@ -47,9 +47,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Inputs, and the same in SQL -------------------------------------------------------------------
 
 
-def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_table(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """Documents and labels as the page table. A page without a label is raw, one of low quality segmented, another analysed."""
-    df = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    documents = read(spark, sf_dir, "documents") if documents is None else documents
+    df = documents.join(read(spark, sf_dir, "labels"), "doc_id", "left")
     return df.select(
         F.col("doc_id").alias("id"), F.concat(F.lit("http://"), "source", F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"), F.lit("").alias("title"),
         F.col("text").alias("clean_text"), F.col("source").alias("source_site"), F.col("lang").alias("category"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("publish_time"),
@@ -488,7 +489,8 @@ def q_d3_sentiment(spark, sf_dir):
 @query("""SELECT doc_id, coalesce(round((raw - 0.5) * 2, 4), 0) AS score, CASE WHEN raw IS NULL THEN 'neutral' WHEN (raw - 0.5) * 2 > 0.15 THEN 'positive' WHEN (raw - 0.5) * 2 < -0.15 THEN 'negative' ELSE 'neutral' END AS label,
     coalesce(round(abs(raw - 0.5) * 2, 4), 0) AS confidence FROM (SELECT doc_id, CASE WHEN quality IS NOT NULL THEN least(1.0::DOUBLE, n_chars / 4096.0::DOUBLE) END AS raw FROM documents LEFT JOIN labels USING (doc_id))""")
 def q_d4_sentiment_fallback(spark, sf_dir):
-    df = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    documents = read(spark, sf_dir, "documents") if documents is None else documents
+    df = documents.join(read(spark, sf_dir, "labels"), "doc_id", "left")
     return detect.sentiment_fallback(df.select("doc_id", F.when(F.col("quality").isNotNull(), F.least(F.lit(1.0), F.col("n_chars") / 4096)).alias("raw")))
 
 
@@ -546,7 +548,7 @@ def q_d8_harmful(spark, sf_dir):
 
 
 def _analysed(spark, sf_dir):
-    rows = page_table(spark, sf_dir).withColumn("tokens", T.filter_tokens(T.tokenize_words(F.col("clean_text")), DEMO_STOPWORDS))
+    rows = page_table(spark, sf_dir, spread(read(spark, sf_dir, "documents"))).withColumn("tokens", T.filter_tokens(T.tokenize_words(F.col("clean_text")), DEMO_STOPWORDS))
     return analysis.analyze(rows, "tokens", demo(spark))
 
 

@@ -63,6 +63,9 @@ def small(df: DataFrame, most: int = MAX_WORDS) -> DataFrame:
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``df`` by rows over ``partitions`` tasks (default: the session's shuffle partitions), for work on texts that costs more than moving them, where a file is one partition. A table with as many partitions already stays as it is."""
+    """``df`` by rows over ``partitions`` tasks (default: the session's shuffle partitions), for work on texts that costs more than moving them, where a file is one partition. What is read in as many partitions already stays as it is, and what comes from an exchange."""
     wanted = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted else df.repartition(wanted)
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" or plan.execute().getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted)
