@@ -15,6 +15,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 39 by law ``rows``. Null text: 16 bytes, crc32 of the empty text. Every row has a place, repeated rows and null keys too; an empty table gives none."""
     sharded = sharding.shuffle_into_shards(documents(spark, sf_dir).select("doc_id", "text"), 40)
     return sharded.select(
         "doc_id",
@@ -34,17 +35,20 @@ def tokenizer_file(name: str) -> str:
 
 
 def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document as read back from the files. Null and empty texts are their end id alone; null keys come first; repeated keys each have their own ids."""
     docs = documents(spark, sf_dir)
     folder, manifest, bounds = id_files.write_ids(docs, tokenizer_file("word_bpe_49k.json"), end_id=1)
     return id_files.read_ids(docs.select("doc_id"), folder, manifest, bounds)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that a 200-byte string covers which starts elsewhere too. Null and shorter texts stay whole; repeated rows are copies of each other; null keys stay null."""
     cut = suffix_dedup.remove_repeats(documents(spark, sf_dir), width=200)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document by the automaton, and the text they decode to. Null and empty texts have no ids; rows with any key, repeated ones too, come back."""
     small_batches(spark)
     path = tokenizer_file("byte_bpe_50k.json")
     coded = documents(spark, sf_dir).select("doc_id", bpe_automaton.round_trip(F.col("text"), path).alias("coded"))
@@ -57,19 +61,23 @@ def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of each document and of its edited text, and their likeness. Null and empty texts have the empty fingerprint, 1 like one another; a null key comes first; ties go by text."""
     return fingerprint.compare_with_edits(documents(spark, sf_dir))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document. Null and wordless texts have fingerprint zero and link like others; null keys are linked but name no component."""
     found = simhash.two_bit_components(documents(spark, sf_dir), words=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays of each document's group of equal texts. Null counts as empty; ties go to the smallest key, null keys last."""
     return exact_dedup.exact_groups(documents(spark, sf_dir)).withColumnRenamed("text_digest", "text_sha256")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License matches of each whole document, by place; none for null and empty texts."""
     small_batches(spark)
     found = documents(spark, sf_dir).select("doc_id", license_scan.matches(F.col("text")).alias("matches"))
     return found.select("doc_id", F.size("matches").alias("n_matches"), "matches")
@@ -80,6 +88,7 @@ PACKING_WEIGHTS = (1.0, 1.0, 1.0)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each piece of each document. Null and empty texts are their end id alone; repeated rows and null keys each have a place."""
     cut = packing.pieces(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048)
     cut = materialise(cut, "pieces")
     # Every document has a token at least, so neither limit asks for more sequences; all three residuals weigh in the choice.
@@ -87,12 +96,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(key: Column) -> Column:
-    return F.crc32(key.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document by a model of those that are not held out; documents with a null key aren't. ``und`` with score 0 for texts without a letter, and for all where nothing is labelled."""
     docs = documents(spark, sf_dir)
-    model = lang_id.fit(docs.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
+    model = lang_id.fit(docs.filter(~held_out(F.col("doc_id"))))
     guessed = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), lang_id.predict(F.col("text"), model).alias("guess"))
     return guessed.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
 
