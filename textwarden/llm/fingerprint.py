@@ -27,9 +27,8 @@ _LAST = 2**31 - 1
 
 
 def beside(array: Column, by: int, f) -> Column:
-    """``f`` of each element and the one ``by`` places on."""
-    most = F.greatest(F.lit(0), F.size(array) - by)
-    return F.zip_with(F.slice(array, F.lit(1), most), F.slice(array, F.lit(1 + by), most), f)
+    """``f`` of each element and the one ``by`` places on (null beyond the end)."""
+    return F.zip_with(array, F.slice(array, F.lit(1 + by), F.greatest(F.lit(0), F.size(array) - by)), f)
 
 
 def with_minima(df: DataFrame, text: Column, out: str) -> DataFrame:
@@ -37,16 +36,16 @@ def with_minima(df: DataFrame, text: Column, out: str) -> DataFrame:
     size = F.char_length(text)
     df = df.withColumn(out, F.transform(F.split(text, ""), lambda c: F.xxhash64(c)))
     width = 1
-    while width < K:
+    while width < K:  # beyond the last run: null
         df = df.withColumn(out, beside(F.col(out), width, lambda x, y: F.shiftleft(x, width).bitwiseXOR(y)))  # noqa: B023
         width *= 2
-    grams = F.when(size >= K, F.col(out)).when(size > 0, F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))
+    grams = F.when(size >= K, F.slice(out, F.lit(1), size - (K - 1))).when(size > 0, F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn(out, F.transform(grams, lambda g, i: F.shiftrightunsigned(g, 1).bitwiseOR(F.lit(_LAST)).bitwiseXOR(i.cast("long"))))
     width = 1
-    while width < W:  # minima of 2, 4, 8, ... neighbours
-        df = df.withColumn(out, F.when(size < SHARED, F.col(out)).otherwise(beside(F.col(out), width, lambda a, b: F.least(a, b))))
+    while width < W:  # minima of 2, 4, 8, ... neighbours, of fewer beyond the last window
+        df = df.withColumn(out, beside(F.col(out), width, lambda a, b: F.least(a, b)))
         width *= 2
-    return df.withColumn(out, F.when((size < SHARED) & (size > 0), F.array(F.array_min(out))).otherwise(F.col(out)))
+    return df.withColumn(out, F.slice(out, F.lit(1), F.when(size == 0, 0).otherwise(F.greatest(F.lit(1), size - (SHARED - 1)))))
 
 
 def moved(selected: Column, by: Column) -> Column:
@@ -63,11 +62,9 @@ def as_string(selected: Column) -> Column:
     return F.array_join(F.transform(selected, lambda v: F.concat(F.lower(F.hex(F.shiftrightunsigned(v, 31))), F.lit("@"), (_LAST - v.bitwiseAND(F.lit(_LAST))).cast("string"))), " ")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets of hashes; 1 where both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    either = F.size(a) + F.size(b) - both
-    return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
+def likeness(a: Column, b: Column, both: Column) -> Column:
+    """Jaccard similarity of sets of ``a`` and ``b`` hashes, ``both`` of them common; 1 where both are empty."""
+    return F.when(a + b == 0, F.lit(1.0)).otherwise(both / (a + b - both))
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -80,7 +77,7 @@ def with_next(df: DataFrame, key: str, rows_per_bucket: int = 128) -> tuple[Data
     """``df`` dealt into ranges of ``key``, each with a copy of the row that follows its last.
 
     Gives the rows, the window in which ``lead`` finds a row's successor by ascending key (after
-    the last: the first; ties by the text), and the condition that tells rows from copies.
+    the last: the first; ties by the text's hash), and the condition that tells rows from copies.
     """
     bounds = range_bounds(df.select(F.col(f"`{key}`").cast("long").alias("key")), "key", rows_per_bucket)
     where = range_bucket(F.col(f"`{key}`").cast("long"), bounds)
@@ -91,7 +88,8 @@ def with_next(df: DataFrame, key: str, rows_per_bucket: int = 128) -> tuple[Data
     ends = F.when(head, F.lit(len(bounds))).when(starts, where - 1)
     spots = F.filter(F.array(F.struct(where.alias("bucket"), F.lit(False).alias("copy")), F.struct(ends.alias("bucket"), F.lit(True).alias("copy"))), lambda s: s["bucket"].isNotNull())
     dealt = df.withColumn("__spot", F.explode(spots)).withColumn("__bucket", F.col("__spot.bucket")).withColumn("__copy", F.col("__spot.copy")).drop("__spot")
-    window = Window.partitionBy("__bucket").orderBy("__copy", F.col(f"`{key}`").asc_nulls_first(), "text")
+    dealt = dealt.withColumn("__text", F.xxhash64("text"))
+    window = Window.partitionBy("__bucket").orderBy("__copy", F.col(f"`{key}`").asc_nulls_first(), "__text")
     return dealt, window, ~F.col("__copy")
 
 
@@ -109,23 +107,30 @@ def compare_with_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -
     half = F.floor(n / 2).cast("int")
     dealt = dealt.withColumn("next_text", F.lead("text").over(window))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(following, F.lit(1), half))
-    dealt = dealt.select("*", n.alias("n"), (n - half).alias("stays"), F.least(half, F.char_length(following)).alias("comes"), edited.alias("edited"))
-    dealt = with_minima(dealt, F.col("text"), "own")
+    stays, comes = n - half, F.least(half, F.char_length(following))
+    left, right = F.least(stays, F.lit(SHARED - 1)), F.least(comes, F.lit(SHARED - 1))
+    crossed = (left + right >= SHARED) | (stays + comes < SHARED)
+    dealt = dealt.select("doc_id", "text", "__bucket", "__copy", "__text", n.alias("n"), stays.alias("stays"), comes.alias("comes"), edited.alias("edited"), left.alias("left"), right.alias("right"), crossed.alias("crossed"))
+    # What is needed of the edited text is taken from it before there are arrays to carry it beside.
+    seam = F.when(F.col("crossed"), F.substring(F.col("edited"), F.col("stays") - F.col("left") + 1, F.col("left") + F.col("right"))).otherwise("")
+    dealt = dealt.withColumns({"edited_sha256": F.sha2(F.col("edited").cast("binary"), 256), "seam_text": seam}).drop("edited", "right", "crossed")
+    dealt = with_minima(dealt, F.col("seam_text"), "seam").withColumn("seam", F.array_distinct("seam")).drop("seam_text")
+    dealt = with_minima(dealt, F.col("text"), "own").drop("text")
     dealt = dealt.withColumn("after", F.coalesce(F.lead("own").over(window), F.array().cast("array<bigint>"))).filter(own)
     # The edited text's windows: those within what stays, those over the seam, those within what comes.
-    left, right = F.least("stays", F.lit(SHARED - 1)), F.least("comes", F.lit(SHARED - 1))
-    crossed = (left + right >= SHARED) | (F.col("stays") + F.col("comes") < SHARED)
-    seam = F.when(crossed, F.substring(F.col("edited"), F.col("stays") - left + 1, left + right)).otherwise("")
-    dealt = with_minima(dealt.withColumn("seam_text", seam), F.col("seam_text"), "seam")
     within = lambda minima, chars: F.array_distinct(F.slice(minima, F.lit(1), F.greatest(F.lit(0), F.col(chars) - (SHARED - 1))))
-    changed = F.concat(within("own", "stays"), moved(F.array_distinct("seam"), F.col("stays") - left), moved(within("after", "comes"), F.col("stays")))
-    dealt = dealt.select("*", F.array_distinct(changed).alias("changed"), F.array_distinct("own").alias("mine"), F.array_distinct("after").alias("theirs"))
-    return dealt.select(
+    changed = F.concat(within("own", "stays"), moved(F.col("seam"), F.col("stays") - F.col("left")), moved(within("after", "comes"), F.col("stays")))
+    dealt = dealt.select("doc_id", "n", "edited_sha256", F.array_distinct(changed).alias("changed"), F.array_distinct("own").alias("mine"), hashes(F.col("after")).alias("their_set"))
+    dealt = dealt.select("*", hashes(F.col("mine")).alias("own_set"), hashes(F.col("changed")).alias("changed_set"))
+    dealt = dealt.select(
         "doc_id",
         F.col("n").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "edited_sha256",
         as_string(F.col("mine")).alias("fingerprint"),
         as_string(F.col("changed")).alias("edited_fingerprint"),
-        likeness(hashes(F.col("mine")), hashes(F.col("changed"))).alias("near_edited"),
-        likeness(hashes(F.col("mine")), hashes(F.col("theirs"))).alias("near_next"),
+        *(F.size(f"{name}_set").alias(name) for name in ("own", "changed", "their")),
+        F.size(F.array_intersect("own_set", "changed_set")).alias("own_changed"),
+        F.size(F.array_intersect("own_set", "their_set")).alias("own_their"),
     )
+    near_edited, near_next = (likeness(F.col("own"), F.col(other), F.col(f"own_{other}")) for other in ("changed", "their"))
+    return dealt.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near_edited.alias("near_edited"), near_next.alias("near_next"))

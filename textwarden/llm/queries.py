@@ -61,7 +61,7 @@ def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint of each document and of its edited text, and their likeness. Null and empty texts have the empty fingerprint, 1 like one another; a null key comes first; ties go by text."""
+    """Fingerprint of each document and of its edited text, and their likeness. Null and empty texts have the empty fingerprint, 1 like one another; a null key comes first; ties go by the text's hash."""
     return fingerprint.compare_with_edits(documents(spark, sf_dir))
 
 
