@@ -151,7 +151,7 @@ def test_automaton_is_the_tokenizer():
     words = bpe_automaton.Encoder(bpe_automaton.automaton(path))
     library = token_ids.encoder(path)
     rnd = random.Random(3)
-    pools = ["abcdefgh '", "aaaa b", " \n\t\r  ab", "éàüñ ßÉ", "日本語🙂 ́‍", "0123 ½٣", "\x1c\x1f\x85\xa0  a", "!?.,'s'll're ", "theing andtion"]
+    pools = ["abcdefgh '", "aaaa b", " \n\t\r  ab", "éàüñ ßÉ", "日本語🙂 ́‍", "0123 ½٣", "é²ªºµ×÷¿¡ 1a\xa0", "\x1c\x1f\x85\xa0  a", "!?.,'s'll're ", "theing andtion"]
     texts = ["".join(rnd.choice(rnd.choice(pools)) for _ in range(rnd.randint(0, 40))) for _ in range(800)]
     want = [e.ids for e in tk.encode_batch(texts, add_special_tokens=False)]
     assert [token_ids.wide(b).tolist() for b in words(texts)] == want == [token_ids.wide(b).tolist() for b in library(texts)]

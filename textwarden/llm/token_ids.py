@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -28,14 +29,26 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|{L}+|{N}|[^{SPACE}{LN}]+"
 
 
 def cutter(pattern: str) -> Callable[[str], list[str]]:
-    """Cuts a text into the matches of ``pattern``; ASCII takes a shorter way to the same."""
+    """Cuts a text into the matches of ``pattern``; texts of ASCII or Latin-1 take a shorter way to the same."""
 
     def filled(letters: str, digits: str, space: str) -> str:
         values = {"{LN}": letters + digits, "{L}": f"[{letters}]", "{N}": f"[{digits}]", "{SPACE}": space}
         return re.sub("|".join(map(re.escape, values)), lambda m: values[m[0]], pattern)
 
-    ascii_, whole = re.compile(filled("a-zA-Z", "0-9", r"\t-\r ")).findall, regex.compile(filled(r"\p{L}", r"\p{N}", SPACE)).findall
-    return lambda text: ascii_(text) if text.isascii() else whole(text)
+    ascii_ = re.compile(filled("a-zA-Z", "0-9", r"\t-\r ")).findall
+    latin = re.compile(filled(r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0")).findall
+    whole = regex.compile(filled(r"\p{L}", r"\p{N}", SPACE)).findall
+
+    def cut(text: str) -> list[str]:
+        if text.isascii():
+            return ascii_(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return whole(text)
+        return latin(text)
+
+    return cut
 
 
 def byte_letters() -> dict[str, int]:
@@ -76,7 +89,8 @@ class LibraryEncoder:
 
     def word(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u2").tobytes()
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2").tobytes()
