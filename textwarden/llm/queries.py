@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import bpe_automaton, exact_dedup, fingerprint, id_files, lang_id, license_scan, packing, sharding, simhash, suffix_dedup
+from textwarden.llm import bpe_automaton, exact_dedup, fill_middle, fingerprint, id_files, lang_id, license_scan, packing, sharding, simhash, suffix_dedup
 from textwarden.llm.token_ids import small_batches
 from textwarden.runtime import materialise
 
@@ -107,7 +107,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guessed.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_external_shuffle, op2_id_files, op3_suffix_dedup, op4_bpe_automaton, op5_winnowing, op6_license_scan, op7_best_fit_packing, op8_simhash, op9_exact_dedup, op10_language_id)}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, lengths and digests of each document's fill-in-the-middle output and of the text restored from it. Null counts as empty; empty texts and those with a marker are plain, without lengths."""
+    made = fill_middle.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"), seed="1")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        "row.doc_id", "n", "form", "prefix_chars", "middle_chars",
+        digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_external_shuffle, op2_id_files, op3_suffix_dedup, op4_bpe_automaton, op5_winnowing, op6_license_scan, op7_best_fit_packing, op8_simhash, op9_exact_dedup, op10_language_id, op12_fill_in_middle)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
@@ -122,4 +132,20 @@ ORACLE_SQL = {
                sha256(content) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY content ORDER BY chars DESC, doc_id)
     """,
+    "op12_fill_in_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+        u AS (
+            SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units,
+                   [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN [0, 1, 2, 3]] AS draw FROM d),
+        n AS (
+            SELECT *, len(units) AS n, least(draw[1] % (len(units) + 1), draw[2] % (len(units) + 1)) AS a, greatest(draw[1] % (len(units) + 1), draw[2] % (len(units) + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR draw[3] % 100 >= 90 THEN 'plain' WHEN draw[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        c AS (
+            SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM n)
+        SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form != 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM c
+    """,
 }
