@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import bpe_automaton, exact_dedup, fill_middle, fingerprint, id_files, lang_id, license_scan, packing, sharding, simhash, suffix_dedup
+from textwarden.llm import bpe_automaton, exact_dedup, fill_middle, fingerprint, id_files, lang_id, license_scan, packing, sharding, simhash, suffix_dedup, whitening
 from textwarden.llm.token_ids import small_batches
 from textwarden.runtime import materialise
 
@@ -107,6 +107,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guessed.select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading components of the distinct vectors and each usable vector on them. Rows with a null or non-finite entry, or without a vector, have none; repeated rows each have their own."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=4, scale=256)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form, lengths and digests of each document's fill-in-the-middle output and of the text restored from it. Null counts as empty; empty texts and those with a marker are plain, without lengths."""
     made = fill_middle.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"), seed="1")
@@ -117,7 +122,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_external_shuffle, op2_id_files, op3_suffix_dedup, op4_bpe_automaton, op5_winnowing, op6_license_scan, op7_best_fit_packing, op8_simhash, op9_exact_dedup, op10_language_id, op12_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_external_shuffle, op2_id_files, op3_suffix_dedup, op4_bpe_automaton, op5_winnowing, op6_license_scan, op7_best_fit_packing, op8_simhash, op9_exact_dedup, op10_language_id, op11_whitening, op12_fill_in_middle)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
