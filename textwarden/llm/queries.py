@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import bpe_automaton, exact_dedup, fill_middle, fingerprint, id_files, lang_id, license_scan, packing, sharding, simhash, suffix_dedup, whitening
+from textwarden.llm import bpe_automaton, exact_dedup, fill_middle, fingerprint, id_files, lang_id, license_scan, packing, sharding, simhash, suffix_dedup, toxicity, whitening
 from textwarden.llm.token_ids import small_batches
 from textwarden.runtime import materialise
 
@@ -122,7 +122,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_external_shuffle, op2_id_files, op3_suffix_dedup, op4_bpe_automaton, op5_winnowing, op6_license_scan, op7_best_fit_packing, op8_simhash, op9_exact_dedup, op10_language_id, op11_whitening, op12_fill_in_middle)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and toxic spans of each document by a model of the labelled ones that are not held out; documents with a null key aren't. Null and empty texts get the score of a text without tokens; without labels of both kinds all scores are 0."""
+    docs, out = documents(spark, sf_dir), F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~out)
+    scored = docs.select("doc_id", out.alias("held_out"), toxicity.score(F.col("text"), toxicity.fit(docs, labels)).alias("found"))
+    return scored.select("doc_id", "held_out", "found.score", (F.col("found.score") >= 0.5).cast("int").alias("predicted"), "found.spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_external_shuffle, op2_id_files, op3_suffix_dedup, op4_bpe_automaton, op5_winnowing, op6_license_scan, op7_best_fit_packing, op8_simhash, op9_exact_dedup, op10_language_id, op11_whitening, op12_fill_in_middle, op13_toxicity)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
