@@ -170,7 +170,7 @@ def test_pages_round_trip(spark, tmp_path):
     path = str(tmp_path / "pages")
     analysis.write_pages(first, path)
     analysis.write_pages(spark.createDataFrame([("v", "z", None, "s"), ("w", "d", None, "t")], schema), path)
-    assert {(r.url, r.clean_text) for r in spark.read.parquet(path).collect()} == {("u", "a"), ("v", "c"), ("w", "d")}
+    assert {(r.url, r.clean_text) for r in analysis.page_store(spark, path).read().collect()} == {("u", "a"), ("v", "c"), ("w", "d")}
     urls = spark.createDataFrame([("s", "u2"), ("s", "u1"), ("t", "v")], "site_key string, url string")
     whole = analysis.discovered(urls).agg(F.map_from_entries(F.collect_list(F.struct("site_key", F.struct("count", "urls")))).alias("sites"))
     whole.select(F.to_json(F.struct("sites"))).write.text(str(tmp_path / "found"))

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textwarden.sources.keyed import KeyedTable
 
-def new_urls(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+
+def new_urls(candidates: DataFrame, pages: DataFrame | KeyedTable) -> DataFrame:
+    """Candidates whose URL isn't stored. Of a keyed table only the files that may hold one of them are read, and none of its rows moves."""
+    if isinstance(pages, KeyedTable):
+        return pages.without(candidates)
     return candidates.join(pages.select("url"), "url", "left_anti")
 
 
-def known_urls(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+def known_urls(candidates: DataFrame, pages: DataFrame | KeyedTable) -> DataFrame:
+    """Candidates whose URL is stored, as ``new_urls``."""
+    if isinstance(pages, KeyedTable):
+        return pages.having(candidates)
     return candidates.join(pages.select("url"), "url", "left_semi")
 
 

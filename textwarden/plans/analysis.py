@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarden.functions.text import pending
 from textwarden.operators.detect import harmful, sensitivity, sentiment, with_harm_regex
 from textwarden.operators.hits import explode_tokens, known_once
+from textwarden.operators.sites import new_urls
 from textwarden.runtime import materialise, spread
+from textwarden.sources.keyed import KeyedTable
 
 RESULTS = ["sensitivity_score", "sensitivity_flags", "sentiment_score", "sentiment_label", "harmful_score", "harmful_flags", "harmful_is_harmful", "sensitivity_details", "sentiment_details", "harmful_details"]
 
@@ -35,23 +37,26 @@ def analyze(pages: DataFrame, tokens: str, dictionaries: dict[str, DataFrame], s
     return rows.drop(*RESULTS, "processed", "analysis_seg_source").join(results, "id").withColumns({"processed": F.lit(2), "analysis_seg_source": F.lit(source)})
 
 
-def append_new_pages(batch: DataFrame, stored: DataFrame) -> DataFrame:
+def append_new_pages(batch: DataFrame, stored: DataFrame | KeyedTable) -> DataFrame:
     """The pages of ``batch`` to append: the first of each URL (by ``crawl_time``, then the text) that ``stored`` doesn't have."""
     order = Window.partitionBy("url").orderBy(F.col("crawl_time").asc_nulls_last(), "clean_text")
     first = batch.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
-    return first.join(stored.select("url"), "url", "left_anti")
+    return new_urls(first, stored)
 
 
-def write_pages(batch: DataFrame, path: str) -> None:
-    """Append new pages to the table at ``path``, in folders by site."""
-    spark = batch.sparkSession
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as e:  # the first batch
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        stored = batch.limit(0)
-    append_new_pages(batch, stored).write.mode("append").partitionBy("source_site").parquet(path)
+def page_store(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
+    """The stored pages at ``path``, one for each URL."""
+    return KeyedTable(spark, path, "url", buckets)
+
+
+def write_pages(batch: DataFrame, path: str, buckets: int = 64) -> None:
+    """Add to the pages at ``path`` those with a new URL; of several in the batch the first by ``crawl_time``, then by text."""
+    page_store(batch.sparkSession, path, buckets).insert(batch, [F.col("crawl_time").asc_nulls_last(), F.col("clean_text")])
+
+
+def analysis_store(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
+    """The analysed pages at ``path``, the latest results of each ``id``."""
+    return KeyedTable(spark, path, "id", buckets)
 
 
 def with_json(df: DataFrame) -> DataFrame:
@@ -60,9 +65,9 @@ def with_json(df: DataFrame) -> DataFrame:
     return df.withColumns(nested) if nested else df
 
 
-def write_analysis(df: DataFrame, path: str) -> None:
-    """Write analysed pages, nested columns as JSON; only the sites that ``df`` has are replaced."""
-    with_json(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_site").parquet(path)
+def write_analysis(df: DataFrame, path: str, buckets: int = 64) -> None:
+    """Put analysed pages, nested columns as JSON, in place of those with their ``id``; all other pages stay."""
+    analysis_store(df.sparkSession, path, buckets).merge(with_json(df))
 
 
 def discovered(urls: DataFrame) -> DataFrame:

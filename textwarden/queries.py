@@ -23,6 +23,7 @@ from textwarden.operators import detect, hits, links, segment, sites, vocab
 from textwarden.plans import analysis, report
 from textwarden.runtime import materialise, scratch, spread
 from textwarden.sources import dictionaries, pages
+from textwarden.sources.keyed import KeyedTable
 from textwarden.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,14 +338,21 @@ def _stored(spark, sf_dir):
     return read(spark, sf_dir, "pages").filter(F.length("html") > 6000)
 
 
+def _url_table(spark, sf_dir):
+    """The stored URLs as a keyed table."""
+    table_ = KeyedTable(spark, scratch(spark, "stored-urls"), "url", 8)
+    table_.insert(_stored(spark, sf_dir).select("url"))
+    return table_
+
+
 @query("SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE length(html) > 6000)")
 def q_j1_new_urls(spark, sf_dir):
-    return sites.new_urls(read(spark, sf_dir, "pages").select("page_id", "url"), _stored(spark, sf_dir)).select("page_id", "url")
+    return sites.new_urls(read(spark, sf_dir, "pages").select("page_id", "url"), _url_table(spark, sf_dir)).select("page_id", "url")
 
 
 @query("SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM pages WHERE length(html) > 6000)")
 def q_j2_known_urls(spark, sf_dir):
-    return sites.known_urls(read(spark, sf_dir, "pages").select("page_id", "url"), _stored(spark, sf_dir)).select("page_id", "url")
+    return sites.known_urls(read(spark, sf_dir, "pages").select("page_id", "url"), _url_table(spark, sf_dir)).select("page_id", "url")
 
 
 @query("""WITH s AS (SELECT page_id, url, CASE WHEN length(html) > 12000 THEN 'big' WHEN contains(url, 'example.com') THEN 'acom' WHEN contains(url, 'www.') THEN 'bwww' ELSE 'unknown' END AS source_site FROM pages)
@@ -810,16 +818,19 @@ def q_u4_all_pairs_similarity(spark, sf_dir):
 def q_k1_append_new_pages(spark, sf_dir):
     path = scratch(spark, "stored")
     batch = read(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("clean_text"), F.lit(None).cast("timestamp").alias("crawl_time"), F.lit("all").alias("source_site"))
-    batch.filter(F.length("clean_text") > 6000).write.partitionBy("source_site").parquet(path)
-    analysis.write_pages(batch, path)
-    return spark.read.parquet(path).select("page_id", "url")
+    analysis.write_pages(batch.filter(F.length("clean_text") > 6000), path, buckets=8)
+    analysis.write_pages(batch, path, buckets=8)
+    return analysis.page_store(spark, path).read().select("page_id", "url")
 
 
-@query(f"WITH {_ANALYSED} SELECT id, source_site, sensitivity_score, sentiment_label, harmful_score FROM analysed")
+@query(f"WITH {_ANALYSED} SELECT a.id, a.source_site, sensitivity_score, a.sentiment_label, harmful_score, CASE WHEN n_chars >= 1000 THEN 'maxmatch' ELSE 'jieba' END AS analysis_seg_source FROM (SELECT id, source_site, sensitivity_score, sentiment_label, harmful_score FROM analysed) a JOIN documents ON doc_id = id")
 def q_k2_write_analysis(spark, sf_dir):
+    """Two batches that overlap: the second has all the long pages, of which the first has the shorter ones too."""
     path = scratch(spark, "analysed")
-    analysis.write_analysis(_analysed(spark, sf_dir).drop("tokens"), path)
-    return spark.read.parquet(path).select("id", "source_site", "sensitivity_score", "sentiment_label", "harmful_score")
+    rows = materialise(_analysed(spark, sf_dir).drop("tokens"), "analysis")
+    analysis.write_analysis(rows.filter("text_length < 5000"), path, buckets=8)
+    analysis.write_analysis(rows.filter("text_length >= 1000").withColumn("analysis_seg_source", F.lit("maxmatch")), path, buckets=8)
+    return analysis.analysis_store(spark, path).read().select("id", "source_site", "sensitivity_score", "sentiment_label", "harmful_score", "analysis_seg_source")
 
 
 @query(f"WITH {RAW} SELECT site_key, count(*) AS count, string_agg(url, ' ' ORDER BY url) AS urls FROM raw GROUP BY site_key")
@@ -840,10 +851,16 @@ def _streamed(spark, sf_dir, name, columns):
 
 @query(f"WITH {_CLEAN} SELECT DISTINCT url, length(clean_text) AS text_length FROM clean WHERE length(clean_text) >= 50")
 def q_r1_streaming_ingest(spark, sf_dir):
-    raw = _streamed(spark, sf_dir, "pages", ["url", F.col("html").alias("raw_html"), F.lit("2024-01-01").cast("timestamp").alias("crawl_time")])
-    path = scratch(spark, "ingested")
-    jobs.run_available(jobs.ingest(raw), path, scratch(spark, "ingest-state"))
-    return spark.read.parquet(path).select("url", "text_length")
+    """All pages come twice, the second time long after the state has forgotten them, and with more text."""
+    path, state = scratch(spark, "ingested"), scratch(spark, "ingest-state")
+    source = scratch(spark, "stream-pages")
+    raw = read(spark, sf_dir, "pages").select("url", F.col("html").alias("raw_html"), F.lit("2024-01-01").cast("timestamp").alias("crawl_time"))
+    later = raw.withColumns({"raw_html": F.concat("raw_html", F.lit("<p>seen again</p>")), "crawl_time": F.lit("2024-03-01").cast("timestamp")})
+    for batch in (raw, later):
+        batch.write.mode("append").parquet(source)
+        stream = jobs.ingest(spark.readStream.schema(raw.schema).parquet(source))
+        jobs.run_into(stream, path, "url", state, "ingest", insert=True, buckets=8)
+    return KeyedTable(spark, path, "url").read().select("url", "text_length")
 
 
 @query(f"WITH {_ANALYSED} SELECT id, sensitivity_score, sentiment_score, sentiment_label, harmful_score, harmful_is_harmful FROM analysed")
@@ -853,8 +870,9 @@ def q_r2_incremental_analysis(spark, sf_dir):
     rows.write.parquet(source)
     path = scratch(spark, "incremental")
     stream = spark.readStream.schema(rows.schema).parquet(source)
-    jobs.run_available(stream, path, scratch(spark, "analysis-state"), lambda df: _flat(analysis.analyze(df, "tokens", demo(df.sparkSession))))
-    return spark.read.option("basePath", path).parquet(path).select("id", "sensitivity_score", "sentiment_score", "sentiment_label", "harmful_score", "harmful_is_harmful")
+    each = lambda df: analysis.with_json(_flat(analysis.analyze(df, "tokens", demo(df.sparkSession))))
+    jobs.run_into(stream, path, "id", scratch(spark, "analysis-state"), "analysis", each, buckets=8)
+    return analysis.analysis_store(spark, path).read().select("id", "sensitivity_score", "sentiment_score", "sentiment_label", "harmful_score", "harmful_is_harmful")
 
 
 @query("""WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events), d AS (SELECT date_trunc('day', ts) AS s, count(*) AS n FROM events GROUP BY 1)
