@@ -164,6 +164,19 @@ def test_fields_and_feeds(spark):
     assert [r[0] for r in df.select(links.feed_links(F.col("x"))).collect()] == [["http://a/1"], ["http://a/2", "http://a/3"], [], []]
 
 
+def test_nested_sitemaps(spark):
+    index = lambda *maps: "<sitemapindex>" + "".join(f"<sitemap><loc> {m} </loc></sitemap>" for m in maps) + "</sitemapindex>"
+    urls = lambda *found: "<urlset>" + "".join(f"<url><loc>{u}</loc></url>" for u in found) + "</urlset>"
+    rows = [("a", "m1", index("m2", "gone", "m3")), ("b", "m2", index("m3", "m1")), ("c", "m3", index("m4")), ("d", "m4", urls("u1", "u2", "u1")), ("d", "m5", urls("u0", "u2")), ("e", "m6", "<broken"), ("f", "m7", None), ("g", "m8", index("m8"))]
+    df = spark.createDataFrame(rows, "site_key string, url string, xml string")
+    found = {}
+    for r in links.sitemap_links(df).collect():
+        found.setdefault(r.site_key, {})[r.pos] = r.url
+    assert found["a"] == {0: "u1", 1: "u2"}
+    assert {k: sorted(v.values()) for k, v in found.items()} == {"a": ["u1", "u2"], "b": ["u1", "u2"], "c": ["u1", "u2"], "d": ["u0", "u1", "u2"]}
+    assert sorted(r.pos for r in links.sitemap_links(df, limit=1).collect()) == [0, 0, 0, 0]
+
+
 def test_pages_round_trip(spark, tmp_path):
     schema = "url string, clean_text string, crawl_time timestamp, source_site string"
     first = spark.createDataFrame([("u", "b", None, "s"), ("u", "a", None, "s"), ("v", "c", None, "s")], schema)

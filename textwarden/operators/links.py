@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textwarden.runtime import small
+from textwarden.runtime import materialise, small
 
 PRIORITY = {"rss": 0, "sitemap": 1, "archive": 2, "home": 3}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -137,20 +137,40 @@ def feed_links(xml: Column) -> Column:
     return F.pandas_udf(parse, "array<string>")(xml)
 
 
+def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``site``, ``node``, ``depth``, ``nth`` of all nodes that a site's ``starts`` (``site``, ``node``) lead to over ``edges`` (``parent``, ``nth``, ``child``), each at its least depth.
+
+    Only what a round has newly found goes on to the next (semi-naive), and what has been found
+    stays out, so that cycles end; there are as many rounds as the deepest nesting.
+    """
+    newest = materialise(starts.select("site", "node", F.lit(0).alias("depth"), F.lit(0).alias("nth")).dropDuplicates(["site", "node"]), "reached")
+    found = newest
+    while True:
+        below = newest.join(edges, F.col("node") == F.col("parent")).groupBy("site", F.col("child").alias("node")).agg(F.min("depth").alias("above"), F.min(edges["nth"]).alias("nth"))
+        fresh = below.select("site", "node", (F.col("above") + 1).alias("depth"), "nth").join(found.select("site", "node"), ["site", "node"], "left_anti")
+        newest = materialise(fresh, "reached")
+        if newest.isEmpty():
+            return found
+        found = found.union(newest)
+
+
 def sitemap_links(documents: DataFrame, limit: int | None = None) -> DataFrame:
-    """``site_key``, ``pos``, ``url`` of sitemaps (``site_key``, ``url``, ``xml``): their own and, for an index, those of the listed sitemaps among ``documents``, which count as the index's site."""
+    """``site_key``, ``pos``, ``url`` of sitemaps (``site_key``, ``url``, ``xml``): their own and, for an index, those of all sitemaps among ``documents`` that it lists, itself or through other indexes, which count as the index's site. Nearer sitemaps come first."""
 
     @F.pandas_udf("urls array<string>, maps array<string>")
     def parse(xmls: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(xmls.map(_sitemap).tolist(), columns=["urls", "maps"])
 
-    parsed = documents.select("site_key", "url", parse("xml").alias("p")).select("site_key", "url", "p.urls", "p.maps")
-    own = parsed.select("site_key", F.lit(-1).alias("nth"), F.posexplode("urls").alias("at", "link"))
-    listed = parsed.select(F.col("site_key").alias("site"), F.posexplode("maps").alias("nth", "child"))
-    below = listed.join(parsed, F.col("child") == parsed["url"]).select(F.col("site").alias("site_key"), "nth", F.posexplode("urls").alias("at", "link"))
-    order = Window.partitionBy("site_key").orderBy("nth", "at", "link")
-    found = own.union(below).dropDuplicates(["site_key", "link"]).withColumn("pos", F.row_number().over(order) - 1)
-    return found.filter(F.col("pos") < limit if limit is not None else F.lit(True)).select("site_key", "pos", F.col("link").alias("url"))
+    parsed = materialise(documents.select(F.col("site_key").alias("site"), F.col("url").alias("map"), parse("xml").alias("p")).select("site", "map", "p.urls", "p.maps"), "sitemaps")
+    known = parsed.select(F.col("map").alias("child")).distinct()
+    listed = parsed.select(F.col("map").alias("parent"), F.posexplode("maps").alias("nth", "child"))
+    edges = materialise(listed.groupBy("parent", "child").agg(F.min("nth").alias("nth")).join(known, "child", "left_semi"), "sitemap-links")
+    reached = reachable(parsed.select("site", F.col("map").alias("node")), edges)
+    links = parsed.select("map", F.posexplode("urls").alias("at", "link"))
+    found = reached.join(links, F.col("node") == F.col("map")).groupBy("site", "link").agg(F.min(F.struct("depth", "nth", "node", "at")).alias("place"))
+    order = Window.partitionBy("site").orderBy("place", "link")
+    placed = found.withColumn("pos", F.row_number().over(order) - 1)
+    return placed.filter(F.col("pos") < limit if limit is not None else F.lit(True)).select(F.col("site").alias("site_key"), "pos", F.col("link").alias("url"))
 
 
 def _resolve(base: pd.Series, href: pd.Series) -> pd.Series:

@@ -287,14 +287,22 @@ def q_l2_feed_links(spark, sf_dir):
     return docs.select("page_id", F.array_join(links.feed_links(F.col("xml")), " ").alias("links"))
 
 
-@query(f"WITH {RAW} SELECT DISTINCT site_key, url FROM raw")
+@query(f"""WITH RECURSIVE {RAW}, leaf AS (SELECT url, 'http://maps.example/leaf/' || page_id AS map, 'http://maps.example/mid/' || site_key || '/' || length(html) // 4000 AS mid, 'http://maps.example/root/' || site_key AS root, site_key FROM raw),
+    edges AS (SELECT root AS parent, mid AS child FROM leaf UNION SELECT mid, map FROM leaf UNION SELECT mid, root FROM leaf),
+    docs AS (SELECT site_key, root AS map FROM leaf UNION SELECT 'mid', mid FROM leaf UNION SELECT 'leaf', map FROM leaf),
+    reach AS (SELECT site_key, map FROM docs UNION SELECT reach.site_key, child FROM reach JOIN edges ON map = parent)
+    SELECT DISTINCT reach.site_key, url FROM reach JOIN leaf ON reach.map = leaf.map""")
 def q_l3_sitemap_links(spark, sf_dir):
-    raw = raw_pages(spark, sf_dir).withColumn("map", F.concat(F.lit("http://maps.example/"), "site_key", F.lit("/"), F.col("page_id").cast("string")))
-    leaf = raw.select("site_key", F.col("map").alias("url"), F.concat(F.lit("<urlset><url><loc>"), _xml(F.col("url")), F.lit("</loc></url></urlset>")).alias("xml"))
-    listed = F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "map", F.lit("</loc></sitemap>"))), "")
-    index = raw.groupBy("site_key").agg(F.concat(F.lit("<sitemapindex>"), listed, F.lit("</sitemapindex>")).alias("xml"))
-    index = index.select("site_key", F.concat(F.lit("http://maps.example/"), "site_key").alias("url"), "xml")
-    return links.sitemap_links(leaf.unionByName(index)).select("site_key", "url")
+    """Three levels: a root index of each site, indexes by length below, a sitemap for each page; the middle ones list their root too, which makes cycles."""
+    at = lambda *parts: F.concat(F.lit("http://maps.example/"), *(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    length = F.floor(F.length("html") / 4000).cast("string")
+    raw = raw_pages(spark, sf_dir).select("url", "site_key", at("leaf/", F.col("page_id").cast("string")).alias("map"), at("mid/", F.col("site_key"), "/", length).alias("mid"), at("root/", F.col("site_key")).alias("root"))
+    leaf = raw.select(F.lit("leaf").alias("site_key"), F.col("map").alias("url"), F.concat(F.lit("<urlset><url><loc>"), _xml(F.col("url")), F.lit("</loc></url></urlset>")).alias("xml"))
+    entry = lambda c: F.concat(F.lit("<sitemap><loc>"), c, F.lit("</loc></sitemap>"))
+    index = lambda lists: F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_set(lists), ""), F.lit("</sitemapindex>")).alias("xml")
+    mid = raw.groupBy(F.lit("mid").alias("site_key"), F.col("mid").alias("url")).agg(index(F.concat(entry(F.col("map")), entry(F.col("root")))))
+    root = raw.groupBy("site_key", F.col("root").alias("url")).agg(index(entry(F.col("mid"))))
+    return links.sitemap_links(leaf.unionByName(mid).unionByName(root)).select("site_key", "url")
 
 
 _ANCHORS = rf"{RAW}, a AS (SELECT site_key, regexp_extract(url, 'https?://[^/]+', 0) AS host, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*[\"'']([^\"'']*)[\"'']', 1)) AS href FROM raw), l AS (SELECT site_key, host || regexp_replace(href, '#.*$', '') AS url FROM a)"
