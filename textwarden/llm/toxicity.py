@@ -325,30 +325,37 @@ class Scorer:
     """Scores texts with one model; keeps the scores of the words it meets."""
 
     def __init__(self, model: Model):
-        self.weights, self.curve, self.model = model.weights, model.curve, model
+        self.weights, self.curve = model.weights, model.curve
+        self.forget()
+
+    def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.scores: list[tuple[float, float, float]] = []
+        self.fresh: list[str] = []  # words that have a number but no scores yet
+        self.scores = np.zeros((3, 0))
 
     def words(self, text: str) -> np.ndarray:
-        number, out = self.number, []
+        number, fresh, known, out = self.number, self.fresh, self.scores.shape[1], []
         for w in _words(text):
             at = number.get(w)
-            out.append(self.add(w) if at is None else at)
+            if at is None:
+                at = known + len(fresh)
+                fresh.append(w.lower())
+                if len(w) <= WORD_CHARS:
+                    number[w] = at
+            out.append(at)
         return np.array(out, "i8")
 
-    def add(self, word: str) -> int:
-        low = word.lower()
-        own, before, after = self.weights.of(np.array([own_features(low)]), np.array([beside_features(low)]))
-        self.scores.append((own[0], before[0], after[0]))
-        if len(word) <= WORD_CHARS:
-            self.number[word] = len(self.scores) - 1
-        return len(self.scores) - 1
+    def score_fresh(self) -> None:
+        if self.fresh:
+            more = self.weights.of(np.array(list(map(own_features, self.fresh))), np.array(list(map(beside_features, self.fresh))))
+            self.scores = np.concatenate([self.scores, more], axis=1)
+            self.fresh = []
 
     def __call__(self, texts: list[str]) -> list[tuple[float, list[tuple[int, int]]]]:
         """Score and spans of each text; spans are code points, ``end`` not included."""
         out, part, size = [], [], 0
-        if len(self.scores) > WORDS:
-            self.number, self.scores = {}, []
+        if self.scores.shape[1] > WORDS:
+            self.forget()
         for text in texts:
             part.append((text, self.words(text)))
             size += len(part[-1][1])
@@ -362,7 +369,8 @@ class Scorer:
         p = np.zeros(0)
         if sum(sizes):
             words, first = np.concatenate([w for _, w in part]), starts([n for n in sizes if n])
-            own, before, after = np.array(self.scores).T
+            self.score_fresh()
+            own, before, after = self.scores
             forward, backward, _ = chain(token_odds(words, first, own, before, after), first, self.weights.steps)
             p = marginals(forward, backward)
         each = np.split(p, np.cumsum(sizes)[:-1])
