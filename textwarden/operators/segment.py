@@ -1,24 +1,29 @@
 """Dictionary segmentation of text into words.
 
-Dictionaries are tables of ``word`` and ``freq`` or ``cost``. One of up to ``MAX_WORDS`` words is
-broadcast to the Python workers; of a larger one each text gets the words that stand in it, found
-by a join of its substrings with the dictionary. Both give the same words.
+Dictionaries are tables of ``word`` and ``freq`` or ``cost``. One of up to ``TRIE_WORDS`` words is
+sent to the Python workers as a trie in flat arrays, which all places of many texts walk together;
+of a larger one each text gets the words that stand in it, found by a join of its substrings with
+the dictionary. Both give the same words.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.functions.text import filter_tokens, normalize_for_segmentation
-from textwarden.runtime import MAX_WORDS, materialise, spread
+from textwarden.operators.trie import Texts, Trie, least_costs
+from textwarden.runtime import materialise, spread
 
 MAX_LEN, OOV = 5, 15.0
+#: Words up to which a dictionary is a trie in each worker (some 100 bytes a word), characters that are looked at together, and costs that are kept at once for them.
+TRIE_WORDS, TOGETHER, COSTS = 5_000_000, 1_000_000, 12_000_000
 
 
 def build_unigrams(tokens: DataFrame, token: str = "token") -> DataFrame:
@@ -44,7 +49,7 @@ def add_words(dictionary: DataFrame, words: list[str]) -> DataFrame:
 
 
 class Words(dict):
-    """A dictionary's costs, with the dearest of them and the length of the longest word, of all and of those that begin or end with two given characters."""
+    """A dictionary's words with their costs; the dearest of them and the length of the longest word, which may be those of a larger dictionary."""
 
     def __init__(self, costs: dict[str, float], dearest: float | None = None, longest: int | None = None):
         super().__init__(costs)
@@ -52,120 +57,181 @@ class Words(dict):
         self.longest = max(map(len, self), default=1) if longest is None else longest
 
     @cached_property
-    def ahead(self) -> dict[str, int]:
-        return self._longest(lambda w: w[:2])
+    def trie(self) -> Trie:
+        return Trie.of(list(self), list(self.values()))
+
+
+class Dictionary:
+    """A trie with what ``Words`` knows, as it is sent to workers."""
+
+    def __init__(self, trie: Trie, dearest: float, longest: int):
+        self.trie, self.dearest, self.longest = trie, dearest, longest
+
+
+def _greedy(texts: list[str], words: Words | Dictionary, reach: int) -> list[tuple[list[str], list[str]]]:
+    """The words of each text from the left and from the right; one walk of the trie finds the longest word that begins, and that ends, at each place."""
+    all_ = Texts(texts)
+    ahead, behind = np.ones(len(all_.codes), "i4"), np.ones(len(all_.codes), "i4")
+    for n, at, _ in words.trie.matches(all_.codes, reach):
+        ahead[at] = behind[at + n] = n
+    ahead, behind, out = ahead.tolist(), behind.tolist(), []
+    for t, s in all_:
+        left, right, i = [], [], 0
+        while i < len(t):
+            n = ahead[s + i]
+            left.append(t[i : i + n])
+            i += n
+        while i > 0:
+            n = behind[s + i]
+            right.append(t[i - n : i])
+            i -= n
+        out.append((left, right[::-1]))
+    return out
 
-    @cached_property
-    def behind(self) -> dict[str, int]:
-        return self._longest(lambda w: w[-2:])
 
-    def _longest(self, part) -> dict[str, int]:
-        found: dict[str, int] = {}
-        for w in self:
-            found[part(w)] = max(len(w), found.get(part(w), 0))
-        return found
+def all_forward(texts: list[str], words: Words | Dictionary, reach: int) -> list[list[str]]:
+    return [f for f, _ in _greedy(texts, words, reach)]
 
 
-def forward(text: str, words: Words, max_len: int) -> list[str]:
-    out, i, reach = [], 0, words.ahead
-    while i < len(text):
-        most = min(max_len, len(text) - i, reach.get(text[i : i + 2], 1))
-        n = next((n for n in range(most, 1, -1) if text[i : i + n] in words), 1)
-        out.append(text[i : i + n])
-        i += n
-    return out
-
-
-def backward(text: str, words: Words, max_len: int) -> list[str]:
-    out, i, reach = [], len(text), words.behind
-    while i > 0:
-        most = min(max_len, i, reach.get(text[max(0, i - 2) : i], 1))
-        n = next((n for n in range(most, 1, -1) if text[i - n : i] in words), 1)
-        out.append(text[i - n : i])
-        i -= n
-    return out[::-1]
+def all_backward(texts: list[str], words: Words | Dictionary, reach: int) -> list[list[str]]:
+    return [b for _, b in _greedy(texts, words, reach)]
 
 
-def bidirectional(text: str, words: Words, max_len: int) -> list[str]:
+def all_bidirectional(texts: list[str], words: Words | Dictionary, reach: int) -> list[list[str]]:
     """Of both directions the one with fewer words, then with fewer single characters, then the backward one."""
-    f, b = forward(text, words, max_len), backward(text, words, max_len)
     rank = lambda s: (len(s), sum(len(w) == 1 for w in s))
-    return f if rank(f) < rank(b) else b
+    return [f if rank(f) < rank(b) else b for f, b in _greedy(texts, words, reach)]
 
 
-def cheapest(text: str, costs: dict[str, float], max_len: int, oov: float) -> list[str]:
+def all_cheapest(texts: list[str], words: Words | Dictionary, reach: int, oov: float = OOV) -> list[list[str]]:
     """The split of least cost; an unknown piece costs ``oov`` for each character. Ties keep the shorter last word."""
-    best, size = [0.0] + [math.inf] * len(text), [0] * (len(text) + 1)
-    for i in range(1, len(text) + 1):
-        for n in range(1, min(max_len, i) + 1):
-            piece = text[i - n : i]
-            cost = best[i - n] + costs.get(piece, oov * n)
-            if cost < best[i]:
-                best[i], size[i] = cost, n
-    out, i = [], len(text)
-    while i:
-        out.append(text[i - size[i] : i])
-        i -= size[i]
-    return out[::-1]
-
-
-def likeliest(text: str, costs: Words, max_len: int) -> list[str]:
-    """The path of least cost over the dictionary's words, and single characters that are dearer than any of them."""
-    rare, reach = costs.dearest + 1.0, costs.ahead
-    best, size = [0.0] * (len(text) + 1), [1] * (len(text) + 1)
-    for i in range(len(text) - 1, -1, -1):
-        best[i], size[i] = best[i + 1] + costs.get(text[i], rare), 1
-        for n in range(2, min(max_len, len(text) - i, reach.get(text[i : i + 2], 1)) + 1):
-            cost = costs.get(text[i : i + n])
-            if cost is not None and best[i + n] + cost < best[i]:
-                best[i], size[i] = best[i + n] + cost, n
-    out, i = [], 0
-    while i < len(text):
-        out.append(text[i : i + size[i]])
-        i += size[i]
+    all_ = Texts(texts)
+    costs = np.tile(oov * np.arange(1, reach + 1), (len(all_.codes), 1))
+    for n, at, cost in words.trie.matches(all_.codes, reach):
+        costs[at + n, n - 1] = cost
+    pick, out = least_costs(all_.first, all_.sizes, costs, 1).tolist(), []
+    for t, s in all_:
+        found, i = [], len(t)
+        while i > 0:
+            n = pick[s + i]
+            found.append(t[i - n : i])
+            i -= n
+        out.append(found[::-1])
     return out
 
 
-def graph(text: str, costs: Words, max_len: int, mode: str) -> list[str]:
-    """``accurate``: the most probable path over the dictionary's words (single characters where there is none); ``full``: every word found; ``search``: the accurate words, each after the shorter words in it."""
+def all_graph(texts: list[str], words: Words | Dictionary, reach: int, mode: str = "accurate") -> list[list[str]]:
+    """``accurate``: the most probable path over the dictionary's words, single characters, known or dearer than any word, where there is none; ``full``: every word found; ``search``: the accurate words, each after the shorter words in it."""
+    all_ = Texts(texts)
+    met = list(words.trie.matches(all_.codes, reach))
     if mode == "full":
-        found = [(i, n) for i in range(len(text)) for n in range(1, min(max_len, len(text) - i) + 1) if text[i : i + n] in costs]
-        inside = {k for i, n in found for k in range(i, i + n)}
-        found += [(i, 1) for i in range(len(text)) if i not in inside]
-        return [text[i : i + n] for i, n in sorted(found)]
-    words = likeliest(text, costs, max_len)
-    if mode != "search":
-        return words
-    out = []
-    for w in words:
-        out += [w[i : i + n] for n in (2, 3) if len(w) > n for i in range(len(w) - n + 1) if w[i : i + n] in costs]
-        out.append(w)
+        return _every_word(all_, met)
+    reach = max([1, *(n for n, at, _ in met if len(at))])
+    costs = np.full((len(all_.codes), reach), np.inf)
+    costs[:, 0] = words.dearest + 1.0
+    inside = {n: np.zeros(len(all_.codes), bool) for n in (2, 3)}
+    for n, at, cost in met:
+        if n <= reach:
+            costs[at, n - 1] = cost
+        if n in inside:
+            inside[n][at] = True
+    pick, out = least_costs(all_.first, all_.sizes, costs, -1).tolist(), []
+    parts = [(n, known.tolist()) for n, known in inside.items()] if mode == "search" else []
+    for t, s in all_:
+        found, i = [], 0
+        while i < len(t):
+            size = pick[s + i]
+            for n, known in parts:
+                if size > n:
+                    found += [t[j : j + n] for j in range(i, i + size - n + 1) if known[s + j]]
+            found.append(t[i : i + size])
+            i += size
+        out.append(found)
     return out
 
 
-def _costs(entries: DataFrame) -> dict[str, float]:
-    found = entries.toArrow()
-    return dict(zip(found["word"].to_pylist(), found["cost"].to_pylist(), strict=True))
+def _every_word(all_: Texts, met: list[tuple[int, np.ndarray, np.ndarray]]) -> list[list[str]]:
+    """Every word by its place and length, and the characters that no word covers."""
+    edge = np.zeros(len(all_.codes) + 1, "i8")
+    for n, at, _ in met:
+        edge += np.bincount(at, minlength=len(edge)) - np.bincount(at + n, minlength=len(edge))
+    bare = np.cumsum(edge)[:-1] == 0
+    bare[all_.first + all_.sizes] = False
+    alone = np.flatnonzero(bare)
+    at = np.concatenate([alone, *(a for _, a, _ in met)])
+    n = np.concatenate([np.ones(len(alone), "i8"), *(np.full(len(a), k) for k, a, _ in met)])
+    order = np.lexsort((n, at))
+    at, n = at[order], n[order]
+    cut = np.searchsorted(at, all_.first).tolist() + [len(at)]
+    at, n = at.tolist(), n.tolist()
+    return [[t[at[i] - s : at[i] - s + n[i]] for i in range(a, b)] for (t, s), a, b in zip(all_, cut, cut[1:], strict=False)]
+
+
+def forward(text: str, words: Words, max_len: int) -> list[str]:
+    return all_forward([text], words, max_len)[0]
+
+
+def backward(text: str, words: Words, max_len: int) -> list[str]:
+    return all_backward([text], words, max_len)[0]
+
+
+def bidirectional(text: str, words: Words, max_len: int) -> list[str]:
+    return all_bidirectional([text], words, max_len)[0]
+
+
+def cheapest(text: str, costs: Words, max_len: int, oov: float) -> list[str]:
+    return all_cheapest([text], costs, max_len, oov)[0]
+
+
+def graph(text: str, costs: Words, max_len: int, mode: str) -> list[str]:
+    return all_graph([text], costs, max_len, mode)[0]
+
+
+Split = Callable[[list[str], Words | Dictionary, int], list[list[str]]]
+_dictionaries: dict[str, Dictionary] = {}
 
 
-Split = Callable[[str, Words, int], list[str]]
+def _groups(texts: pd.Series, most: int) -> Iterator[list[int]]:
+    """Places of non-empty texts, so many at a time that they have some ``most`` characters."""
+    group, size = [], 0
+    for i, t in enumerate(texts):
+        if t:
+            group.append(i)
+            size += len(t)
+            if size >= most:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
 
 
-def segmented(docs: DataFrame, dictionary: DataFrame, split: Split, max_len: int | None = MAX_LEN, stopwords: list[str] = (), text: str = "text", out: str = "tokens", max_words: int = MAX_WORDS) -> DataFrame:
+def segmented(docs: DataFrame, dictionary: DataFrame, split: Split, max_len: int | None = MAX_LEN, stopwords: list[str] = (), text: str = "text", out: str = "tokens", max_words: int = TRIE_WORDS) -> DataFrame:
     """``docs`` with ``out``, the words of ``text`` as ``split`` finds them; ``max_len`` None takes the dictionary's longest word. Null and empty texts have none."""
     cost = F.coalesce(F.col("cost").cast("double"), F.lit(0.0)) if "cost" in dictionary.columns else F.lit(0.0)
     entries = dictionary.filter("word != ''").select("word", cost.alias("cost"))
     most, longest, number = entries.agg(F.max("cost"), F.max(F.char_length("word")), F.count("*")).first()
-    longest = longest or 1
+    longest, most = longest or 1, most or 0.0
     reach = longest if max_len is None else max_len
+    together = max(1, min(TOGETHER, COSTS // reach))
     docs = spread(docs).withColumn("__clean", normalize_for_segmentation(F.col(text)))
     if number <= max_words:
-        shared = dictionary.sparkSession.sparkContext.broadcast(Words(_costs(entries), most, longest))
+        found = entries.toArrow()
+        trie = Trie.of(found["word"].to_pylist(), found["cost"].to_numpy())
+        shared = dictionary.sparkSession.sparkContext.broadcast((trie.parts(), most, longest))
+        key = uuid.uuid4().hex
 
         @F.pandas_udf("array<string>")
         def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            if key not in _dictionaries:
+                _dictionaries.clear()
+                parts, dearest, size = shared.value
+                _dictionaries[key] = Dictionary(Trie(*parts), dearest, size)
             for texts in batches:
-                yield texts.map(lambda t: split(t, shared.value, reach) if t else [])
+                words: list[list[str]] = [[] for _ in range(len(texts))]
+                for group in _groups(texts, together):
+                    for i, w in zip(group, split([texts.iat[i] for i in group], _dictionaries[key], reach), strict=True):
+                        words[i] = w
+                yield pd.Series(words, dtype="object")
 
         return docs.withColumn(out, filter_tokens(segment("__clean"), list(stopwords))).drop("__clean")
 
@@ -176,7 +242,7 @@ def segmented(docs: DataFrame, dictionary: DataFrame, split: Split, max_len: int
     @F.pandas_udf("array<string>")
     def segment_by_own(texts: pd.Series, words: pd.Series) -> pd.Series:
         own = [Words({w["word"]: w["cost"] for w in (found if found is not None else ())}, most, longest) for found in words]
-        return pd.Series([split(t, w, reach) if t else [] for t, w in zip(texts, own, strict=True)])
+        return pd.Series([split([t], w, reach)[0] if t else [] for t, w in zip(texts, own, strict=True)])
 
     rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "texts")
     parts = rows.select("__row", F.explode(substrings("__clean")).alias("word"))
@@ -186,24 +252,24 @@ def segmented(docs: DataFrame, dictionary: DataFrame, split: Split, max_len: int
 
 def segment_fmm(docs: DataFrame, dictionary: DataFrame, max_len: int = MAX_LEN, **options) -> DataFrame:
     """Longest words from the left. Options of all segmenters: see ``segmented``."""
-    return segmented(docs, dictionary, forward, max_len, **options)
+    return segmented(docs, dictionary, all_forward, max_len, **options)
 
 
 def segment_bmm(docs: DataFrame, dictionary: DataFrame, max_len: int = MAX_LEN, **options) -> DataFrame:
     """Longest words from the right."""
-    return segmented(docs, dictionary, backward, max_len, **options)
+    return segmented(docs, dictionary, all_backward, max_len, **options)
 
 
 def segment_bimm(docs: DataFrame, dictionary: DataFrame, max_len: int = MAX_LEN, **options) -> DataFrame:
     """The better of both directions."""
-    return segmented(docs, dictionary, bidirectional, max_len, **options)
+    return segmented(docs, dictionary, all_bidirectional, max_len, **options)
 
 
 def segment_dp(docs: DataFrame, dictionary: DataFrame, oov: float = OOV, max_len: int | None = MAX_LEN, **options) -> DataFrame:
     """The split of least cost."""
-    return segmented(docs, dictionary, lambda t, costs, n: cheapest(t, costs, n, oov), max_len, **options)
+    return segmented(docs, dictionary, lambda t, costs, n: all_cheapest(t, costs, n, oov), max_len, **options)
 
 
 def segment_dag(docs: DataFrame, dictionary: DataFrame, mode: str = "accurate", **options) -> DataFrame:
-    """The most probable path, with ``mode`` as in ``graph``."""
-    return segmented(docs, dictionary, lambda t, costs, n: graph(t, costs, n, mode), None, **options)
+    """The most probable path, with ``mode`` as in ``all_graph``; any other mode is ``accurate``."""
+    return segmented(docs, dictionary, lambda t, costs, n: all_graph(t, costs, n, mode), None, **options)
