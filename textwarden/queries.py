@@ -444,6 +444,90 @@ def q_v6_segment_dag(spark, sf_dir):
     return _segmented(spark, sf_dir, lambda df, d: segment.segment_dag(df, d, "search"))
 
 
+# The same segmenters over the whole benchmark table, whose texts are short enough for recursive SQL. Costs are whole
+# numbers of 64ths, so that equal costs are equal in both engines.
+
+_CUT = rf"""{TOKENS}, freq AS (SELECT token AS word, count(*) AS n FROM tok GROUP BY token), dict AS (SELECT word, round(64 * (ln((SELECT sum(n) FROM freq)) - ln(n))) AS cost FROM freq),
+    b AS (SELECT item_id, regexp_replace(lower(text), '\s+', '', 'g') AS t FROM benchmark), most AS (SELECT max(length(word)) AS longest, max(cost) + 1 AS rare FROM dict),
+    piece AS (SELECT item_id, t, i, n, substr(t, i, n) AS p FROM (SELECT *, unnest(range(1, least(length(t) - i + 1, longest) + 1)) AS n FROM (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM b), most)),
+    met AS (SELECT item_id, i, n, p, cost FROM piece JOIN dict ON p = word)"""
+_AHEAD = """ahead AS (SELECT x.item_id, x.i, coalesce(max(m.n), 1) AS n FROM (SELECT DISTINCT item_id, i FROM piece) x LEFT JOIN met m ON m.item_id = x.item_id AND m.i = x.i AND m.n BETWEEN 2 AND 12 GROUP BY ALL),
+    f AS (SELECT item_id, 1 AS i FROM b UNION ALL SELECT f.item_id, (f.i + a.n)::INT FROM f JOIN ahead a ON a.item_id = f.item_id AND a.i = f.i), fw AS (SELECT a.* FROM f JOIN ahead a ON a.item_id = f.item_id AND a.i = f.i)"""
+_BEHIND = """behind AS (SELECT x.item_id, x.i AS e, coalesce(max(m.n), 1) AS n FROM (SELECT DISTINCT item_id, i FROM piece) x LEFT JOIN met m ON m.item_id = x.item_id AND m.i + m.n - 1 = x.i AND m.n BETWEEN 2 AND 12 GROUP BY ALL),
+    g AS (SELECT item_id, length(t)::INT AS e FROM b UNION ALL SELECT g.item_id, (g.e - h.n)::INT FROM g JOIN behind h ON h.item_id = g.item_id AND h.e = g.e), bw AS (SELECT h.item_id, h.e - h.n + 1 AS i, h.n FROM g JOIN behind h ON h.item_id = g.item_id AND h.e = g.e)"""
+
+
+def _shown(words: str) -> str:
+    return f"SELECT b.item_id, coalesce(string_agg(substr(t, w.i::BIGINT, w.n::BIGINT), ' ' ORDER BY w.i) FILTER (w.n > 1), '') AS tokens FROM b LEFT JOIN {words} w ON w.item_id = b.item_id GROUP BY b.item_id"
+
+
+_COST_LIST = """costs AS (SELECT item_id, {place} AS place, list(coalesce(cost, {unknown}) ORDER BY n) AS c FROM (SELECT piece.item_id, piece.i, piece.n, dict.cost, rare FROM piece LEFT JOIN dict ON p = word, most WHERE n <= {reach}) GROUP BY ALL),
+    dp AS (SELECT item_id, {first} AS place, [0.0::DOUBLE] AS best, []::BIGINT[] AS pick FROM b UNION ALL
+        SELECT item_id, (place {sign} 1)::INT, list_append(best, list_min(l)), list_append(pick, list_position(l, list_min(l))::BIGINT)
+        FROM (SELECT dp.*, [best[len(best) - n + 1] + c[n] FOR n IN range(1, least(len(c), len(best)) + 1)] AS l FROM dp JOIN costs ON costs.item_id = dp.item_id AND costs.place = dp.place {sign} 1)),
+    done AS (SELECT item_id, pick FROM dp QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY len(pick) DESC) = 1)"""
+# From the left, by the end of a piece; from the right, by its beginning.
+_LEFT = _COST_LIST.format(place="i + n - 1", unknown="960.0 * n", reach=12, first="0", sign="+") + """,
+    back AS (SELECT item_id, len(pick)::BIGINT AS e, pick FROM done UNION ALL SELECT item_id, e - pick[e], pick FROM back WHERE e > 0), cut AS (SELECT item_id, e - pick[e] + 1 AS i, pick[e] AS n FROM back WHERE e > 0)"""
+_RIGHT = _COST_LIST.format(place="i", unknown="CASE WHEN n = 1 THEN rare ELSE 'inf'::DOUBLE END", reach="longest", first="length(t)::INT + 1", sign="-").replace(", rare FROM piece", ", rare, longest FROM piece") + """,
+    back AS (SELECT item_id, 1::BIGINT AS i, pick FROM done UNION ALL SELECT item_id, i + pick[len(pick) - i + 1], pick FROM back WHERE i <= len(pick)), cut AS (SELECT item_id, i, pick[len(pick) - i + 1] AS n FROM back WHERE i <= len(pick))"""
+
+
+def _short(spark, sf_dir, by):
+    docs = read(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), r"\s+", "").alias("text"))
+    words = materialise(segment.build_unigrams(hits.explode_tokens(token_docs(spark, sf_dir))).withColumn("cost", F.round(F.col("cost") * 64)), "unigrams")
+    return by(docs, words).select("item_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query(f"WITH RECURSIVE {_CUT}, {_AHEAD} {_shown('fw')}")
+def q_v2_short_texts_fmm(spark, sf_dir):
+    return _short(spark, sf_dir, lambda df, d: segment.segment_fmm(df, d, 12))
+
+
+@query(f"WITH RECURSIVE {_CUT}, {_BEHIND} {_shown('bw')}")
+def q_v3_short_texts_bmm(spark, sf_dir):
+    return _short(spark, sf_dir, lambda df, d: segment.segment_bmm(df, d, 12))
+
+
+@query(f"""WITH RECURSIVE {_CUT}, {_AHEAD}, {_BEHIND}, nf AS (SELECT item_id, count(*) AS n, count(*) FILTER (n = 1) AS ones FROM fw GROUP BY item_id), nb AS (SELECT item_id, count(*) AS n, count(*) FILTER (n = 1) AS ones FROM bw GROUP BY item_id),
+    won AS (SELECT item_id, (nf.n, nf.ones) < (nb.n, nb.ones) AS ahead FROM nf JOIN nb USING (item_id)),
+    both_ AS (SELECT fw.item_id, i, n FROM fw JOIN won USING (item_id) WHERE ahead UNION ALL SELECT bw.item_id, i, n FROM bw JOIN won USING (item_id) WHERE NOT ahead) {_shown('both_')}""")
+def q_v4_short_texts_bimm(spark, sf_dir):
+    return _short(spark, sf_dir, lambda df, d: segment.segment_bimm(df, d, 12))
+
+
+@query(f"WITH RECURSIVE {_CUT}, {_LEFT} {_shown('cut')}")
+def q_v5_short_texts_dp(spark, sf_dir):
+    return _short(spark, sf_dir, lambda df, d: segment.segment_dp(df, d, oov=15.0 * 64, max_len=12))
+
+
+@query(f"WITH RECURSIVE {_CUT}, {_RIGHT} {_shown('cut')}")
+def q_v6_short_texts_accurate(spark, sf_dir):
+    return _short(spark, sf_dir, lambda df, d: segment.segment_dag(df, d, "accurate"))
+
+
+@query(f"""WITH RECURSIVE {_CUT}, {_RIGHT}, parts AS (SELECT item_id, i, n, i AS at, 9 AS kind FROM cut UNION ALL
+    SELECT c.item_id, c.i, m.n, m.i, m.n FROM cut c JOIN met m ON m.item_id = c.item_id AND m.n IN (2, 3) AND m.n < c.n AND m.i >= c.i AND m.i + m.n <= c.i + c.n)
+    SELECT b.item_id, coalesce(string_agg(substr(t, w.at::BIGINT, w.n::BIGINT), ' ' ORDER BY w.i, w.kind, w.at) FILTER (w.n > 1), '') AS tokens FROM b LEFT JOIN parts w ON w.item_id = b.item_id GROUP BY b.item_id""")
+def q_v6_short_texts_search(spark, sf_dir):
+    return _short(spark, sf_dir, lambda df, d: segment.segment_dag(df, d, "search"))
+
+
+@query(f"WITH {_CUT} SELECT b.item_id, coalesce(string_agg(p, ' ' ORDER BY i, n) FILTER (n > 1), '') AS tokens FROM b LEFT JOIN met ON met.item_id = b.item_id GROUP BY b.item_id")
+def q_v6_short_texts_full(spark, sf_dir):
+    return _short(spark, sf_dir, lambda df, d: segment.segment_dag(df, d, "full"))
+
+
+@query()
+def q_v6_segment_dag_full(spark, sf_dir):
+    return _segmented(spark, sf_dir, lambda df, d: segment.segment_dag(df, d, "full"))
+
+
+@query()
+def q_v6_segment_dag_accurate(spark, sf_dir):
+    return _segmented(spark, sf_dir, lambda df, d: segment.segment_dag(df, d, "accurate"))
+
+
 @query(f"WITH {WORDS} SELECT doc_id, array_to_string(words, ' ') AS words, len(words) AS n FROM w")
 def q_v7_tokenize_words(spark, sf_dir):
     words = T.tokenize_words(F.col("text"))
