@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textwarden.operators.ranks import with_rank
+from textwarden.runtime import materialise
+
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
     return tokens.select("algorithm", F.col("token").alias("word")).distinct()
@@ -33,8 +36,10 @@ def vocab_only_in(words: DataFrame, a: str, b: str) -> DataFrame:
 def all_pairs_similarity(words: DataFrame) -> DataFrame:
     """``a``, ``b``, ``jaccard``, ``dice``, ``n_shared`` for each pair of algorithms.
 
-    A word's algorithms are at most as many as there are algorithms, so its pairs are few.
+    A word's algorithms are at most as many as there are algorithms, so its pairs are few. The
+    vocabulary is written once, as it is read twice.
     """
+    words = materialise(words, "vocabulary")
     sets = words.groupBy("word").agg(F.array_sort(F.collect_set("algorithm")).alias("s"))
     pairs = sets.select(F.explode(F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
     shared = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n_shared"))
@@ -56,11 +61,16 @@ def token_length_distribution(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("algorithm", F.length("token").alias("length")).agg(F.count("*").alias("n"))
 
 
+def word_counts(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("algorithm", F.col("token").alias("word")).agg(F.count("*").alias("n"))
+
+
 def word_ranks(tokens: DataFrame) -> DataFrame:
-    """``algorithm``, ``word``, ``n``, ``rank``: by count, ties by word."""
-    counts = tokens.groupBy("algorithm", F.col("token").alias("word")).agg(F.count("*").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("algorithm").orderBy(F.desc("n"), "word")))
+    """``algorithm``, ``word``, ``n``, ``rank``: by count, ties by word; sorted over all tasks, so that none holds an algorithm's vocabulary."""
+    return with_rank(word_counts(tokens), ["algorithm"], [F.desc("n"), F.col("word")])
 
 
 def word_freq_comparison(tokens: DataFrame, top_n: int = 30) -> DataFrame:
-    return word_ranks(tokens).filter(F.col("rank") <= top_n)
+    """The first ``top_n`` ranks of each algorithm: every task sends on as many at most."""
+    rank = F.row_number().over(Window.partitionBy("algorithm").orderBy(F.desc("n"), "word"))
+    return word_counts(tokens).withColumn("rank", rank).filter(F.col("rank") <= top_n)

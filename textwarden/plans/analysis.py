@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textwarden.functions.text import pending
 from textwarden.operators.detect import harmful, sensitivity, sentiment, with_harm_regex
-from textwarden.operators.hits import explode_tokens, known_once
+from textwarden.operators.hits import known_once
 from textwarden.operators.sites import new_urls
 from textwarden.runtime import materialise, spread
 from textwarden.sources.keyed import KeyedTable
@@ -95,9 +95,10 @@ def write_discovered(urls: DataFrame, path: str, block: int = 10_000) -> None:
 
 
 def token_table(pages: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """``algorithm``, ``token`` of the arrays in ``columns`` (algorithm to column)."""
-    parts = [explode_tokens(pages.select(F.col("id").alias("doc_id"), F.col(c).alias("tokens"))).select(F.lit(a).alias("algorithm"), "token") for a, c in columns.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """``algorithm``, ``token`` of the arrays in ``columns`` (algorithm to column), in one pass over the pages."""
+
+    def named(algorithm: str, column: str):
+        return F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda t: F.struct(F.lit(algorithm).alias("algorithm"), t.alias("token")))
+
+    lists = [named(a, c) for a, c in columns.items()]
+    return pages.select(F.explode(F.flatten(F.array(*lists))).alias("t")).select("t.algorithm", "t.token")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textwarden.operators.ranks import exact_quantiles
+
 
 def db_stats(pages: DataFrame) -> DataFrame:
     """All counts of the dashboard in one pass."""
@@ -40,16 +42,18 @@ def category_distribution(pages: DataFrame) -> DataFrame:
     return value_counts(pages, "category")
 
 
-def quantiles(column: str, at: list[float], accuracy: int | None) -> Column:
-    """Exact, by linear interpolation, from all distinct values; or, with an ``accuracy``, values of the column from sketches of a bounded size."""
-    points = F.array(*map(F.lit, at))
-    return F.percentile(column, points) if accuracy is None else F.percentile_approx(column, points, accuracy)
-
-
 def describe(pages: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
-    """Count, mean, standard deviation (n - 1), least, quartiles (see ``quantiles``), most."""
-    q = quantiles(column, [0.25, 0.5, 0.75], accuracy)
-    folded = pages.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"))
+    """Count, mean, standard deviation (n - 1), least, quartiles, most.
+
+    Quartiles are exact, by linear interpolation, of sorted values that no task holds whole; or,
+    with an ``accuracy``, values of the column from sketches of a bounded size.
+    """
+    numbers = [F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")]
+    if accuracy is None:
+        q = exact_quantiles(pages.select(column), column, [0.25, 0.5, 0.75])
+        folded = pages.agg(*numbers).join(F.broadcast(q), how="left")  # a row each
+    else:
+        folded = pages.agg(*numbers, F.percentile_approx(column, F.array(*map(F.lit, (0.25, 0.5, 0.75))), accuracy).alias("q"))
     return folded.select("count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
@@ -62,10 +66,15 @@ def sensitivity_score_distribution(pages: DataFrame, accuracy: int | None = None
 
 
 def text_length_by_source(pages: DataFrame, accuracy: int | None = None) -> DataFrame:
-    found = pages.filter("source_site is not null").groupBy("source_site").agg(
-        F.avg("text_length").alias("mean"), quantiles("text_length", [0.5], accuracy)[0].alias("median"), F.stddev_samp("text_length").alias("std"), F.count("text_length").alias("n"),
-    )
-    return found.orderBy(F.desc("mean"), "source_site")
+    """Mean, median (see ``describe``), standard deviation and count of each site, longest first."""
+    known = pages.filter("source_site is not null").select("source_site", "text_length")
+    numbers = [F.avg("text_length").alias("mean"), F.stddev_samp("text_length").alias("std"), F.count("text_length").alias("n")]
+    if accuracy is None:
+        medians = exact_quantiles(known, "text_length", [0.5], ["source_site"]).select("source_site", F.col("q")[0].alias("median"))
+        found = known.groupBy("source_site").agg(*numbers).join(medians, "source_site", "left")
+    else:
+        found = known.groupBy("source_site").agg(*numbers, F.percentile_approx("text_length", F.lit(0.5), accuracy).alias("median"))
+    return found.select("source_site", "mean", "median", "std", "n").orderBy(F.desc("mean"), "source_site")
 
 
 def publish_time_trend(pages: DataFrame, column: str = "publish_time") -> DataFrame:

@@ -684,7 +684,7 @@ _ALGORITHMS = f"{TOKENS}, alg AS (SELECT 'words' AS algorithm, unnest(words) AS
 
 
 def _token_table(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(
+    docs = spread(read(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("id"), T.tokenize_words(F.col("text")).alias("words"), T.filter_tokens(T.tokenize_words(F.col("text")), DEMO_STOPWORDS).alias("filtered"), F.split("text", " ").alias("spaces"),
     )
     return analysis.token_table(docs, {c: c for c in ("words", "filtered", "spaces")})
@@ -766,7 +766,7 @@ _FREQ = f"WITH {PAGES}, {TOKENS} SELECT token AS word, count(*) AS n FROM tok JO
 
 
 def _segmented_pages(spark, sf_dir):
-    return page_table(spark, sf_dir).withColumn("seg_jieba", T.filter_tokens(T.tokenize_words(F.col("clean_text")), DEMO_STOPWORDS))
+    return page_table(spark, sf_dir, spread(read(spark, sf_dir, "documents"))).withColumn("seg_jieba", T.filter_tokens(T.tokenize_words(F.col("clean_text")), DEMO_STOPWORDS))
 
 
 @query(_FREQ + "50")
