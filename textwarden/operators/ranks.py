@@ -68,4 +68,4 @@ def exact_quantiles(df: DataFrame, column: str, at: list[float], groups: list[st
     pairs = found.groupBy(*(F.col(f"h.{k}").alias(k) for k in keys), "h.__i", "h.__at").agg(F.min("s.__v").alias("lo"), F.max("s.__v").alias("hi"))
     value = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("__at") - F.floor("__at"))
     q = F.transform(F.array_sort(F.collect_list(F.struct("__i", value.alias("v")))), lambda x: x["v"])
-    return pairs.groupBy(*keys).agg(q.alias("q")).select(*(F.col(n).alias(g) for g, n in named.items()), "q")
+    return pairs.groupBy(*keys).agg(q.alias("q")).filter(F.size("q") > 0).select(*(F.col(n).alias(g) for g, n in named.items()), "q")
