@@ -20,7 +20,7 @@ def _sorted(df: DataFrame, groups: list[str], order: list[Column], weight: Colum
     dealt = df.withColumn("__weight", weight)
     dealt = dealt.repartitionByRange(partitions, *by) if partitions else dealt.repartitionByRange(*by)
     rows = materialise(dealt.sortWithinPartitions(*by).withColumns({"__part": F.spark_partition_id(), _ROW: F.monotonically_increasing_id()}), "sorted")
-    parts = rows.groupBy(*groups, "__part").agg(F.sum("__weight").alias("__n"))
+    parts = rows.groupBy(*groups, "__part").agg(F.sum("__weight").alias("__n"), F.min(_ROW).alias("__least"))
     earlier = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     return rows, parts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
 
@@ -28,10 +28,8 @@ def _sorted(df: DataFrame, groups: list[str], order: list[Column], weight: Colum
 def with_rank(df: DataFrame, groups: list[str], order: list[Column], out: str = "rank", partitions: int | None = None) -> DataFrame:
     """``df`` with the rank (from 1) of each row in its group by ``order``; rows that are equal by it get ranks in any order."""
     rows, parts = _sorted(df, groups, order, F.lit(1), partitions)
-    least = rows.groupBy(*groups, "__part").agg(F.min(_ROW).alias("__least"))
-    keys = [*groups, "__part"]
-    starts = small(parts.drop("__n").join(least, keys))
-    placed = rows.join(starts, keys) if not groups else rows.join(starts, [rows[k].eqNullSafe(starts[k]) for k in keys]).select(rows["*"], starts["__before"], starts["__least"])
+    starts = small(parts.drop("__n"))
+    placed = rows.join(starts, [rows[k].eqNullSafe(starts[k]) for k in [*groups, "__part"]]).select(rows["*"], starts["__before"], starts["__least"])
     return placed.withColumn(out, (F.col("__before") + F.col(_ROW) - F.col("__least") + 1).cast("long")).select(*df.columns, out)
 
 
