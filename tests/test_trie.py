@@ -63,8 +63,8 @@ def test_long_and_short_texts_together():
     rnd = random.Random(5)
     texts = ["".join(rnd.choice("abcx") for _ in range(n)) for n in (0, 5000, 1, 30, 30, 2, 60)]
     for many, one in ((segment.all_forward, segment.forward), (segment.all_backward, segment.backward), (segment.all_bidirectional, segment.bidirectional)):
-        assert many(texts, words, 3) == [one(t, words, 3) for t in texts]
-    assert segment.all_cheapest(texts, words, 3, 15.0) == [segment.cheapest(t, words, 3, 15.0) for t in texts]
+        assert many(segment.Walk(texts, words, 3), 3) == [one(t, words, 3) for t in texts]
+    assert segment.all_cheapest(segment.Walk(texts, words, 4), 3, 15.0) == [segment.cheapest(t, words, 3, 15.0) for t in texts]
     for mode in ("accurate", "search", "full"):
-        assert segment.all_graph(texts, words, 3, mode) == [segment.graph(t, words, 3, mode) for t in texts]
+        assert segment.all_graph(segment.Walk(texts, words, 3), 3, mode) == [segment.graph(t, words, 3, mode) for t in texts]
     assert segment.graph("xabcx", words, 3, "full") == ["x", "a", "ab", "abc", "bc", "c", "x"]

@@ -68,11 +68,22 @@ class Dictionary:
         self.trie, self.dearest, self.longest = trie, dearest, longest
 
 
-def _greedy(texts: list[str], words: Words | Dictionary, reach: int) -> list[tuple[list[str], list[str]]]:
-    """The words of each text from the left and from the right; one walk of the trie finds the longest word that begins, and that ends, at each place."""
-    all_ = Texts(texts)
+class Walk(Texts):
+    """Texts with all words that stand in them, found once for all segmenters that look at them."""
+
+    def __init__(self, texts: list[str], words: Words | Dictionary, reach: int):
+        super().__init__(texts)
+        self.dearest = words.dearest
+        self.met = list(words.trie.matches(self.codes, reach))
+
+    def words(self, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        return (m for m in self.met if m[0] <= reach)
+
+
+def _greedy(all_: Walk, reach: int) -> list[tuple[list[str], list[str]]]:
+    """The words of each text from the left and from the right, by the longest word that begins, and that ends, at each place."""
     ahead, behind = np.ones(len(all_.codes), "i4"), np.ones(len(all_.codes), "i4")
-    for n, at, _ in words.trie.matches(all_.codes, reach):
+    for n, at, _ in all_.words(reach):
         ahead[at] = behind[at + n] = n
     ahead, behind, out = ahead.tolist(), behind.tolist(), []
     for t, s in all_:
@@ -89,25 +100,24 @@ def _greedy(texts: list[str], words: Words | Dictionary, reach: int) -> list[tup
     return out
 
 
-def all_forward(texts: list[str], words: Words | Dictionary, reach: int) -> list[list[str]]:
-    return [f for f, _ in _greedy(texts, words, reach)]
+def all_forward(walk: Walk, reach: int) -> list[list[str]]:
+    return [f for f, _ in _greedy(walk, reach)]
 
 
-def all_backward(texts: list[str], words: Words | Dictionary, reach: int) -> list[list[str]]:
-    return [b for _, b in _greedy(texts, words, reach)]
+def all_backward(walk: Walk, reach: int) -> list[list[str]]:
+    return [b for _, b in _greedy(walk, reach)]
 
 
-def all_bidirectional(texts: list[str], words: Words | Dictionary, reach: int) -> list[list[str]]:
+def all_bidirectional(walk: Walk, reach: int) -> list[list[str]]:
     """Of both directions the one with fewer words, then with fewer single characters, then the backward one."""
     rank = lambda s: (len(s), sum(len(w) == 1 for w in s))
-    return [f if rank(f) < rank(b) else b for f, b in _greedy(texts, words, reach)]
+    return [f if rank(f) < rank(b) else b for f, b in _greedy(walk, reach)]
 
 
-def all_cheapest(texts: list[str], words: Words | Dictionary, reach: int, oov: float = OOV) -> list[list[str]]:
+def all_cheapest(all_: Walk, reach: int, oov: float = OOV) -> list[list[str]]:
     """The split of least cost; an unknown piece costs ``oov`` for each character. Ties keep the shorter last word."""
-    all_ = Texts(texts)
     costs = np.tile(oov * np.arange(1, reach + 1), (len(all_.codes), 1))
-    for n, at, cost in words.trie.matches(all_.codes, reach):
+    for n, at, cost in all_.words(reach):
         costs[at + n, n - 1] = cost
     pick, out = least_costs(all_.first, all_.sizes, costs, 1).tolist(), []
     for t, s in all_:
@@ -120,15 +130,14 @@ def all_cheapest(texts: list[str], words: Words | Dictionary, reach: int, oov: f
     return out
 
 
-def all_graph(texts: list[str], words: Words | Dictionary, reach: int, mode: str = "accurate") -> list[list[str]]:
+def all_graph(all_: Walk, reach: int, mode: str = "accurate") -> list[list[str]]:
     """``accurate``: the most probable path over the dictionary's words, single characters, known or dearer than any word, where there is none; ``full``: every word found; ``search``: the accurate words, each after the shorter words in it."""
-    all_ = Texts(texts)
-    met = list(words.trie.matches(all_.codes, reach))
+    met = list(all_.words(reach))
     if mode == "full":
         return _every_word(all_, met)
     reach = max([1, *(n for n, at, _ in met if len(at))])
     costs = np.full((len(all_.codes), reach), np.inf)
-    costs[:, 0] = words.dearest + 1.0
+    costs[:, 0] = all_.dearest + 1.0
     inside = {n: np.zeros(len(all_.codes), bool) for n in (2, 3)}
     for n, at, cost in met:
         if n <= reach:
@@ -168,26 +177,27 @@ def _every_word(all_: Texts, met: list[tuple[int, np.ndarray, np.ndarray]]) -> l
 
 
 def forward(text: str, words: Words, max_len: int) -> list[str]:
-    return all_forward([text], words, max_len)[0]
+    return all_forward(Walk([text], words, max_len), max_len)[0]
 
 
 def backward(text: str, words: Words, max_len: int) -> list[str]:
-    return all_backward([text], words, max_len)[0]
+    return all_backward(Walk([text], words, max_len), max_len)[0]
 
 
 def bidirectional(text: str, words: Words, max_len: int) -> list[str]:
-    return all_bidirectional([text], words, max_len)[0]
+    return all_bidirectional(Walk([text], words, max_len), max_len)[0]
 
 
 def cheapest(text: str, costs: Words, max_len: int, oov: float) -> list[str]:
-    return all_cheapest([text], costs, max_len, oov)[0]
+    return all_cheapest(Walk([text], costs, max_len), max_len, oov)[0]
 
 
 def graph(text: str, costs: Words, max_len: int, mode: str) -> list[str]:
-    return all_graph([text], costs, max_len, mode)[0]
+    return all_graph(Walk([text], costs, max_len), max_len, mode)[0]
 
 
-Split = Callable[[list[str], Words | Dictionary, int], list[list[str]]]
+#: Words of each text, from a walk and the length of the longest word to be looked at.
+Split = Callable[[Walk, int], list[list[str]]]
 _dictionaries: dict[str, Dictionary] = {}
 
 
@@ -205,49 +215,74 @@ def _groups(texts: pd.Series, most: int) -> Iterator[list[int]]:
         yield group
 
 
-def segmented(docs: DataFrame, dictionary: DataFrame, split: Split, max_len: int | None = MAX_LEN, stopwords: list[str] = (), text: str = "text", out: str = "tokens", max_words: int = TRIE_WORDS) -> DataFrame:
-    """``docs`` with ``out``, the words of ``text`` as ``split`` finds them; ``max_len`` None takes the dictionary's longest word. Null and empty texts have none."""
+def segmented_ways(docs: DataFrame, dictionary: DataFrame, ways: dict[str, tuple[Split, int | None]], stopwords: list[str] = (), text: str = "text", max_words: int = TRIE_WORDS) -> DataFrame:
+    """``docs`` with a column of words for each of ``ways``, a splitter and its longest word (None: the dictionary's), from one pass over ``text``. Null and empty texts have none."""
     cost = F.coalesce(F.col("cost").cast("double"), F.lit(0.0)) if "cost" in dictionary.columns else F.lit(0.0)
     entries = dictionary.filter("word != ''").select("word", cost.alias("cost"))
     most, longest, number = entries.agg(F.max("cost"), F.max(F.char_length("word")), F.count("*")).first()
     longest, most = longest or 1, most or 0.0
-    reach = longest if max_len is None else max_len
+    splits = [(split, longest if n is None else n) for split, n in ways.values()]
+    reach = max(n for _, n in splits)
     together = max(1, min(TOGETHER, COSTS // reach))
     docs = spread(docs).withColumn("__clean", normalize_for_segmentation(F.col(text)))
+    schema = ", ".join(f"w{i} array<string>" for i in range(len(splits)))
+    columns = {name: filter_tokens(F.col(f"__words.w{i}"), list(stopwords)) for i, name in enumerate(ways)}
+
+    def split_all(texts: list[str], words: Words | Dictionary) -> list[list[list[str]]]:
+        walk = Walk(texts, words, reach)
+        return [split(walk, n) for split, n in splits]
+
     if number <= max_words:
         found = entries.toArrow()
         trie = Trie.of(found["word"].to_pylist(), found["cost"].to_numpy())
         shared = dictionary.sparkSession.sparkContext.broadcast((trie.parts(), most, longest))
         key = uuid.uuid4().hex
 
-        @F.pandas_udf("array<string>")
-        def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.pandas_udf(schema)
+        def segment(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             if key not in _dictionaries:
                 _dictionaries.clear()
                 parts, dearest, size = shared.value
                 _dictionaries[key] = Dictionary(Trie(*parts), dearest, size)
             for texts in batches:
-                words: list[list[str]] = [[] for _ in range(len(texts))]
+                words: list[list[list[str]]] = [[[] for _ in range(len(texts))] for _ in splits]
                 for group in _groups(texts, together):
-                    for i, w in zip(group, split([texts.iat[i] for i in group], _dictionaries[key], reach), strict=True):
-                        words[i] = w
-                yield pd.Series(words, dtype="object")
+                    for own, found in zip(words, split_all([texts.iat[i] for i in group], _dictionaries[key]), strict=True):
+                        for i, w in zip(group, found, strict=True):
+                            own[i] = w
+                yield pd.DataFrame({f"w{i}": pd.Series(own, dtype="object") for i, own in enumerate(words)})
 
-        return docs.withColumn(out, filter_tokens(segment("__clean"), list(stopwords))).drop("__clean")
+        return docs.withColumn("__words", segment("__clean")).withColumns(columns).drop("__clean", "__words")
 
     @F.pandas_udf("array<string>")
     def substrings(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: list({t[i : i + n] for i in range(len(t or "")) for n in range(1, reach + 1)}))
 
-    @F.pandas_udf("array<string>")
-    def segment_by_own(texts: pd.Series, words: pd.Series) -> pd.Series:
+    @F.pandas_udf(schema)
+    def segment_by_own(texts: pd.Series, words: pd.Series) -> pd.DataFrame:
         own = [Words({w["word"]: w["cost"] for w in (found if found is not None else ())}, most, longest) for found in words]
-        return pd.Series([split([t], w, reach)[0] if t else [] for t, w in zip(texts, own, strict=True)])
+        each = [[x[0] for x in split_all([t], w)] if t else [[] for _ in splits] for t, w in zip(texts, own, strict=True)]
+        return pd.DataFrame({f"w{i}": pd.Series([x[i] for x in each], dtype="object") for i in range(len(splits))})
 
     rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "texts")
     parts = rows.select("__row", F.explode(substrings("__clean")).alias("word"))
     own = parts.join(entries, "word").groupBy("__row").agg(F.collect_list(F.struct("word", "cost")).alias("__own"))  # no more than its text has substrings
-    return rows.join(own, "__row", "left").withColumn(out, filter_tokens(segment_by_own("__clean", "__own"), list(stopwords))).drop("__row", "__clean", "__own")
+    return rows.join(own, "__row", "left").withColumn("__words", segment_by_own("__clean", "__own")).withColumns(columns).drop("__row", "__clean", "__own", "__words")
+
+
+def segmented(docs: DataFrame, dictionary: DataFrame, split: Split, max_len: int | None = MAX_LEN, stopwords: list[str] = (), text: str = "text", out: str = "tokens", max_words: int = TRIE_WORDS) -> DataFrame:
+    """``docs`` with ``out``, the words of ``text`` as ``split`` finds them; ``max_len`` None takes the dictionary's longest word. Null and empty texts have none."""
+    return segmented_ways(docs, dictionary, {out: (split, max_len)}, stopwords, text, max_words)
+
+
+def segment_pages(pages: DataFrame, dictionary: DataFrame, stopwords: list[str] = (), max_len: int = MAX_LEN, mode: str = "accurate", oov: float = OOV, text: str = "clean_text", **options) -> DataFrame:
+    """Pages with ``seg_jieba`` (word graph), ``seg_maxmatch`` (both directions) and ``seg_dp`` (least cost), from one walk of each text."""
+    ways = {
+        "seg_jieba": (lambda walk, n: all_graph(walk, n, mode), None),
+        "seg_maxmatch": (all_bidirectional, max_len),
+        "seg_dp": (lambda walk, n: all_cheapest(walk, n, oov), max_len),
+    }
+    return segmented_ways(pages, dictionary, ways, stopwords, text, **options)
 
 
 def segment_fmm(docs: DataFrame, dictionary: DataFrame, max_len: int = MAX_LEN, **options) -> DataFrame:
@@ -267,9 +302,9 @@ def segment_bimm(docs: DataFrame, dictionary: DataFrame, max_len: int = MAX_LEN,
 
 def segment_dp(docs: DataFrame, dictionary: DataFrame, oov: float = OOV, max_len: int | None = MAX_LEN, **options) -> DataFrame:
     """The split of least cost."""
-    return segmented(docs, dictionary, lambda t, costs, n: all_cheapest(t, costs, n, oov), max_len, **options)
+    return segmented(docs, dictionary, lambda walk, n: all_cheapest(walk, n, oov), max_len, **options)
 
 
 def segment_dag(docs: DataFrame, dictionary: DataFrame, mode: str = "accurate", **options) -> DataFrame:
     """The most probable path, with ``mode`` as in ``all_graph``; any other mode is ``accurate``."""
-    return segmented(docs, dictionary, lambda t, costs, n: all_graph(t, costs, n, mode), None, **options)
+    return segmented(docs, dictionary, lambda walk, n: all_graph(walk, n, mode), None, **options)

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from textwarden.functions.text import pending
 from textwarden.operators.detect import harmful, sensitivity, sentiment, with_harm_regex
 from textwarden.operators.hits import known_once
+from textwarden.operators.segment import segment_pages
 from textwarden.operators.sites import new_urls
 from textwarden.runtime import materialise, spread
 from textwarden.sources.keyed import KeyedTable
 
 RESULTS = ["sensitivity_score", "sensitivity_flags", "sentiment_score", "sentiment_label", "harmful_score", "harmful_flags", "harmful_is_harmful", "sensitivity_details", "sentiment_details", "harmful_details"]
+SEGMENTED = ["seg_jieba", "seg_maxmatch", "seg_dp"]
 
 
 def analyze(pages: DataFrame, tokens: str, dictionaries: dict[str, DataFrame], source: str = "jieba") -> DataFrame:
@@ -25,6 +27,23 @@ def analyze(pages: DataFrame, tokens: str, dictionaries: dict[str, DataFrame], s
     """
     rows = pending(pages)
     docs = spread(rows).select(F.col("id").alias("doc_id"), F.col("clean_text").alias("text"), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("tokens"))
+    return _with_results(rows, _detected(docs, dictionaries), source)
+
+
+def segment_and_analyze(pages: DataFrame, dictionary: DataFrame, dictionaries: dict[str, DataFrame], stopwords: list[str] = (), source: str = "jieba", **options) -> DataFrame:
+    """Pending pages (``id``, ``clean_text``) with their words by three segmenters, ``seg_jieba``, ``seg_maxmatch`` and ``seg_dp``, and the results of all detectors on those of ``source``.
+
+    The words, what dictionaries know of them and the rules a text meets come from one pass over
+    the texts, which is written once. Options are those of ``segment_pages``.
+    """
+    rows = pending(pages)
+    cut = segment_pages(rows.select("id", "clean_text"), dictionary, stopwords, **options)
+    docs = cut.select(F.col("id").alias("doc_id"), F.col("clean_text").alias("text"), F.col(f"seg_{source}").alias("tokens"), *SEGMENTED)
+    return _with_results(rows.drop(*SEGMENTED), _detected(docs, dictionaries, SEGMENTED), source)
+
+
+def _detected(docs: DataFrame, dictionaries: dict[str, DataFrame], kept: list[str] = ()) -> DataFrame:
+    """``doc_id``, the results of all detectors and the columns ``kept`` of ``docs`` (``doc_id``, ``text``, ``tokens``)."""
     docs = known_once(with_harm_regex(docs).drop("text"), *(dictionaries[d] for d in ("sensitive", "lexicon", "negations", "intensifiers", "keywords")))
     docs = docs if "known" in docs.columns else materialise(docs, "all-tokens")
     one = sensitivity(docs, dictionaries["sensitive"]).select("doc_id", F.col("score").alias("sensitivity_score"), F.col("flags").alias("sensitivity_flags"), F.struct("matched", "is_sensitive").alias("sensitivity_details"))
@@ -33,8 +52,13 @@ def analyze(pages: DataFrame, tokens: str, dictionaries: dict[str, DataFrame], s
     three = harmful(docs, dictionaries["keywords"]).select(
         "doc_id", F.col("score").alias("harmful_score"), F.col("flags").alias("harmful_flags"), F.col("is_harmful").cast("int").alias("harmful_is_harmful"), F.struct("details", "l1", "l2").alias("harmful_details"),
     )
-    results = one.join(two, "doc_id").join(three, "doc_id").withColumnRenamed("doc_id", "id")
-    return rows.drop(*RESULTS, "processed", "analysis_seg_source").join(results, "id").withColumns({"processed": F.lit(2), "analysis_seg_source": F.lit(source)})
+    results = one.join(two, "doc_id").join(three, "doc_id")
+    return results.join(docs.select("doc_id", *kept), "doc_id") if kept else results
+
+
+def _with_results(rows: DataFrame, results: DataFrame, source: str) -> DataFrame:
+    joined = rows.drop(*RESULTS, "processed", "analysis_seg_source").join(results.withColumnRenamed("doc_id", "id"), "id")
+    return joined.withColumns({"processed": F.lit(2), "analysis_seg_source": F.lit(source)})
 
 
 def append_new_pages(batch: DataFrame, stored: DataFrame | KeyedTable) -> DataFrame:

@@ -22,7 +22,7 @@ from textwarden.functions.values import (
 from textwarden.operators import detect, hits, links, segment, sites, vocab
 from textwarden.plans import analysis, report
 from textwarden.runtime import materialise, scratch, spread
-from textwarden.sources import dictionaries, pages
+from textwarden.sources import database, dictionaries, pages
 from textwarden.sources.keyed import KeyedTable
 from textwarden.streaming import jobs
 
@@ -159,6 +159,16 @@ def q_s6_load_pages(spark, sf_dir):
     return found.withColumns({"publish_time": F.date_format("publish_time", "yyyy-MM-dd HH:mm:ss"), "sensitivity_score": F.round("sensitivity_score", 4), "harmful_score": F.round("harmful_score", 4)})
 
 
+@query(ORACLE_SQL["q_s6_load_pages"])
+def q_s6_pages_of_a_database(spark, sf_dir):
+    """The same from SQLite files, of which each task writes one."""
+    path = scratch(spark, "database").removeprefix("file://").removeprefix("file:")
+    database.write_page_database(page_table(spark, sf_dir, spread(read(spark, sf_dir, "documents"))), path)
+    found = pages.load_pages(database.read_page_database(spark, path, parts=2, where="clean_text <> ''"))
+    ints = {c: F.col(c).cast("int") for c in ("harmful_is_harmful", "processed")}
+    return found.withColumns(ints | {"publish_time": F.date_format("publish_time", "yyyy-MM-dd HH:mm:ss"), "sensitivity_score": F.round("sensitivity_score", 4), "harmful_score": F.round("harmful_score", 4)})
+
+
 @query(f"WITH {RAW} SELECT site_key, row_number() OVER (PARTITION BY site_key ORDER BY url) - 1 AS pos, url FROM raw")
 def q_s7_read_discovered_urls(spark, sf_dir):
     path = scratch(spark, "discovered")
@@ -473,10 +483,14 @@ _RIGHT = _COST_LIST.format(place="i", unknown="CASE WHEN n = 1 THEN rare ELSE 'i
     back AS (SELECT item_id, 1::BIGINT AS i, pick FROM done UNION ALL SELECT item_id, i + pick[len(pick) - i + 1], pick FROM back WHERE i <= len(pick)), cut AS (SELECT item_id, i, pick[len(pick) - i + 1] AS n FROM back WHERE i <= len(pick))"""
 
 
-def _short(spark, sf_dir, by):
+def _short_texts(spark, sf_dir):
     docs = read(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), r"\s+", "").alias("text"))
-    words = materialise(segment.build_unigrams(hits.explode_tokens(token_docs(spark, sf_dir))).withColumn("cost", F.round(F.col("cost") * 64)), "unigrams")
-    return by(docs, words).select("item_id", F.array_join("tokens", " ").alias("tokens"))
+    words = segment.build_unigrams(hits.explode_tokens(token_docs(spark, sf_dir))).withColumn("cost", F.round(F.col("cost") * 64))
+    return docs, materialise(words, "unigrams")
+
+
+def _short(spark, sf_dir, by):
+    return by(*_short_texts(spark, sf_dir)).select("item_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query(f"WITH RECURSIVE {_CUT}, {_AHEAD} {_shown('fw')}")
@@ -667,6 +681,29 @@ def q_d9_analyze(spark, sf_dir):
     return _flat(_analysed(spark, sf_dir))
 
 
+@query()
+def q_d9_segment_and_analyze(spark, sf_dir):
+    """All pages are segmented three ways and analysed; texts without blanks, by the corpus's words."""
+    docs, words = _fused(spark, sf_dir)
+    rows = page_table(spark, sf_dir, read(spark, sf_dir, "documents")).drop("clean_text").join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("clean_text")), "id")
+    found = analysis.segment_and_analyze(rows, words, demo(spark), DEMO_STOPWORDS, max_len=12)
+    joined = {c: F.array_join(c, " ") for c in analysis.SEGMENTED}
+    return found.select("id", *(v.alias(c) for c, v in joined.items()), "sensitivity_score", "sentiment_score", "sentiment_label", "harmful_score", "harmful_is_harmful", "processed", "analysis_seg_source")
+
+
+@query(f"""WITH a AS ({ORACLE_SQL["q_v6_short_texts_accurate"]}), b AS ({ORACLE_SQL["q_v4_short_texts_bimm"]}), c AS ({ORACLE_SQL["q_v5_short_texts_dp"]}),
+    s AS (SELECT item_id AS doc_id, string_split(a.tokens, ' ') AS tokens FROM a), tok AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM s),
+    {_SENS_HITS}, {_SENS.replace("FROM documents LEFT", "FROM s LEFT")}
+    SELECT doc_id AS id, a.tokens AS seg_jieba, b.tokens AS seg_maxmatch, c.tokens AS seg_dp, round(raw, 4) AS sensitivity_score, flags AS sensitivity_flags, 2 AS processed, 'jieba' AS analysis_seg_source
+    FROM sens JOIN a ON doc_id = a.item_id JOIN b ON doc_id = b.item_id JOIN c ON doc_id = c.item_id""")
+def q_d9_short_texts(spark, sf_dir):
+    """The same over the whole benchmark table, with sensitive words that its texts have."""
+    docs, words = _short_texts(spark, sf_dir)
+    rows = docs.select(F.col("item_id").alias("id"), F.col("text").alias("clean_text"), F.lit(0).alias("processed"))
+    found = analysis.segment_and_analyze(rows, words, demo(spark), max_len=12, oov=15.0 * 64)
+    return found.select("id", *(F.array_join(c, " ").alias(c) for c in analysis.SEGMENTED), "sensitivity_score", F.array_join("sensitivity_flags", ",").alias("sensitivity_flags"), "processed", "analysis_seg_source")
+
+
 # Windows ---------------------------------------------------------------------------------------
 
 
