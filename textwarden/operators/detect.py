@@ -102,14 +102,16 @@ def with_harm_regex(docs: DataFrame, text: str = "text") -> DataFrame:
     read = F.col(text)
     if "tokens" in docs.columns:
         read = F.when(F.coalesce(read, F.lit("")) == "", F.concat_ws("", "tokens")).otherwise(read)
-    parts = []
-    for name, (pattern, weight, group) in HARM_RULES.items():
-        n = F.regexp_count(read, F.lit(pattern))
-        samples = F.slice(F.regexp_extract_all(read, F.lit(pattern), F.lit(group)), 1, 3)
-        parts.append(F.struct(F.lit(name).alias("rule"), n.alias("n"), (_decimal(weight) * F.least(n, F.lit(5))).cast("decimal(6,2)").alias("part"), F.when(n > 0, samples).alias("samples")))
-    met = F.filter(F.array(*parts), lambda r: r["n"] > 0)
+    # Each text is searched once for each rule: what is found is counted, and its first three are the samples.
+    found = F.array(*(F.struct(F.lit(name).alias("rule"), _decimal(weight).alias("weight"), F.regexp_extract_all(read, F.lit(pattern), F.lit(group)).alias("found")) for name, (pattern, weight, group) in HARM_RULES.items()))
+
+    def counted(r):
+        n = F.size(r["found"])
+        return F.struct(r["rule"].alias("rule"), n.alias("n"), (r["weight"] * F.least(n, F.lit(5))).cast("decimal(6,2)").alias("part"), F.slice(r["found"], 1, 3).alias("samples"))
+
+    met = F.transform(F.filter(found, lambda r: F.size(r["found"]) > 0), counted)
     total = F.aggregate("l1", F.lit(0).cast("decimal(8,2)"), lambda a, r: (a + r["part"]).cast("decimal(8,2)"))
-    return docs.withColumn("l1", F.coalesce(met, F.filter(F.array(*parts), lambda r: F.lit(False)))).withColumn("l1_score", F.least(F.lit(1.0), total.cast("double") / 3))
+    return docs.withColumn("l1", met).withColumn("l1_score", F.least(F.lit(1.0), total.cast("double") / 3))
 
 
 def harm_regex(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -201,9 +201,13 @@ def q_b2_normalize_whitespace(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.normalize_whitespace(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, translate(translate(text, '0123456789', '０１２３４５６７８９'), '０１２３４５６７８９', '0123456789') AS text FROM documents")
+_NARROW = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in _NARROW)
+
+
+@query(f"SELECT doc_id, translate(translate(text, '{_NARROW}', '{_WIDE}'), '{_WIDE}', '{_NARROW}') AS text FROM documents")
 def q_b3_fold_fullwidth(spark, sf_dir):
-    wide = F.translate("text", "0123456789", "０１２３４５６７８９")
+    wide = F.translate("text", _NARROW, _WIDE)
     return read(spark, sf_dir, "documents").select("doc_id", T.fold_fullwidth(wide).alias("text"))
 
 
@@ -219,7 +223,9 @@ def q_b5_clean_text(spark, sf_dir):
 
 @query(f"SELECT doc_id, {_BLANK.format('text')} AS text FROM documents")
 def q_b6_normalize_for_segmentation(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.normalize_for_segmentation(F.col("text")).alias("text"))
+    """Texts in full-width letters and digits, with ideographic and ordinary spaces between words."""
+    wide = F.replace(F.translate("text", _NARROW, _WIDE), F.lit(" "), F.lit(" \u3000"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.normalize_for_segmentation(wide).alias("text"))
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, array_to_string(tokens, ' ') AS tokens FROM t")
@@ -233,12 +239,14 @@ def q_b8_build_pages(spark, sf_dir):
     return T.build_pages(raw).select("page_id", "clean_text", "text_length", "processed")
 
 
-@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS parsed FROM events")
+@query("""SELECT event_id, CASE second(ts) % 5 WHEN 2 THEN strftime(ts, '%Y-%m-%d 00:00:00') WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS parsed FROM events""")
 def q_b9_parse_publish_time(spark, sf_dir):
-    written = F.concat(F.date_format("ts", "yyyy-M-d'T'H:m:s"), F.lit("+08:00"))
+    """Times with a zone, times without leading zeros, dates, another order, nothing."""
+    at = lambda f: F.date_format("ts", f)
+    kind = F.second("ts") % 5
+    written = F.when(kind == 0, F.concat(at("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+08:00"))).when(kind == 1, at("yyyy-M-d H:m:s")).when(kind == 2, at("yyyy-M-d")).when(kind == 3, at("dd.MM.yyyy HH:mm"))
     events = read(spark, sf_dir, "events").select("event_id", written.alias("written"))
-    short = F.regexp_replace("written", r"\+08:00$", "")
-    return events.select("event_id", F.date_format(T.parse_publish_time(short), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+    return events.select("event_id", F.date_format(T.parse_publish_time(F.col("written")), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, array_to_string(tokens, ' ') AS tokens FROM t")
