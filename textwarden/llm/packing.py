@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from textwarden.llm.token_ids import crc32, encoder, small_batches, wide
+from textwarden.llm.token_ids import WORDS, crc32, encoder, small_batches, wide
 
 GROUP_ROWS = 8192
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
@@ -30,13 +30,13 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, n, capacity)] if n else []
 
 
-def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` for each piece of each row; null text counts as empty and is its end id alone."""
+def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` for each piece of each row; null text counts as empty and is its end id alone. Workers keep as many ``words``."""
     small_batches(df.sparkSession)
 
     @F.pandas_udf(PIECES)
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, words)
         end = np.array([end_id], "<u2").tobytes()
         for texts in batches:
             out = []

@@ -59,11 +59,11 @@ def byte_letters() -> dict[str, int]:
 
 
 class Known(dict):
-    """The ids of the words that this worker has met, as little-endian 16-bit integers; ``encode`` encodes another one."""
+    """The ids of the words that this worker has met, at most ``most`` of them, as little-endian 16-bit integers; ``encode`` encodes another one."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
+    def __init__(self, encode: Callable[[str], bytes], most: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word)
@@ -72,7 +72,7 @@ class Known(dict):
 
     def keep(self, word: str, ids: bytes) -> None:
         if len(word) <= WORD_CHARS:
-            if len(self) >= WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = ids
 
@@ -80,12 +80,12 @@ class Known(dict):
 class LibraryEncoder:
     """Encodes texts to little-endian 16-bit ids by a tokenizer of the library whose words are ``pattern`` and whose letters stand for bytes."""
 
-    def __init__(self, tokenizer, pattern: str, lower: bool):
+    def __init__(self, tokenizer, pattern: str, lower: bool, words: int):
         self.tokenizer, self.cut, self.lower = tokenizer, cutter(pattern), lower
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.letters = {b: c for c, b in byte_letters().items()}
         self.model = tokenizer.model
-        self.known = Known(self.word)
+        self.known = Known(self.word, words)
 
     def word(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
@@ -111,12 +111,12 @@ class LibraryEncoder:
         return [self.whole(t) if (words := self.words(t)) is None else b"".join(map(ids, words)) for t in texts]
 
 
-_encoders: dict[str, LibraryEncoder] = {}
+_encoders: dict[tuple[str, int], LibraryEncoder] = {}
 
 
-def encoder(path: str) -> LibraryEncoder:
-    """This worker's encoder for a tokenizer file of at most 65,536 ids."""
-    if path not in _encoders:
+def encoder(path: str, words: int = WORDS) -> LibraryEncoder:
+    """This worker's encoder for a tokenizer file of at most 65,536 ids, which keeps as many ``words``."""
+    if (path, words) not in _encoders:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -126,8 +126,8 @@ def encoder(path: str) -> LibraryEncoder:
             raise ValueError(f"{path} has more ids than 16 bits hold")
         spec = json.loads(tokenizer.to_str())
         drops = (spec["pre_tokenizer"] or {}).get("type") == "Sequence"
-        _encoders[path] = LibraryEncoder(tokenizer, WORD_PATTERN if drops else PATTERN, lower=spec["normalizer"] is not None)
-    return _encoders[path]
+        _encoders[path, words] = LibraryEncoder(tokenizer, WORD_PATTERN if drops else PATTERN, spec["normalizer"] is not None, words)
+    return _encoders[path, words]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 2**24) -> None:
