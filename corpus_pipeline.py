@@ -11,6 +11,8 @@ from textwarden.runtime import materialise
 
 #: A document whose language is less sure than this, or that has no letter, is rejected.
 LEAST_SCORE = 0.5
+#: Words that a worker of the last stage keeps: fewer than by itself, as workers still hold what earlier stages left them.
+WORKER_WORDS = 150_000
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +35,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated passages; a document of which nothing is left goes."""
+    """Texts without their repeated passages, all places of each; a document of which nothing is left goes. Null and empty texts stay, as do null keys and extra columns; of repeated rows all lose what they share, so long ones go."""
     return suffix_dedup.cut_texts(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document with its sequence and place there; null and empty texts are their end id alone, repeated rows each have their own place, extra columns are not kept."""
-    cut = materialise(packing.pieces(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048), "pieces")
+    cut = materialise(packing.pieces(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, capacity=2048, words=WORKER_WORDS), "pieces")
     return packing.pack(cut, capacity=2048, max_documents=2048, max_attention=2048.0**2, weights=PACKING_WEIGHTS)
 
 
