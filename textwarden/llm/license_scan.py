@@ -8,7 +8,10 @@ template's words and its characters in the text.
 
 Templates are notices, and the full texts in ``licenses/``. Of a notice, which names its license
 and version in a few words, every word must be there, with few between them; so a notice of another license isn't taken
-for it, and where one notice contains another the one with more words wins.
+for it, and where one notice contains another the one with more words wins. What winnowing guarantees
+is a run of ``K + W - 1`` words, which notices may not have: all their grams are indexed, and looked
+up wherever they stand. Of a long template those diagonals are aligned around which enough of its
+selected hashes lie, the fullest first and none near another, so that the work grows with the text.
 """
 
 from __future__ import annotations
@@ -47,6 +50,9 @@ TEMPLATES = {
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
+        "Licensed under the GNU General Public License, version 3.",
+        "GNU GPL v3",
+        "GNU GPL version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "CC-BY-NC-4.0": [
@@ -55,11 +61,14 @@ TEMPLATES = {
     ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under the GNU General Public License, version 2.",
+        "GNU GPL v2",
+        "GNU GPL version 2",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "GNU LGPL v3", "This work is licensed under the GNU Lesser General Public License, version 3."],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", "GNU LGPL v2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "GNU AGPL v3", "This work is licensed under the GNU Affero General Public License, version 3."],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
@@ -90,9 +99,20 @@ TEMPLATES = {
 MATCH = "array<struct<license:string,template:int,coverage:double,start:int,end:int>>"
 
 
+#: Spellings that count as another.
+SPELLINGS = {"licence": "license", "licenced": "licensed"}
+
+
+def words_of(text: str) -> list[str]:
+    return [SPELLINGS.get(w, w) for w in WORD.findall(text.lower())]
+
+
 def all_templates() -> dict[str, list[str]]:
-    """``TEMPLATES`` with the full texts after them."""
+    """``TEMPLATES``, the tag of each license, and the full texts after them."""
     found = {name: list(texts) for name, texts in TEMPLATES.items()}
+    for name in found:
+        if name != "proprietary":
+            found[name].append(f"SPDX-License-Identifier: {name}")
     for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
         found.setdefault(path.stem, []).append(path.read_text(encoding="utf-8"))
     return found
@@ -105,17 +125,22 @@ class Index:
         self.vocabulary: dict[str, int] = {}
         self.templates: list[tuple[str, int, np.ndarray]] = []
         self.places: dict[int, list[tuple[int, int]]] = {}
+        always: set[int] = set()
         for name, texts in templates.items():
             for number, text in enumerate(texts):
-                words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in WORD.findall(text.lower())], "i8")
+                words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], "i8")
                 self.templates.append((name, number, words))
         self.chosen = []
         for t, (_, _, words) in enumerate(self.templates):
             hashes = self.grams(words)
-            selected = self.select(hashes)
+            notice = len(words) <= NOTICE
+            selected = np.arange(len(hashes)) if notice else self.select(hashes)
+            if notice:
+                always.update(hashes.tolist())
             self.chosen.append(len(selected))
             for at in selected:
                 self.places.setdefault(int(hashes[at]), []).append((t, int(at)))
+        self.always = np.array(sorted(always), "u8")
 
     def grams(self, words: np.ndarray) -> np.ndarray:
         """Hashes of ``K`` words; the largest where a word is in no template."""
@@ -142,7 +167,7 @@ class Index:
         if len(lower) != len(text or ""):  # places are those of the text itself
             lower = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
         number = self.vocabulary.get
-        words = np.fromiter((number(w, 0) for w in WORD.findall(lower)), "i8")
+        words = np.fromiter((number(SPELLINGS.get(w, w), 0) for w in WORD.findall(lower)), "i8")
         hashes = self.grams(words)
         known = np.flatnonzero(hashes != np.uint64(2**64 - 1))
         if not len(known):
@@ -150,7 +175,7 @@ class Index:
         # Only windows with a known gram can select one.
         near = np.unique((known[:, None] + np.arange(1 - W, W)).ravel())
         near = near[(near >= 0) & (near < len(hashes))]
-        chosen = set()
+        chosen = set(known[np.isin(hashes[known], self.always)].tolist())
         for part in np.split(near, np.flatnonzero(np.diff(near) > 1) + 1):
             chosen.update((self.select(hashes[part[0] : part[-1] + 1]) + part[0]).tolist())
         diagonals: dict[int, list[tuple[int, int]]] = {}
@@ -163,17 +188,17 @@ class Index:
         found = []
         for t, anchors in diagonals.items():
             name, no, template = self.templates[t]
-            long = len(template) > LONG
-            if long and len({at - offset for at, offset in anchors}) < ANCHORED * self.chosen[t]:
-                continue
             band, share = (len(template) // 8, 1.0) if len(template) <= NOTICE else (BAND + len(template) // PER_BAND, COVERAGE)
+            if len(template) > LONG:
+                starts = [(0, offset) for offset in full_diagonals(np.array([o for _, o in anchors]), band, ANCHORED * self.chosen[t])]
+            else:
+                starts = None
             first, last, tried = -1, -1, set()
-            for at, offset in anchors:
-                low = last + 1 if at > last else 0  # a match that follows another has words of its own
-                diagonal = offset // max(1, band) if long else offset  # neighbours of a wide band see the same
-                if first <= at <= last or (diagonal, low) in tried:
+            for at, offset in anchors if starts is None else starts:
+                low = 0 if starts is not None or at <= last else last + 1  # a match that follows another has words of its own
+                if starts is None and (first <= at <= last or (offset, low) in tried):
                     continue
-                tried.add((diagonal, low))
+                tried.add((offset, low))
                 matched = align(template, words, offset, band, low)
                 if len(matched) >= share * len(template):
                     first, last = matched[0], matched[-1]
@@ -185,6 +210,20 @@ class Index:
         return sorted(kept, key=lambda m: m[3])
 
 
+def full_diagonals(offsets: np.ndarray, band: int, least: float) -> list[int]:
+    """Diagonals with at least so many anchors within ``band``, the fullest first, none within ``band`` of one before."""
+    offsets = np.sort(offsets)
+    each = np.unique(offsets)
+    n = np.searchsorted(offsets, each + band, "right") - np.searchsorted(offsets, each - band, "left")
+    enough = n >= least
+    each, n = each[enough], n[enough]
+    out: list[int] = []
+    for offset in each[np.lexsort((each, -n))].tolist():
+        if all(abs(offset - o) > band for o in out):
+            out.append(offset)
+    return out
+
+
 def align(template: np.ndarray, words: np.ndarray, offset: int, band: int, low: int = 0) -> list[int]:
     """Places, from ``low``, of the text's words in the longest common subsequence with the template within ``band`` of the diagonal ``offset``."""
     width = 2 * band + 1
