@@ -49,6 +49,21 @@ def tokenizer(name):
     return Tokenizer.from_file(queries.tokenizer_file(name))
 
 
+def test_sharding_is_the_same_under_any_split(spark, docs):
+    """The seed and the rows decide, not the partitions they come in; rows that are repeated in large numbers are dealt too."""
+    rows = corpus() + [(70, "again and again")] * 300
+    orders = []
+    for parts, shuffled, key in ((1, "4", "text"), (3, "7", "doc_id"), (5, "2", "text")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+        out = sharding.shuffle_into_shards(frame(spark, rows).repartition(parts, key), 7, bucket_bytes=3000).select("shard", "slot", "doc_id", "text").collect()
+        orders.append(sorted(map(tuple, out), key=lambda r: r[:2]))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert orders[0] == orders[1] == orders[2]
+    other = sharding.shuffle_into_shards(frame(spark, rows), 7, seed=43, bucket_bytes=3000).select("shard", "slot", "doc_id", "text").collect()
+    assert sorted(map(tuple, other), key=lambda r: r[:2]) != orders[0]
+    assert len({s for s, _, k, _ in orders[0] if k == 70}) == 7
+
+
 def test_sharding(spark, docs, none, tmp_path):
     out = sharding.shuffle_into_shards(docs, 7, bucket_bytes=3000)
     rows = out.collect()
