@@ -4,7 +4,8 @@ Sparse multinomial logistic regression on TF-IDF weights of hashed character n-g
 characters of letters and single spaces, lower case). Document frequencies are counted over all
 labelled training rows. The weights are trained by follow-the-regularised-leader with an
 elastic-net penalty, one pass in a single task over a sample of at most ``sample_rows`` training
-rows (a stated bound), the last fifth of which calibrates the temperature of the softmax.
+rows (a stated bound), an equal part of each language, the last fifth of which calibrates the
+temperature of the softmax.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarden.llm.token_ids import small_batches
@@ -167,9 +168,14 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample_rows: i
         np.savez_compressed(out, weights=weights, bias=bias, temperature=temperature(logits, np.array([y for _, y in held], int)))
         yield pa.RecordBatch.from_pydict({"model": pa.array([out.getvalue()], pa.binary())})
 
+    # Of each language as many rows, drawn by a hash of the text, so that rare ones are taught too; equal texts count once.
+    each = -(-sample_rows // len(classes))
+    sizes = {r["name"]: r["n"] for r in totals if r["name"] is not None}
+    shares = F.create_map(*(F.lit(x) for c in classes for x in (c, int(min(1.0, 1.5 * each / sizes[c]) * 2**40))))
     draw = F.pmod(F.xxhash64("text"), F.lit(2**40))
-    share = min(1.0, 1.2 * sample_rows / max(1, documents))
-    drawn = rows.withColumn("draw", draw).filter(F.col("draw") < int(share * 2**40)).orderBy("draw", "lang").limit(sample_rows)
+    likely = rows.withColumn("draw", draw).filter(F.col("draw") < F.element_at(shares, F.col("lang"))).groupBy("text", "lang").agg(F.first("draw").alias("draw"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    drawn = likely.withColumn("nth", nth).filter(F.col("nth") <= each).orderBy("draw", "lang").limit(sample_rows)
     blob = drawn.select("text", "lang", (F.col("draw") % 10).cast("int").alias("share")).coalesce(1).mapInArrow(learn, "model binary").first()[0]
     saved = np.load(io.BytesIO(blob))
     return Model(classes, idf, saved["weights"], saved["bias"], float(saved["temperature"]))
