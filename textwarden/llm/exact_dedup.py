@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textwarden.llm.skew import spread_join
 from textwarden.runtime import materialise
 
 SALTS = 16
@@ -64,7 +65,8 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", digest=
     # Without the text from here on: a digest stands for one text unless its count says otherwise.
     found = texts.select("digest", *winner).groupBy("digest").agg(F.count("*").alias("texts"), *(F.first(c).alias(c) for c in ("keep_id", "keep_chars", "group_size")))
     found = materialise(found, "exact-groups")
-    clear = base.select("doc_id", "chars", "digest").join(found.filter("texts = 1").drop("texts"), "digest")
+    sizes = found.groupBy("digest").agg(F.max("group_size").alias("size"))
+    clear = spread_join(base.select("doc_id", "chars", "digest"), found.filter("texts = 1").drop("texts"), "digest", sizes)
     collided = found.filter("texts > 1").select("digest")
     if not collided.isEmpty():
         apart = base.join(collided, "digest").join(texts.select("digest", "content", *winner), ["digest", "content"])
@@ -74,7 +76,7 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", digest=
 
 
 def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256, normalise=without_blanks) -> DataFrame:
-    """``df`` without the rows that lose to an equal text; of repeated rows (same key, equal text) one stays.
+    """``df`` without the rows that lose to an equal text; of rows with the same key and an equal text the longest stays, then the one whose columns have the smallest hash.
 
     Texts are equal as in ``exact_groups``; texts that only share a digest stay apart. Null counts
     as empty, so one of all null and blank texts stays. An empty table gives an empty one.
@@ -83,4 +85,5 @@ def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text", digest=s
     content = normalise(F.col(f"`{text}`"))
     marked = df.select(F.struct("*").alias("row"), F.col(f"`{key}`").cast("long").alias("key"), content.alias("content"), digest(content).alias("digest"))
     found = marked.join(kept, (F.col("digest") == F.col("of")) & F.col("key").eqNullSafe(F.col("winner")), "left_semi")
-    return found.dropDuplicates(["digest", "key", "content"]).select("row.*")
+    order = F.struct((-F.coalesce(F.char_length(F.col("row")[text]), F.lit(0))).alias("chars"), F.xxhash64(*(F.col("row")[c] for c, kind in df.dtypes if "map<" not in kind)).alias("h"))
+    return found.groupBy("digest", "key", "content").agg(F.min_by("row", order).alias("row")).select("row.*")
