@@ -34,10 +34,11 @@ def session(app: str = "textwarden", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or, in local mode, one of our own where it is unset."""
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or os.environ.get("TEXTWARDEN_SHARED_DIR")
+    path = sc.getConf().get("spark.checkpoint.dir")
+    if not path and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    path = path or os.environ.get("TEXTWARDEN_SHARED_DIR")
     if not path:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-textwarden-")
         os.environ["TEXTWARDEN_SHARED_DIR"] = path
         sc.setCheckpointDir(path)
