@@ -4,12 +4,12 @@ import itertools
 import math
 
 import pytest
+from fixed_values import HARM_KEYWORDS, INTENSIFIERS, NEGATIONS
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textwarden.functions import text as T
-from textwarden.functions.values import HARM_KEYWORDS, INTENSIFIERS, NEGATIONS
 from textwarden.operators import detect, hits, links, segment
 from textwarden.plans import analysis
 from textwarden.sources import dictionaries, pages
@@ -22,12 +22,11 @@ LEXICON = {"优秀": "0.85", "一流": "0.85", "了不起": "0.80", "享受": "0
 
 @pytest.fixture(scope="module")
 def words(spark):
-    lexicon = LEXICON | {w: "-1.0" for w in NEGATIONS.split()} | {w: "0.0" for w in INTENSIFIERS.split()[::2]}
-    strong = INTENSIFIERS.split()
+    lexicon = LEXICON | {w: "-1.0" for w in NEGATIONS} | {w: "0.0" for w in INTENSIFIERS}
     return (
         spark.createDataFrame(list(lexicon.items()), "word string, polarity string"),
-        spark.createDataFrame([(w,) for w in NEGATIONS.split()], "word string"),
-        spark.createDataFrame(list(zip(strong[::2], strong[1::2], strict=True)), "word string, multiplier string"),
+        spark.createDataFrame([(w,) for w in NEGATIONS], "word string"),
+        spark.createDataFrame(list(INTENSIFIERS.items()), "word string, multiplier string"),
     )
 
 
@@ -62,7 +61,7 @@ def test_harmful(spark):
     text = "加微信免费领取，兼职刷单日赚1000，银行卡号6222021234567890"
     tokens = "加 微信 免费领取 兼职 刷单 日赚 1000 银行卡号 6222021234567890".split()
     docs = spark.createDataFrame([(1, text, tokens), (2, text, tokens[:2])], "doc_id long, text string, tokens array<string>")
-    table = dictionaries.keyword_table(spark, {c: (w, ws.split()) for c, (w, ws) in HARM_KEYWORDS.items()})
+    table = dictionaries.keyword_table(spark, HARM_KEYWORDS)
     one, two = detect.harmful(docs, table).orderBy("doc_id").collect()
     assert (one.score, one.is_harmful, one.flags, one.details) == (0.366, True, ["fraud"], "欺诈+银行卡")
     assert {r.rule: r.n for r in one.l1} == {"wechat_id": 1, "bank_card": 1, "spam_words": 2}
@@ -144,6 +143,17 @@ def test_dictionaries(spark, tmp_path):
     assert {(r.word, r.category) for r in table.collect()} == {("x", "b"), ("y", "a")}
 
 
+def test_shipped_dictionaries(spark):
+    found = dictionaries.shipped(spark)
+    assert {k: d.count() for k, d in found.items()} == {"sensitive": 36, "keywords": 26, "lexicon": 56, "negations": 8, "intensifiers": 13}
+    texts = [(1, "you are a very stupid loser", "a"), (2, "not a good day at the excellent park", "b"), (3, "call 13812345678 for the casino jackpot", "c")]
+    pages_ = spark.createDataFrame(texts, "id long, clean_text string, source_site string").withColumn("processed", F.lit(0))
+    pages_ = pages_.withColumn("tokens", T.filter_tokens(T.tokenize_words(F.col("clean_text")), dictionaries.shipped_stopwords()))
+    one, two, three = analysis.analyze(pages_, "tokens", found).orderBy("id").collect()
+    assert one.sentiment_label == "negative" and one.sensitivity_flags == ["politics", "gambling"] and two.sensitivity_score == 0
+    assert three.harmful_flags == ["gambling"] and three.harmful_details.details == "赌博+联系方式"
+
+
 def test_keyword_hits_are_whole_tokens(spark):
     tokens = spark.createDataFrame([(1, 0, "ab"), (1, 1, "abc"), (1, 2, "ab")], "doc_id long, pos int, token string")
     table = spark.createDataFrame([("ab", "c", 1.0), ("bc", "c", 1.0)], "word string, category string, weight double")

@@ -417,6 +417,18 @@ def q_j5_keyword_hits(spark, sf_dir):
     return hits.keyword_hits(hits.explode_tokens(token_docs(spark, sf_dir)), demo(spark)["sensitive"]).withColumn("weight", F.col("weight").cast("double"))
 
 
+def _shipped_values(name):
+    rows = [x.split(" ", 1) for x in dictionaries.shipped_lines(name) if x and not x.startswith("#")]
+    return sql_values([(word, *kind.split(":")) for kind, word in rows])
+
+
+@query(f"WITH {TOKENS}, keys(word, category, weight) AS (VALUES {_shipped_values('sensitive.txt')}) SELECT doc_id, word, category, weight::DOUBLE AS weight, count(*) AS n, min(pos) AS first_pos FROM tok JOIN keys ON token = word GROUP BY ALL")
+def q_j5_shipped_keywords(spark, sf_dir):
+    """Hits of the sensitive words that come with the library."""
+    found = hits.keyword_hits(hits.explode_tokens(token_docs(spark, sf_dir)), dictionaries.shipped(spark)["sensitive"])
+    return found.withColumn("weight", F.col("weight").cast("double"))
+
+
 # Segmentation ----------------------------------------------------------------------------------
 
 
