@@ -584,13 +584,3 @@ def test_copies_with_one_key(spark):
     several = [(5, "t", "en", f"s{i}") for i in range(6)]
     one = [exact_dedup.drop_copies(spark.createDataFrame(r, schema).repartition(n)).collect() for r, n in ((several, 2), (several[::-1], 4))]
     assert one[0] == one[1] and len(one[0]) == 1
-
-
-def test_rare_language_and_a_large_group_of_copies(spark):
-    """Copies of one text don't fill the sample, and a language of few rows is taught."""
-    rnd = random.Random(4)
-    line = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(12))
-    rows = [(line("abcdef"), "en") for _ in range(300)] + [("abc def fed " * 5, "en")] * 3000 + [(line("uvwxyz"), "xx") for _ in range(12)]
-    model = lang_id.fit(spark.createDataFrame(rows, "text string, lang string").repartition(4), sample_rows=60)
-    assert model.classes == ["en", "xx"]
-    assert all(model.predict(line("uvwxyz"))[0] == "xx" for _ in range(20)) and all(model.predict(line("abcdef"))[0] == "en" for _ in range(20))
