@@ -35,7 +35,7 @@ from textwarden.runtime import materialise
 
 K = 40
 #: Ranges of one anchor that one task brings together, and bytes of ranges that it sorts at once.
-HOT, BLOCK = 2000, 2**22
+HOT, BLOCK = 2000, 2**21
 
 
 def _name(key: Column, text: Column) -> Column:
