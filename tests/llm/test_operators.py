@@ -493,6 +493,40 @@ def test_near_groups_around_one_text(spark):
     assert grouped(spark, rows) == {i: 7 for i, _ in rows}
 
 
+def test_near_groups_around_an_absent_text(spark, monkeypatch):
+    """Copies of a text that isn't there, near to it but few to one another, aren't all compared pair by pair."""
+    rnd, verified, compared = random.Random(15), simhash.verified, []
+    base = [f"b{rnd.randrange(10**7)}" for _ in range(200)]
+    rows = []
+    for i in range(160):
+        copy = list(base)
+        for at in rnd.sample(range(5, 195, 6), 4 if i % 8 else 1):
+            copy[at] = f"n{rnd.randrange(10**7)}"
+        rows.append((i, " ".join(copy)))
+    for i in range(160, 240):  # more changes than may be on one side
+        copy = list(base)
+        for at in rnd.sample(range(5, 195, 6), 6):
+            copy[at] = f"n{rnd.randrange(10**7)}"
+        rows.append((i, " ".join(copy)))
+
+    def counted(pairs, *args):
+        compared.append(pairs.count())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    assert grouped(spark, rows) == components_of(similar_pairs(rows))
+    assert sum(compared) <= 10 * len(rows)
+
+
+def test_parities():
+    """They never tell more differences than there are."""
+    rnd = np.random.default_rng(1)
+    for n in (0, 1, 30, 300, 3000):
+        x, y = (np.unique(rnd.integers(0, 2 * n + 1, n).astype("u8") * np.uint64(0x9E3779B97F4A7C15)) for _ in "xy")
+        told = np.unpackbits((simhash.parities(x) ^ simhash.parities(y)).view("u1")).sum()
+        assert told <= len(np.setxor1d(x, y)) and (n < 30 or told > 0) and not (simhash.parities(x) ^ simhash.parities(x)).any()
+
+
 def test_near_groups_with_equal_fingerprints(spark):
     """A line that makes more than half of the shingles decides the fingerprint, but nothing is dropped for it."""
     rnd = random.Random(3)
@@ -540,6 +574,17 @@ def test_exact_dedup(docs, none):
     assert left.columns == docs.columns and left.count() == len({r.text_digest for r in found})
 
 
+def test_exact_dedup_moves_a_row_once(spark, docs):
+    """Where keys are unique no text is grouped again; where rows share a digest and a key the text decides."""
+    unique = frame(spark, [(i, f"text {i % 3}") for i in range(9)])
+    kept = exact_dedup.drop_copies(unique)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+    assert "min_by" not in kept._jdf.queryExecution().toString()
+    clash = frame(spark, [(1, "aa"), (1, "bb"), (2, "b b"), (3, "c"), (None, "d"), (None, "d ")])
+    for digest in (exact_dedup.sha256, lambda c: F.lit("d")):
+        assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.drop_copies(clash, digest=digest).collect()) == [(0, "d "), (1, "aa"), (2, "b b"), (3, "c")]
+
+
 def test_exact_dedup_with_colliding_digests(docs):
     weak = exact_dedup.exact_groups(docs, digest=lambda c: (F.crc32(c.cast("binary")) % 3).cast("string")).collect()
     strip = lambda rows: collections.Counter((r[0], r[1], r[2], r[3]) for r in rows)

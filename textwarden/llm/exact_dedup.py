@@ -79,11 +79,22 @@ def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text", digest=s
     """``df`` without the rows that lose to an equal text; of rows with the same key and an equal text the longest stays, then the one whose columns have the smallest hash.
 
     Texts are equal as in ``exact_groups``; texts that only share a digest stay apart. Null counts
-    as empty, so one of all null and blank texts stays. An empty table gives an empty one.
+    as empty, so one of all null and blank texts stays. An empty table gives an empty one. A row
+    moves once, by its digest and key, if no other row has both; only where they don't tell a
+    winner from other rows, repeated rows or texts that share a digest, texts are compared again.
     """
-    kept = exact_groups(df, key, text, digest, normalise).filter("kept").select(F.col("doc_id").alias("winner"), F.col("text_digest").alias("of")).distinct()
+    groups = exact_groups(df, key, text, digest, normalise).withColumnsRenamed({"text_digest": "of", "doc_id": "winner"})
+    kept = groups.groupBy("of", "winner").agg(F.count("*").alias("rows"), F.max("kept").alias("kept")).filter("kept")
+    kept = materialise(kept.select("of", "winner", "rows"), "exact-kept")
     content = normalise(F.col(f"`{text}`"))
-    marked = df.select(F.struct("*").alias("row"), F.col(f"`{key}`").cast("long").alias("key"), content.alias("content"), digest(content).alias("digest"))
-    found = marked.join(kept, (F.col("digest") == F.col("of")) & F.col("key").eqNullSafe(F.col("winner")), "left_semi")
-    order = F.struct((-F.coalesce(F.char_length(F.col("row")[text]), F.lit(0))).alias("chars"), F.xxhash64(*(F.col("row")[c] for c, kind in df.dtypes if "map<" not in kind)).alias("h"))
-    return found.groupBy("digest", "key", "content").agg(F.min_by("row", order).alias("row")).select("row.*")
+    marked = df.select(F.struct("*").alias("row"), F.col(f"`{key}`").cast("long").alias("key"), digest(content).alias("digest"))
+    same = (F.col("digest") == F.col("of")) & F.col("key").eqNullSafe(F.col("winner"))
+    doubtful = materialise(kept.groupBy("of").agg(F.count("*").alias("winners"), F.max("rows").alias("rows")).filter("winners > 1 or rows > 1").select("of"), "exact-doubtful")
+    if doubtful.isEmpty():
+        return marked.join(kept, same, "left_semi").select("row.*")
+    flagged = kept.join(doubtful.withColumn("doubtful", F.lit(True)), "of", "left").select("of", "winner", F.coalesce("doubtful", F.lit(False)).alias("doubtful"))
+    found = marked.join(materialise(flagged, "exact-flagged"), same)
+    own = F.col("row")[text]
+    order = F.struct((-F.coalesce(F.char_length(own), F.lit(0))).alias("chars"), F.col("key").isNull().alias("last"), "key", F.xxhash64(*(F.col("row")[c] for c, kind in df.dtypes if "map<" not in kind)).alias("h"))
+    apart = found.filter("doubtful").groupBy("digest", normalise(own).alias("content")).agg(F.min_by("row", order).alias("row"))
+    return found.filter(~F.col("doubtful")).select("row").union(apart.select("row")).select("row.*")

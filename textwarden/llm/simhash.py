@@ -39,6 +39,8 @@ SEGMENT_BITS = 2
 BLOCK_WORDS = 2**17
 #: Classes of shingles that are counted, to tell rare from frequent ones, and distinct shingles from which fingerprints can rule out a pair.
 SLOTS, SMALL_SET = 2**20, 32
+#: Longs of a set's parities.
+PARITIES = 8
 _EVEN = 0x5555555555555555
 
 
@@ -179,31 +181,46 @@ def rarest(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[n
     return hashes[np.lexsort((hashes, counts[slot(hashes)]))[:wide]], narrow
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether each of ``64 * PARITIES`` classes has an odd number of the hashes, as longs. Those of two sets differ in no more bits than the sets in members."""
+    odd = np.bincount((hashes % np.uint64(64 * PARITIES)).astype("i8"), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype("u1")).view("i8")
+
+
 def sketches(text: Column, words: int, similarity: float, counts: np.ndarray) -> Column:
-    """``struct<a, b, n, narrow, keys>``: two fingerprints of the text's distinct shingles, how many they are, and the rarest of them."""
+    """``struct<a, b, n, narrow, keys, p0, p1, ...>``: two fingerprints of the text's distinct shingles, how many they are, the rarest of them, and their parities."""
+    names = [f"p{i}" for i in range(PARITIES)]
 
-    @F.pandas_udf("a bigint, b bigint, n int, narrow int, keys array<bigint>")
+    @F.pandas_udf("a bigint, b bigint, n int, narrow int, keys array<bigint>, " + ", ".join(f"{p} bigint" for p in names))
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
                 h = shingles(t, words)
                 keys, narrow = rarest(h, counts, similarity)
-                rows.append((majority(h), majority(again(h)), len(h), narrow, keys.view("i8")))
-            yield pd.DataFrame(rows, columns=["a", "b", "n", "narrow", "keys"])
+                rows.append((majority(h), majority(again(h)), len(h), narrow, keys.view("i8"), *parities(h).tolist()))
+            yield pd.DataFrame(rows, columns=["a", "b", "n", "narrow", "keys", *names])
 
     return sketch(text)
 
 
 def likely(x: Column, y: Column, similarity: float) -> Column:
-    """Whether two members of a cell may reach the similarity: one of them has the key where the set with fewer shingles must have it, the sizes allow it, and the fingerprints are no further apart than it makes likely (mean and four deviations; not asked of small sets, whose spread is wider). The Manhattan distance of their embeddings, a lower bound, is asked first."""
+    """Whether two members of a cell may reach the similarity: what either has from the key on is as much as it demands in common, the sizes allow it, and the fingerprints are no further apart than it makes likely (mean and four deviations; not asked of small sets, whose spread is wider). The Manhattan distance of their embeddings, a lower bound, is asked first.
+
+    All that two sets have in common stands from the first key they share on (positional
+    filtering), so a pair of the similarity passes in the cell of that key, if not in others.
+    Parities, asked last, drop most pairs of sets of up to some 800 shingles that differ in more
+    than it allows, as copies of a text that is not there do from each other.
+    """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.ceil(128 * p + 4 * math.sqrt(128 * p * (1 - p)))
     few, many = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
-    met = ((x["n"] <= y["n"]) & x["first"]) | ((y["n"] <= x["n"]) & y["first"])
+    met = F.least(x["n"] - x["at"], y["n"] - y["at"]) >= similarity / (1 + similarity) * (x["n"] + y["n"]) - 1e-9
     bound = distance(embed(x["a"]), embed(y["a"])) + distance(embed(x["b"]), embed(y["b"]))
     exact = distance(x["a"], y["a"]) + distance(x["b"], y["b"])
-    return met & (few >= similarity * many - 1e-9) & ((few < SMALL_SET) | ((bound <= radius) & (exact <= radius)))
+    odd = sum((distance(x[f"p{i}"], y[f"p{i}"]) for i in range(1, PARITIES)), distance(x["p0"], y["p0"]))
+    differ = (1 - similarity) / (1 + similarity) * (x["n"] + y["n"]) + 1e-9
+    return met & (few >= similarity * many - 1e-9) & ((few < SMALL_SET) | ((bound <= radius) & (exact <= radius))) & (odd <= differ)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
@@ -250,7 +267,8 @@ def near_groups(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     prints = materialise(prints, "near-prints")
     found = prints.select("narrow", F.col("doc_id").alias("id"), F.posexplode("keys").alias("at", "key")).select("key", "id", (F.col("at") < F.col("narrow")).alias("first"), "at")
     members, sizes = cells.shared(found)
-    members = members.join(prints.select(F.col("doc_id").alias("id"), "a", "b", "n"), "id").select("key", "size", "least", F.struct("id", "first", "at", "a", "b", "n").alias("m"))
+    compared = ["a", "b", "n", *(f"p{i}" for i in range(PARITIES))]
+    members = members.join(prints.select(F.col("doc_id").alias("id"), *compared), "id").select("key", "size", "least", F.struct("id", "first", "at", *compared).alias("m"))
     roots = cells.linked(members, sizes, lambda x, y: likely(x, y, similarity), lambda pairs: verified(pairs, texts, similarity, words))
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
 
